@@ -1,0 +1,18 @@
+"""Salting: spread the rows of one hot key over a fixed number of tasks."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Tasks that the rows of a single key may be spread over.
+SALTS = 16
+
+
+def salt(*by: Column | str, salts: int = SALTS) -> Column:
+    """A number below ``salts`` told by ``by``: equal values get equal salts, also when a task runs again.
+
+    Spread by what is counted (the document, say), so that the sets of different salts are disjoint and
+    their distinct counts add up.
+    """
+    return F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")
