@@ -51,7 +51,7 @@ class PerfectHash:
 
     def __init__(self, keys: list[bytes]):
         n = self.n = len(keys)
-        self.buckets = max(1, n // 4)
+        self.buckets = max(1, 2 * n // 3)  # few keys to a bucket: filling the last slots stays cheap
         groups: list[list[int]] = [[] for _ in range(self.buckets)]
         for i, k in enumerate(keys):
             groups[xxhash.xxh3_64_intdigest(k) % self.buckets].append(i)
