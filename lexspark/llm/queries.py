@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexspark.llm import bpe, leakage, salience, site_lines, termstats, topn
+from lexspark.llm import bpe, leakage, readability, salience, site_lines, termstats, topn
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -42,8 +42,13 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_passages(_t(spark, d, "documents"), _t(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = _t(spark, d, "documents")
+    return readability.reading_levels(docs, readability.train(docs, _t(spark, d, "reading_labels"), _t(spark, d, "eval_items")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p3_found, p4_found, p5_found, p6_found, p8_ids, p9_found)
+    f.__name__: f for f in (p3_found, p4_found, p5_found, p6_found, p8_ids, p9_found, p10_found)
 }
 
 _PAIRS = """pairs AS (SELECT lower(trim(term)) AS term, doc_id, max(tf) AS tf FROM postings
