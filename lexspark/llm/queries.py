@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexspark.llm import bpe, leakage, readability, salience, site_lines, termstats, topn
+from lexspark.llm import bpe, leakage, pages, readability, salience, site_lines, termstats, topn
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return pages.spam_pages(_t(spark, d, "corpus"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return pages.furniture_lines(_t(spark, d, "corpus"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.repeated_lines(_t(spark, d, "corpus"))
 
@@ -34,6 +42,10 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return termstats.mark_terms(termstats.term_statistics(_t(spark, d, "postings")), n)
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return pages.residue_pages(_t(spark, d, "corpus"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_texts(_t(spark, d, "documents"))
 
@@ -48,7 +60,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p3_found, p4_found, p5_found, p6_found, p8_ids, p9_found, p10_found)
+    f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p6_found, p7_found, p8_ids, p9_found, p10_found)
 }
 
 _PAIRS = """pairs AS (SELECT lower(trim(term)) AS term, doc_id, max(tf) AS tf FROM postings
