@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lexspark.functions.text import STOPWORDS, tokenize_nostem
 from lexspark.llm import bpe, leakage, pages, readability, salience, site_lines, termstats, topn
 
 
@@ -25,9 +27,13 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.repeated_lines(_t(spark, d, "corpus"))
 
 
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import functions as F
+def p3_excess(spark: SparkSession, d: str) -> DataFrame:
+    """How far each repeated line goes beyond what other sites lead one to expect."""
+    rows = site_lines.excess_lines(_t(spark, d, "corpus")).where("repeated")
+    return rows.select("s", "l1", "l2", "docs", "outside", F.round("llr", 6).alias("llr"), "significant")
+
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
     rows = _t(spark, d, "search_results").withColumn("query", F.lower(F.trim("query"))).where("query <> ''")
     return topn.top_n_per_group(rows, "query", "score", "doc_id", 10).select("query", "doc_id")
 
@@ -37,11 +43,24 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return salience.distinctive_terms(_t(spark, d, "postings"), n).select("doc_id", "term")
 
 
+def p5_graph_of_words(spark: SparkSession, d: str) -> DataFrame:
+    pages_ = _t(spark, d, "corpus")
+    n = termstats.page_count(pages_)
+    rows = salience.graph_of_words(pages_, "doc_id", tokenize_nostem("content"), n)
+    return rows.select("doc_id", "term", "degree", F.round("score", 6).alias("score"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     n = termstats.page_count(_t(spark, d, "doc_table"))
     return termstats.mark_terms(termstats.term_statistics(_t(spark, d, "postings")), n)
 
 
+def p6_text_ngrams(spark: SparkSession, d: str) -> DataFrame:
+    """Every n-gram of up to three words of the pages that at least two pages hold."""
+    rows = termstats.text_ngrams(_t(spark, d, "corpus"), "doc_id", tokenize_nostem("content"), 3)
+    return rows.where("records > 1")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return pages.residue_pages(_t(spark, d, "corpus"))
 
@@ -60,7 +79,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p6_found, p7_found, p8_ids, p9_found, p10_found)
+    f.__name__: f for f in (p1_found, p2_found, p3_found, p3_excess, p4_found, p5_found, p5_graph_of_words, p6_found, p6_text_ngrams, p7_found, p8_ids, p9_found, p10_found)
 }
 
 _PAIRS = """pairs AS (SELECT lower(trim(term)) AS term, doc_id, max(tf) AS tf FROM postings
@@ -68,7 +87,23 @@ _PAIRS = """pairs AS (SELECT lower(trim(term)) AS term, doc_id, max(tf) AS tf FR
 n AS (SELECT count(DISTINCT doc_id) AS n FROM doc_table),
 df AS (SELECT term, count(*) AS df FROM pairs GROUP BY term)"""
 
+_STOP = ", ".join(f"'{w}'" for w in sorted(STOPWORDS))
+_TOK = f"""raw AS (SELECT doc_id, regexp_split_to_array(lower(content), '[^\\p{{L}}\\p{{Nd}}]+') AS a FROM corpus),
+tok AS (SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS pos
+  FROM (SELECT doc_id, unnest(a) AS t, unnest(range(len(a))) AS pos FROM raw) WHERE t <> '' AND t NOT IN ({_STOP}))"""
+
 SQL: dict[str, str] = {
+    "p5_graph_of_words": f"""WITH {_TOK}, n AS (SELECT count(DISTINCT doc_id) AS n FROM corpus),
+  e AS (SELECT DISTINCT a.doc_id, a.t AS term, b.t AS other FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND abs(a.pos - b.pos) BETWEEN 1 AND 3 AND a.t <> b.t),
+  g AS (SELECT doc_id, term, count(*) AS degree FROM e GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM g GROUP BY 1),
+  m AS (SELECT doc_id, count(DISTINCT t) AS terms FROM tok GROUP BY 1),
+  s AS (SELECT doc_id, term, degree, floor(degree / terms * log10(n / df) * 1e9 + 0.5) AS nano FROM g JOIN df USING (term) JOIN m USING (doc_id), n)
+SELECT doc_id, term, degree, round(nano / 1e9, 6) AS score FROM s WHERE nano > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY nano DESC, term) <= 3""",
+    "p6_text_ngrams": f"""WITH {_TOK},
+  w AS (SELECT doc_id, t AS t1, lead(t, 1) OVER p AS t2, lead(t, 2) OVER p AS t3 FROM tok WINDOW p AS (PARTITION BY doc_id ORDER BY pos)),
+  g AS (SELECT doc_id, t1, CAST(NULL AS VARCHAR) AS t2, CAST(NULL AS VARCHAR) AS t3 FROM w
+    UNION ALL SELECT doc_id, t1, t2, NULL FROM w WHERE t2 IS NOT NULL UNION ALL SELECT doc_id, t1, t2, t3 FROM w WHERE t3 IS NOT NULL)
+SELECT t1, t2, t3, count(*) AS total, count(DISTINCT doc_id) AS records FROM g GROUP BY 1, 2, 3 HAVING count(DISTINCT doc_id) > 1""",
     "p3_found": """WITH p AS (SELECT doc_id, external_id, regexp_replace(regexp_replace(regexp_extract(lower(trim(url)),
     '^(?:[a-z][a-z0-9+.\\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)', 1), '^www\\.', ''), 'x^', '') AS site, string_split(content, chr(10)) AS ls
     FROM corpus WHERE url IS NOT NULL AND content IS NOT NULL),

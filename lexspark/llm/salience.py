@@ -45,15 +45,25 @@ def graph_of_words(docs: DataFrame, key: str, tokens: Column, n: Column, window:
 
     Within each record every token is joined by an edge to the ``window`` - 1 tokens after it; ``degree`` is the
     number of different other terms it shares an edge with. Score = degree / (different terms of the record)
-    x log10(N / df), rounded to 9 decimals. Records without tokens give no rows; the edges of a record are
+    x log10(N / df), rounded to 9 decimals; tokens hold no tab. Records without tokens give no rows; the edges of a record are
     built within its row and never leave it undeduplicated.
     """
-    rows = docs.select(F.col(key).alias("doc_id"), tokens.alias("w")).where(F.size("w") > 0)
-    at = F.sequence(F.lit(1), F.size("w"))
-    reach = F.flatten(F.transform(at, lambda i: F.transform(F.slice("w", i, window), lambda v: F.struct(F.element_at("w", i).alias("a"), v.alias("b")))))
-    edges = F.array_distinct(F.filter(reach, lambda e: e["a"] != e["b"]))
-    pairs = rows.select("doc_id", F.size(F.array_distinct("w")).alias("terms"), F.explode_outer(F.array_distinct(F.concat(edges, F.transform(edges, lambda e: F.struct(e["b"].alias("a"), e["a"].alias("b")))))).alias("e"))
-    degree = pairs.where("e is not null").groupBy("doc_id", F.col("e.a").alias("term")).agg(F.count("*").alias("degree"), F.first("terms").alias("terms"))
+    tab = F.lit("\t")
+
+    def edges(w: Column) -> Column:
+        """An edge is one string, both ways; of strings array_distinct is a hash set, of structs it compares all pairs."""
+
+        def of(t: Column, i: Column) -> Column:  # i counts from 0
+            near = F.slice(w, F.greatest(i + 2 - window, F.lit(1)), F.least(i + 1, F.lit(window)) + window - 1)
+            return F.transform(F.filter(near, lambda v: v != t), lambda v: F.concat(t, tab, v))
+
+        return F.struct(F.size(F.array_distinct(w)).alias("terms"), F.array_distinct(F.flatten(F.transform(w, of))).alias("edges"))
+
+    # the tokens are bound to a lambda's variable: a column would be inlined and worked out again at every use
+    made = F.transform(F.array(tokens), edges)[0]
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), F.explode(F.array(made)).alias("m"))
+    pairs = rows.select("doc_id", F.col("m.terms").alias("terms"), F.explode("m.edges").alias("e"))
+    degree = pairs.groupBy("doc_id", F.substring_index("e", "\t", 1).alias("term")).agg(F.count("*").alias("degree"), F.first("terms").alias("terms"))
     spread = degree.withColumn("salt", salt("doc_id"))
     df = spread.groupBy("term", "salt").agg(F.count("*").alias("c"), F.max("terms").alias("m"))
     both = Window.partitionBy("term")
