@@ -24,8 +24,8 @@ STEP_4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous
 class Dialect:
     """How the two dialects spell what they share."""
 
-    def __init__(self, like: str, bytes_: str, group: str, flags: str):
-        self.like, self.bytes, self.group, self.flags = like, bytes_, group, flags
+    def __init__(self, like: str, group: str, flags: str, look_up: str):
+        self.like, self.group, self.flags, self.look_up = like, group, flags, look_up
 
     def match(self, pattern: str) -> str:
         return f"{self.like}(w, '{pattern}')"
@@ -34,8 +34,8 @@ class Dialect:
         return f"regexp_replace({value}, '{pattern}', '{to}'{self.flags})"
 
 
-SPARK = Dialect("regexp_like", "octet_length", "$1", "")
-DUCK = Dialect("regexp_matches", "strlen", "\\1", ", 'g'")
+SPARK = Dialect("regexp_like", "$1", "", "element_at(map_from_arrays(array({0}), array({1})), {2})")
+DUCK = Dialect("regexp_matches", "\\1", ", 'g'", "map([{0}], [{1}])[{2}]")
 
 
 def _cut(n: int) -> str:
@@ -43,16 +43,16 @@ def _cut(n: int) -> str:
 
 
 def _rules(d: Dialect, rules: str, measure: str) -> str:
-    cases = []
-    for rule in rules.split():
-        suffix, _, to = rule.partition("=")
-        need = f"{measure}.*{suffix}$" if suffix != "ion" else f"{measure}.*ion$"
-        then = f"concat({_cut(len(suffix))}, '{to}')" if to else _cut(len(suffix))
-        test = d.match(need)
-        if suffix == "ion":
-            test += " AND " + d.match("[st]ion$")
-        cases.append(f"WHEN w LIKE '%{suffix}' THEN CASE WHEN {test} THEN {then} ELSE w END")
-    return "CASE " + " ".join(cases) + " ELSE w END"
+    """The longest suffix that fits decides: where one of these suffixes ends another, the longer comes first in
+    the published order as well. It goes, or changes, if the measure of what is before it is high enough."""
+    pairs = [rule.partition("=")[::2] for rule in rules.split()]
+    suffix = f"regexp_extract(w, '({'|'.join(s for s, _ in pairs)})$', 1)"
+    before = f"substr(w, 1, length(w) - length({suffix}))"
+    to = d.look_up.format(", ".join(f"'{s}'" for s, _ in pairs), ", ".join(f"'{t}'" for _, t in pairs), suffix) if any(t for _, t in pairs) else "''"
+    fits = f"{d.like}({before}, '{measure}')"
+    if any(s == "ion" for s, _ in pairs):
+        fits += f" AND ({suffix} <> 'ion' OR {d.match('[st]ion$')})"
+    return f"CASE WHEN {suffix} = '' THEN w WHEN {fits} THEN concat({before}, {to}) ELSE w END"
 
 
 def steps(d: Dialect) -> list[str]:

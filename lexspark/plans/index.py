@@ -6,10 +6,10 @@ import time
 from collections import OrderedDict
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.functions.scoring import BM25Params
+from lexspark.functions.scoring import BM25Params, bm25_score
 from lexspark.functions.snippet import snippet
 from lexspark.functions.text import tokenize_nostem
 from lexspark.operators import build, evaluate, search
@@ -143,33 +143,46 @@ class Index:
         k = k if k and k > 0 else 10
         out = {"query": query, "results": [], "total_hits": 0, "cache_hit": False}
         key = (query, k, mode, self.version)
-        terms = self._terms([(0, query)])
-        rows = terms.collect() if query else []
+        rows = self._terms([(0, query)]).select("pos", "term").collect() if query else []
         if rows:
             kept = self.cache.get(key)
             if kept is None:
-                literal = self.postings.where(F.col("term").isin(sorted({r["term"] for r in rows})))
-                scored = search.score(terms, literal, build.dictionary(literal), self.doc_count, self.avgdl)
-                kept = self._hydrate(search.rank(scored, terms, k, mode), query)
+                kept = self._search([(r["pos"], r["term"]) for r in rows], query, k, mode)
                 self.cache.put(key, kept)
             else:
                 out["cache_hit"] = True
-            out["results"] = [{n: r[n] for n in ("doc_id", "external_id", "url", "title", "score", "snippet")} for r in kept]
-            out["total_hits"] = kept[0]["total_hits"] if kept else 0
+            out["results"], out["total_hits"] = [dict(r) for r in kept[0]], kept[1]
         out["time_taken_ms"] = (time.perf_counter() - began) * 1000
         return out
 
-    def _hydrate(self, ranked: DataFrame, query: str) -> list:
-        """At most k rows: their ids go to the scans of doc_table and contents as literals."""
-        top = ranked.orderBy("rank").collect()
+    def _search(self, terms: list[tuple[int, str]], query: str, k: int, mode: str) -> tuple[list[dict[str, Any]], int]:
+        """The results and the number of hits. Terms and their idf, as many as the query has, are literals."""
+        places: dict[str, list[int]] = {}
+        for pos, term in terms:
+            places.setdefault(term, []).append(pos)
+        post = self.postings.where(F.col("term").isin(list(places)))
+        df = {r["term"]: r["df"] for r in build.dictionary(post).collect()}
+        if not df:
+            return [], 0
+        per_term = F.create_map(*[x for t in df for x in (F.lit(t), F.struct(F.lit(df[t]).alias("df"), F.array(*map(F.lit, places[t])).alias("pos")))])
+        hit = post.withColumn("q", F.element_at(per_term, F.col("term")))
+        value = bm25_score("tf", F.col("q.df"), "doc_len", F.lit(self.avgdl), F.lit(self.doc_count))
+        parts = hit.select("doc_id", value.alias("s"), F.explode("q.pos").alias("pos")).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "s")).alias("parts"))
+        if mode == "and":
+            parts = parts.where(F.size("parts") >= len(terms))
+        seen = Observation()
+        scored = parts.select("doc_id", F.aggregate(F.array_sort("parts"), F.lit(0.0), lambda a, x: a + x["s"]).alias("score"))
+        top = scored.observe(seen, F.count(F.lit(1)).alias("n")).orderBy(F.desc("score"), F.asc("doc_id")).limit(k).collect()
         if not top:
-            return []
-        ids = [r["doc_id"] for r in top]
-        words = tokenize_nostem(F.lit(query))
-        known = F.broadcast(self.spark.createDataFrame([(r["rank"], r["doc_id"], r["score"], r["total_hits"]) for r in top], "rank int, doc_id bigint, score double, total_hits bigint"))
-        meta = self.doc_table.where(F.col("doc_id").isin(ids)).join(known, "doc_id")
-        rows = meta.join(self.contents.where(F.col("doc_id").isin(ids)), "doc_id", "left")
-        return rows.select("rank", "doc_id", "external_id", "url", "title", "score", snippet("content", words).alias("snippet"), "total_hits").orderBy("rank").collect()
+            return [], 0
+        ids = [r["doc_id"] for r in top]  # at most k: they go to both scans as literals
+        meta = {r["doc_id"]: r for r in self.doc_table.where(F.col("doc_id").isin(ids)).select("doc_id", "external_id", "url", "title").collect()}
+        texts = {r[0]: r[1] for r in self.contents.where(F.col("doc_id").isin(ids)).select("doc_id", snippet("content", tokenize_nostem(F.lit(query)))).collect()}
+        results = [
+            {"doc_id": r["doc_id"], "external_id": m["external_id"], "url": m["url"], "title": m["title"], "score": r["score"], "snippet": texts.get(r["doc_id"], "")}
+            for r in top if (m := meta.get(r["doc_id"]))
+        ]
+        return results, seen.get["n"]
 
     def evaluate(self, judgments: DataFrame, k: int = 10, params: BM25Params = BM25Params()) -> DataFrame:
         """Precision at k and recall of every judgment (``query, relevant_urls``), each row a query of its own.

@@ -30,7 +30,8 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, d: str) -> Index:
-    return Index.from_corpus(_corpus(spark, d))
+    """The index, built and saved as a user would have it."""
+    return Index.create(_corpus(spark, d), f"{_folder(spark)}/index")
 
 
 def _folder(spark: SparkSession) -> str:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexspark.sources.scan import spread
+
 CORPUS = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -19,7 +21,7 @@ CORPUS = T.StructType(
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """A page table in Parquet; columns beyond the corpus ones are pruned at the scan."""
-    return spark.read.parquet(path).select(*CORPUS.names)
+    return spread(spark.read.parquet(path).select(*CORPUS.names))
 
 
 def from_documents(documents: DataFrame) -> DataFrame:

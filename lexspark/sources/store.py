@@ -80,8 +80,10 @@ def append_segment(spark: SparkSession, path: str, corpus: DataFrame, key: str |
     if name in m.segments:
         return m
     base = f"{path}/{name}"
-    docs = build.document_table(corpus)
     build.postings(corpus).repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{base}/postings")
+    # a document's length has travelled with its postings: the texts are not tokenized a second time
+    lengths = spark.read.parquet(f"{base}/postings").groupBy("doc_id").agg(F.max("doc_len").cast("int").alias("length"))
+    docs = corpus.select("doc_id", "external_id", "url", "title").join(lengths, "doc_id", "left").na.fill(0, ["length"])
     docs.write.mode("overwrite").parquet(f"{base}/doc_table")
     corpus.select("doc_id", "content").sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{base}/contents")
     got = spark.read.parquet(f"{base}/doc_table").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0)), F.coalesce(F.max("doc_id"), F.lit(-1))).first()
