@@ -31,7 +31,7 @@ LAGS = 16
 REAL_WORDS = 40
 MIN_SPAM_WORDS = 15
 #: A line without any of these, a double ``__`` or an empty place between commas holds no slot.
-SIGNS = frozenset("{[<%$@")
+SIGNS = frozenset("{[<%$@~^")
 TAG = re.compile(r"#\w+")
 
 
@@ -74,12 +74,12 @@ class Judge:
 
     def page(self, content: str | None, title: str | None, url: str | None) -> dict:
         lines = self.blocks.furniture(content, title, url)
-        own = [(line, v) for _, line, is_furniture, v in lines if not is_furniture]
+        own = [(line, v) for _, line, is_furniture, v in lines if not is_furniture or (not v.words and v.links)]  # bare links are never menus
         spam, real = self.weigh(own)
         signs = [(line, v) for _, line, _, v in lines if v.words < 40 and (not SIGNS.isdisjoint(line) or "__" in line or ", ," in line)]
         slots = residue_lines.title_kind(title) is not None or any(residue_lines.kind(line) == "slot" for line, _ in signs)
         short = real < REAL_WORDS
-        filler = short and self.filler([line for line, _ in own])
+        filler = short and self.filler([line for _, line, is_furniture, v in lines if not is_furniture or v.odds <= 1])
         is_spam = spam >= MIN_SPAM_WORDS and spam > real and not filler
         fails = filler or (short and not is_spam and any(residue_lines.kind(line) for _, line, _, v in lines if v.words < 40))
         masked = [m for line, _ in signs if (m := residue_lines.skeleton(line))]
