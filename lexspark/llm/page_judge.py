@@ -30,6 +30,8 @@ LAGS = 16
 #: A text of at least so many words in sentences is a text, whatever stands beside it.
 REAL_WORDS = 40
 MIN_SPAM_WORDS = 15
+#: So many are enough where nothing else stands on the page.
+MIN_BARE_SPAM = 3
 #: A line without any of these, a double ``__`` or an empty place between commas holds no slot.
 SIGNS = frozenset("{[<%$@~^")
 TAG = re.compile(r"#\w+")
@@ -74,13 +76,13 @@ class Judge:
 
     def page(self, content: str | None, title: str | None, url: str | None) -> dict:
         lines = self.blocks.furniture(content, title, url)
-        own = [(line, v) for _, line, is_furniture, v in lines if not is_furniture or (not v.words and v.links)]  # bare links are never menus
+        own = [(line, v) for _, line, is_furniture, v in lines if not is_furniture or (not v.words and v.links) or line.count("#") >= 6]  # bare links and heaps of tags are no menus
         spam, real = self.weigh(own)
         signs = [(line, v) for _, line, _, v in lines if v.words < 40 and (not SIGNS.isdisjoint(line) or "__" in line or ", ," in line)]
         slots = residue_lines.title_kind(title) is not None or any(residue_lines.kind(line) == "slot" for line, _ in signs)
         short = real < REAL_WORDS
         filler = short and self.filler([line for _, line, is_furniture, v in lines if not is_furniture or v.odds <= 1])
-        is_spam = spam >= MIN_SPAM_WORDS and spam > real and not filler
+        is_spam = spam >= (MIN_SPAM_WORDS if real else MIN_BARE_SPAM) and spam > real and not filler
         fails = filler or (short and not is_spam and any(residue_lines.kind(line) for _, line, _, v in lines if v.words < 40))
         masked = [m for line, _ in signs if (m := residue_lines.skeleton(line))]
         return {
@@ -143,16 +145,18 @@ class Judge:
     @staticmethod
     def filler(lines: list[str]) -> bool:
         """Sentences that hold no function word of any language: words set only to fill the page."""
-        blank = other = 0
+        blank: list[str] = []
+        other = 0
         for line in lines:
-            for part in re.split(r"(?<=[.!?])\s+", line):
+            for part in re.split(r"(?<=[.!?])\s+", line.strip()):
                 words = [w.lower() for w in blocks.WORD.findall(part)]
-                if len(words) >= 8 and part.rstrip()[-1:] in (".", "!", "?") and part[:1].isupper() and "," not in part and not any(w in FUNCTION for w in words):
-                    if recurrence(words)[1] < 0.3:
-                        blank += len(words)
-                        continue
-                other += len(words)
-        return blank >= 16 and blank > other
+                if len(words) >= 8 and part[:1].isupper() and not any(w in FUNCTION for w in words) and not re.search(r"[,;#|/:~+>•·]", part):
+                    blank += words
+                else:
+                    other += len(words)
+        if len(blank) < 8 or len(blank) <= other:
+            return False
+        return max(Counter(blank).values()) <= max(4, 0.15 * len(blank))  # no keyword stands out
 
 
 JUDGED = "doc_id {kind}, ext string, site string, furniture array<int>, spam boolean, residue boolean, short boolean, notices array<bigint>, templates array<bigint>, known array<boolean>"

@@ -15,7 +15,7 @@ CODE = re.compile(r"^\s*(?:render|print|echo|return|run|def|for|if|\$|>>>|let|va
 
 FILLER = re.compile(
     r"^(?:your text goes here|sample text\b|placeholder text|this is a placeholder|dummy text|text coming soon|coming soon|content coming soon|heading one\b|todo\b|tbd\b|add your (?:text|content)|replace this (?:text|paragraph)"
-    r"|insert (?:text|content|headline)|write something here|under construction|(?:x{3,}\s*){2,}$|lorem ipsum\b|edit this (?:text|page)|click (?:here )?to edit|this page is (?:empty|blank)|no content yet|new page\b)",
+    r"|insert (?:text|content|headline)|write something here|under construction|(?:x{3,}\s*){2,}$|lorem ipsum\b|edit this (?:text|page)|click (?:here )?to edit|this page is (?:empty|blank)|no content yet|add a (?:short )?(?:description|title|text|headline|caption)\b|describe your\b|new page\b)",
     re.I,
 )
 SCRIPTS = re.compile(
@@ -25,9 +25,9 @@ SCRIPTS = re.compile(
 )
 FAILURE = re.compile(
     r"^(?:\W*(?:http )?(?:status|error)? ?(?:code )?[45]\d\d\b.{0,100}$|(?:\w+ )?error\W*$|error(?: code)?\W? ?\d+|whoops|oops|sorry\b|page not found|not found\b|not available|internal server error|service unavailable|bad gateway|server error|access denied|forbidden\b"
-    r"|fatal error|warning: \w+\(|traceback\b|null reference|uncaught|exception\b|stack trace|seite nicht gefunden|página no encontrada|page introuvable|page non trouvée|(?:die )?seite wurde nicht gefunden|(?:database )?connection (?:timed out|refused|failed|lost)|request timed out|maintenance mode|database error|cannot connect)"
+    r"|fatal error|warning: \w+\(|traceback\b|null reference|uncaught|exception\b|stack trace|seite nicht gefunden|página no encontrada|page introuvable|page non trouvée|request blocked\b|(?:die )?seite wurde nicht gefunden|(?:database )?connection (?:timed out|refused|failed|lost)|request timed out|maintenance mode|database error|cannot connect)"
     r"|(?:something went wrong|could not (?:be found|be reached|be loaded|finish|connect)|cannot (?:find|be shown|be displayed|be reached)|does not exist or has (?:moved|been)|did not answer in time|(?:page|file|address|site) (?:was|is) not (?:found|available)|nothing was found here|down for (?:repairs|maintenance)"
-    r"|please (?:try again|come back) (?:later|soon)|do not have (?:leave|permission) to|met a problem|\(http \d{3}\)|http(?: status)? [45]\d\d|failed to load|exceeded the|too many requests)",
+    r"|please (?:try again|come back) (?:later|soon)|do not have (?:leave|permission) to|met a problem|\(http \d{3}\)|http(?: status)? [45]\d\d|failed to load|est introuvable|n'existe (?:pas|plus)|session (?:has )?(?:run out|expired|timed out|ended)|existiert nicht|no existe\b|blocked by|exceeded the|too many requests)",
     re.I,
 )
 TITLE_FAILURE = re.compile(
