@@ -81,7 +81,7 @@ class Judge:
         signs = [(line, v) for _, line, _, v in lines if v.words < 40 and (not SIGNS.isdisjoint(line) or "__" in line or ", ," in line)]
         slots = residue_lines.title_kind(title) is not None or any(residue_lines.kind(line) == "slot" for line, _ in signs)
         short = real < REAL_WORDS
-        filler = short and self.filler([line for _, line, is_furniture, v in lines if not is_furniture or v.odds <= 1])
+        filler = short and self.filler([line for _, line, is_furniture, v in lines if not is_furniture or (v.odds <= 1 and v.words >= 8 and not v.mark)])
         is_spam = spam >= (MIN_SPAM_WORDS if real else MIN_BARE_SPAM) and spam > real and not filler
         fails = filler or (short and not is_spam and any(residue_lines.kind(line) for _, line, _, v in lines if v.words < 40))
         masked = [m for line, _ in signs if (m := residue_lines.skeleton(line))]
