@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from lexspark.functions.text import STOPWORDS, tokenize_nostem
 from lexspark.llm import bpe, leakage, pages, readability, salience, site_lines, termstats, topn
+from lexspark.sources.scan import spread
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(df) if name in ("corpus", "documents") else df  # work of many seconds a MB follows
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
