@@ -12,4 +12,4 @@ def spread(df: DataFrame) -> DataFrame:
     one with enough splits, as every large table has, is left alone and not shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 64) else df
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < min(cores, 64) else df
