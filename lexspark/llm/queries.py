@@ -123,4 +123,9 @@ SELECT query, doc_id FROM r QUALIFY row_number() OVER (PARTITION BY query ORDER
 SELECT doc_id, term FROM w WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) <= 3""",
     "p6_found": f"""WITH {_PAIRS}
 SELECT term, CASE WHEN df <= 2 THEN 'rare' ELSE 'common' END AS mark FROM df, n WHERE df <= 2 OR df > 0.3 * n""",
+    "p9_found": """WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS a FROM documents WHERE text IS NOT NULL),
+  i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS a FROM eval_items WHERE text IS NOT NULL),
+  dg AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(a) - 10), lambda k: array_to_string(a[k:k+11], ' '))) AS g FROM d WHERE len(a) >= 12),
+  ig AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(a) - 10), lambda k: array_to_string(a[k:k+11], ' '))) AS g FROM i WHERE len(a) >= 12)
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
 }
