@@ -40,7 +40,7 @@ def _plain(text: str) -> str:
     return DIGITS.sub("0", text)
 
 
-def _terms(text: str) -> list[str]:
+def terms(text: str) -> list[str]:
     return WORD.findall(DIGITS.sub("0", text).lower())
 
 
@@ -135,7 +135,7 @@ class Tree:
         return self.value[i]
 
 
-def _site_names(url: str | None) -> set[str]:
+def site_names(url: str | None) -> set[str]:
     """The labels of the host that may name the site."""
     if not url:
         return set()
@@ -193,11 +193,11 @@ class Classifier:
         shared: Counter = Counter()
         for v in lex:
             shared.update(v.names)
-        head = set(_terms(title)) if title else set()
+        head = set(terms(title)) if title else set()
         if url:
-            head.update(_terms(url.split("//")[-1].partition("/")[2]))
-        title_low = " ".join(_terms(title)) if title else ""
-        site = _site_names(url)
+            head.update(terms(url.split("//")[-1].partition("/")[2]))
+        title_low = " ".join(terms(title)) if title else ""
+        site = site_names(url)
         longs = [i for i, v in enumerate(lex) if v.long]
         first, last = (longs[0], longs[-1]) if longs else (n, -1)
         below = 0.0

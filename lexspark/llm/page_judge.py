@@ -79,7 +79,9 @@ class Judge:
         own = [(line, v) for _, line, is_furniture, v in lines if not is_furniture or (not v.words and v.links) or line.count("#") >= 6]  # bare links and heaps of tags are no menus
         spam, real = self.weigh(own)
         signs = [(line, v) for _, line, _, v in lines if v.words < 40 and (not SIGNS.isdisjoint(line) or "__" in line or ", ," in line)]
-        slots = residue_lines.title_kind(title) is not None or any(residue_lines.kind(line) == "slot" for line, _ in signs)
+        names = blocks.site_names(url)
+        told = (t for _, _, _, v in lines if v.long for t in v.terms)  # read for doubtful titles only
+        slots = residue_lines.title_kind(title, names, told) is not None or any(residue_lines.kind(line) == "slot" for line, _ in signs)
         short = real < REAL_WORDS
         filler = short and self.filler([line for _, line, is_furniture, v in lines if not is_furniture or (v.odds <= 1 and v.words >= 8 and not v.mark)])
         is_spam = spam >= (MIN_SPAM_WORDS if real else MIN_BARE_SPAM) and spam > real and not filler
@@ -93,10 +95,25 @@ class Judge:
             "notices": [xxhash.xxh3_64_intdigest(" ".join(v.terms)) - 2**63 for _, _, _, v in lines if v.ends == 1 and 4 <= v.words <= 25 and not v.mark and not v.links],
             "templates": [xxhash.xxh3_64_intdigest(m) - 2**63 for m, _ in masked],
             "known": [k for _, k in masked],
+            **self.title(title, url, names, lines),
             "real": real,
             "spam_words": spam,
         }
 
+    @staticmethod
+    def title(title: str | None, url: str | None, names: set[str], lines: list[tuple[int, str, bool, blocks.Lexical]]) -> dict:
+        """The title's head, and whether the page tells nothing of it: not half of its words stand in a line or the path."""
+        words = blocks.terms(residue_lines.title_head(title, names))
+        if not words:
+            return {"head": None, "apart": None}
+        content = {w for w in words if w not in FUNCTION} or set(words)
+        here = content.intersection(blocks.terms((url or "").split("//")[-1].partition("/")[2]))
+        for _, _, _, v in lines:
+            if 2 * len(here) > len(content):
+                break
+            here |= content.intersection(v.terms)
+        return {"head": xxhash.xxh3_64_intdigest(" ".join(words)) - 2**63, "apart": 2 * len(here) <= len(content)}
+
     @staticmethod
     def weigh(lines: list[tuple[str, blocks.Lexical]]) -> tuple[int, int]:
         """Words of the own text that are keywords, links or tags; words that stand in sentences."""
@@ -159,7 +176,7 @@ class Judge:
         return max(Counter(blank).values()) <= max(4, 0.15 * len(blank))  # no keyword stands out
 
 
-JUDGED = "doc_id {kind}, ext string, site string, furniture array<int>, spam boolean, residue boolean, short boolean, notices array<bigint>, templates array<bigint>, known array<boolean>"
+JUDGED = "doc_id {kind}, ext string, site string, furniture array<int>, spam boolean, residue boolean, short boolean, notices array<bigint>, templates array<bigint>, known array<boolean>, head bigint, apart boolean"
 
 
 def judge_pages(pages: DataFrame) -> DataFrame:
@@ -171,8 +188,8 @@ def judge_pages(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge()
-        names = ["doc_id", "ext", "site", "furniture", "spam", "residue", "short", "notices", "templates", "known"]
-        types = [None, None, None, pa.list_(pa.int32()), pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_())]
+        names = ["doc_id", "ext", "site", "furniture", "spam", "residue", "short", "notices", "templates", "known", "head", "apart"]
+        types = [None, None, None, pa.list_(pa.int32()), pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.int64(), pa.bool_()]
         for batch in batches:
             rows = [judge.page(c, t, u) for c, t, u in zip(*(batch.column(k).to_pylist() for k in (3, 4, 5)))]
             columns = [batch.column(0), batch.column(1), batch.column(2)]

@@ -16,6 +16,8 @@ from lexspark.session import checkpoint_dir
 MIN_NOTICES, ELSEWHERE = 3, 0.1
 #: A template has to be seen on so many pages before its other slots are judged by it.
 MIN_ALIGNED = 2
+#: A title's head is a default if pages that tell nothing of it have it on so many sites, and hardly any other does.
+MIN_SITES = 3
 
 
 def spam_pages(pages: DataFrame) -> DataFrame:
@@ -39,9 +41,10 @@ def judged(pages: DataFrame) -> DataFrame:
 def residue_of(rows: DataFrame) -> DataFrame:
     """``doc_id`` (distinct) of pages with template residue, out of judgements.
 
-    Three ways lead in: the page alone shows an unfilled slot, or nothing but filler, a failure or a notice that
+    Four ways lead in: the page alone shows an unfilled slot, or nothing but filler, a failure or a notice that
     scripts are needed; it holds a line of a template whose slot is left unfilled in aligned records, in another
-    notation; or it is short and holds a notice that comes back on short pages of the site only.
+    notation; it is short and holds a notice that comes back on short pages of the site only; or its title is one
+    that comes back over several sites on pages that tell nothing of it.
     """
     alone = rows.where("residue").select("doc_id")
     lines = rows.where("size(templates) > 0").select("doc_id", "ext", F.explode(F.arrays_zip("templates", "known")).alias("t"))
@@ -54,7 +57,12 @@ def residue_of(rows: DataFrame) -> DataFrame:
     counts = once.groupBy("site", "notice").agg(F.sum(F.col("short").cast("int")).alias("on_short"), F.count("*").alias("all"))
     errors = counts.where((F.col("on_short") >= MIN_NOTICES) & (F.col("all") - F.col("on_short") <= ELSEWHERE * F.col("on_short"))).select("site", "notice")
     repeated = notices.where("short").join(errors, ["site", "notice"], "left_semi").select("doc_id")
-    return alone.unionByName(aligned).unionByName(repeated).distinct()
+    # distinct (head, site) first: a default may be the title of very many pages
+    titles = rows.where("head is not null").groupBy("head", "site").agg(F.max("apart").alias("apart"))
+    heads = titles.where("site <> ''").groupBy("head").agg(F.sum(F.col("apart").cast("int")).alias("on_apart"), F.count("*").alias("all"))
+    defaults = heads.where((F.col("on_apart") >= MIN_SITES) & (F.col("all") - F.col("on_apart") <= ELSEWHERE * F.col("on_apart"))).select("head")
+    default = rows.where("apart").select("doc_id", "head").join(defaults, "head", "left_semi").select("doc_id")
+    return alone.unionByName(aligned).unionByName(repeated).unionByName(default).distinct()
 
 
 def residue_pages(pages: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Set
 
 #: A slot of a template, in the common notations.
 SLOT = re.compile(
@@ -31,7 +32,7 @@ FAILURE = re.compile(
     re.I,
 )
 TITLE_FAILURE = re.compile(
-    r"^\W*(?:(?:http |server |internal server |application |database |fatal )?error(?: (?:code )?\W?\d{3}\W?| page)?|(?:page |file |seite )?(?:not|nicht) (?:found|available|gefunden)|[45]\d\d(?:\W.{0,40})?|server error \W?\d+\W?|(?:service |temporarily )?unavailable|access denied|forbidden|(?:new|untitled|blank|sample|test) (?:page|document)(?: \d+)?|untitled|no title|title|insert title(?: here)?|your title here"
+    r"^\W*(?:(?:http |server |internal server |application |database |fatal )?error(?: (?:code )?\W?\d{3}\W?| page)?|(?:page |file |seite )?(?:not|nicht) (?:found|available|gefunden)|[45]\d\d(?:\W.{0,40})?|server error \W?\d+\W?|(?:service |temporarily )?unavailable|access denied|forbidden|(?:new|untitled|blank|sample|test) (?:page|document)(?: \d+)?|untitled|no title|title|insert title|(?:(?:insert|add|enter|type|your|the|a|my|site|page|post|blog|document|article) )*(?:title|headline|heading|name) (?:goes )?here"
     r"|página no encontrada|page introuvable|fehler|erreur|bad gateway|internal server error|(?:please )?enable javascript|just a moment\W*|checking your browser\W*|something went wrong|whoops|oops|under construction|coming soon|maintenance)\W*$",
     re.I,
 )
@@ -76,13 +77,31 @@ def kind(line: str) -> str | None:
     return None
 
 
-def title_kind(title: str | None, site: str = "") -> str | None:
-    """The same of a title, which has to be one as a whole; a site's name after a bar does not count."""
+def title_head(title: str | None, names: Set[str] = frozenset()) -> str:
+    """The title without what it quotes and without the site's name, which stands before or after a bar.
+
+    ``names`` are the labels of the host; without any of them in a part, the first part is the head.
+    """
+    own = QUOTED.sub(" ", re.sub(r"\s+", " ", title or "").strip())
+    parts = [p.strip() for p in re.split(r"\s[|–—-]\s", own) if p.strip()]
+    rest = [p for p in parts if len(p.split()) > 3 or not any(s in re.sub(r"[\W_]+", "", p.lower()) for s in names)]
+    return (rest or parts or [""])[0]
+
+
+def title_kind(title: str | None, names: Set[str] = frozenset(), told: Iterable[str] = ()) -> str | None:
+    """The same of a title, which has to be one as a whole; the site's name does not count.
+
+    ``told`` are the terms of the page's sentences: a page that speaks of its title's words has a title.
+    """
     if not title or not title.strip():
         return None
-    text = re.sub(r"\s+", " ", title).strip()
-    own = QUOTED.sub(" ", text)
-    if SLOT.search(own):
+    if SLOT.search(QUOTED.sub(" ", title)):
         return "slot"
-    head = re.split(r"\s[|–—-]\s", own)[0]
-    return "failure" if TITLE_FAILURE.match(head) else None
+    head = title_head(title, names)
+    if TITLE_FAILURE.match(head):
+        return "failure"
+    odd = ODD.search(head) is not None and not re.search(r"\w", ODD.sub(" ", head))
+    filler = FILLER.search(head) is not None
+    if (odd or filler) and not set(told).issuperset(re.findall(r"[^\W\d_]+", head.lower())):
+        return "slot" if odd else "filler"
+    return None
