@@ -32,8 +32,6 @@ REAL_WORDS = 40
 MIN_SPAM_WORDS = 15
 #: So many are enough where nothing else stands on the page.
 MIN_BARE_SPAM = 3
-#: A line without any of these, a double ``__`` or an empty place between commas holds no slot.
-SIGNS = frozenset("{[<%$@~^")
 TAG = re.compile(r"#\w+")
 
 
@@ -71,31 +69,49 @@ def recurrence(terms: list[str], lags: int = LAGS) -> tuple[float, float, float]
 class Judge:
     """Reads one page after another."""
 
-    def __init__(self) -> None:
+    def __init__(self, residue: bool = True) -> None:
+        self.residue = residue
         self.blocks = blocks.classifier()
+        self.memo: dict[str, tuple[bool, int, int, int]] = {}
+
+    def slots(self, line: str, v: blocks.Lexical) -> tuple[bool, int, int, int]:
+        """Whether the line shows a slot; the hash of its skeleton and what its slots hold, -1 without one; the hash of its words."""
+        got = self.memo.get(line)
+        if got is None:
+            sign = residue_lines.has_sign(line)
+            m = residue_lines.skeleton(line) if sign or (v.capitals or v.digits) and not v.links else None
+            if m and m[1] == residue_lines.FILLED and v.links:
+                m = None  # menus and trails are no records
+            got = (sign and residue_lines.kind(line) == "slot", xxhash.xxh3_64_intdigest(m[0]) - 2**63 if m else 0, m[1] if m else -1, xxhash.xxh3_64_intdigest(" ".join(v.terms)) - 2**63 if m else 0)
+            if len(line) < 200:
+                if len(self.memo) > 50_000:
+                    self.memo.clear()
+                self.memo[line] = got
+        return got
 
     def page(self, content: str | None, title: str | None, url: str | None) -> dict:
         lines = self.blocks.furniture(content, title, url)
         own = [(line, v) for _, line, is_furniture, v in lines if not is_furniture or (not v.words and v.links) or line.count("#") >= 6]  # bare links and heaps of tags are no menus
         spam, real = self.weigh(own)
-        signs = [(line, v) for _, line, _, v in lines if v.words < 40 and (not SIGNS.isdisjoint(line) or "__" in line or ", ," in line)]
+        slotted = [m for _, line, _, v in lines if (m := self.slots(line, v))[2] >= 0 or m[0]] if self.residue else []
         names = blocks.site_names(url)
         told = (t for _, _, _, v in lines if v.long for t in v.terms)  # read for doubtful titles only
-        slots = residue_lines.title_kind(title, names, told) is not None or any(residue_lines.kind(line) == "slot" for line, _ in signs)
+        slots = residue_lines.title_kind(title, names, told) is not None or any(m[0] for m in slotted)
         short = real < REAL_WORDS
         filler = short and self.filler([line for _, line, is_furniture, v in lines if not is_furniture or (v.odds <= 1 and v.words >= 8 and not v.mark)])
         is_spam = spam >= (MIN_SPAM_WORDS if real else MIN_BARE_SPAM) and spam > real and not filler
         fails = filler or (short and not is_spam and any(residue_lines.kind(line) for _, line, _, v in lines if v.words < 40))
-        masked = [m for line, _ in signs if (m := residue_lines.skeleton(line))]
+        masked = {(m, held, value): None for _, m, held, value in slotted if held >= 0}
         return {
             "furniture": [no for no, _, is_furniture, _ in lines if is_furniture],
             "spam": is_spam,
             "residue": slots or fails,
             "short": short and not is_spam,
             "notices": [xxhash.xxh3_64_intdigest(" ".join(v.terms)) - 2**63 for _, _, _, v in lines if v.ends == 1 and 4 <= v.words <= 25 and not v.mark and not v.links],
-            "templates": [xxhash.xxh3_64_intdigest(m) - 2**63 for m, _ in masked],
-            "known": [k for _, k in masked],
-            **self.title(title, url, names, lines),
+            "templates": [m for m, _, _ in masked],
+            "held": [held for _, held, _ in masked],
+            "values": [value for _, _, value in masked],
+            **self.title(title if self.residue else None, url, names, lines),
             "real": real,
             "spam_words": spam,
         }
@@ -176,20 +192,21 @@ class Judge:
         return max(Counter(blank).values()) <= max(4, 0.15 * len(blank))  # no keyword stands out
 
 
-JUDGED = "doc_id {kind}, ext string, site string, furniture array<int>, spam boolean, residue boolean, short boolean, notices array<bigint>, templates array<bigint>, known array<boolean>, head bigint, apart boolean"
+JUDGED = "doc_id {kind}, ext string, site string, furniture array<int>, spam boolean, residue boolean, short boolean, notices array<bigint>, templates array<bigint>, held array<int>, values array<bigint>, head bigint, apart boolean"
 
 
-def judge_pages(pages: DataFrame) -> DataFrame:
+def judge_pages(pages: DataFrame, residue: bool = True) -> DataFrame:
     """One row per row of ``pages``: what the page alone tells. Null content is a page without lines.
 
+    Without ``residue`` templates and titles are not read, and what rests on them means nothing.
     ``pages`` needs doc_id, external_id, url, title and content; further columns are not read.
     """
     kind = dict(pages.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Judge()
-        names = ["doc_id", "ext", "site", "furniture", "spam", "residue", "short", "notices", "templates", "known", "head", "apart"]
-        types = [None, None, None, pa.list_(pa.int32()), pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.int64(), pa.bool_()]
+        judge = Judge(residue)
+        names = ["doc_id", "ext", "site", "furniture", "spam", "residue", "short", "notices", "templates", "held", "values", "head", "apart"]
+        types = [None, None, None, pa.list_(pa.int32()), pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64(), pa.bool_()]
         for batch in batches:
             rows = [judge.page(c, t, u) for c, t, u in zip(*(batch.column(k).to_pylist() for k in (3, 4, 5)))]
             columns = [batch.column(0), batch.column(1), batch.column(2)]

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.llm.page_judge import judge_pages
+from lexspark.llm.residue_lines import FILLED, KNOWN, UNFILLED
 from lexspark.session import checkpoint_dir
 
 #: A whole-page notice has to come back on so many short pages of its site, and hardly ever elsewhere.
@@ -29,7 +30,7 @@ def spam_pages(pages: DataFrame) -> DataFrame:
     one of them in step. A page comes out if such words outnumber those in sentences and are at least
     ``page_judge.MIN_SPAM_WORDS``. Pages without content do not come out; rows given twice come out twice.
     """
-    return judge_pages(pages).where("spam").select("doc_id")
+    return judge_pages(pages, residue=False).where("spam").select("doc_id")
 
 
 def judged(pages: DataFrame) -> DataFrame:
@@ -47,10 +48,14 @@ def residue_of(rows: DataFrame) -> DataFrame:
     that comes back over several sites on pages that tell nothing of it.
     """
     alone = rows.where("residue").select("doc_id")
-    lines = rows.where("size(templates) > 0").select("doc_id", "ext", F.explode(F.arrays_zip("templates", "known")).alias("t"))
-    lines = lines.select("doc_id", "ext", F.col("t.templates").alias("template"), F.col("t.known").alias("known"))
-    induced = lines.groupBy("template").agg(F.max("known").alias("known"), F.count_distinct("ext").alias("pages")).where(F.col("known") & (F.col("pages") >= MIN_ALIGNED))
-    aligned = lines.where("not known").join(induced.select("template"), "template", "left_semi").select("doc_id")
+    lines = rows.where("size(templates) > 0").select("doc_id", "ext", F.explode(F.arrays_zip("templates", "held", "values")).alias("t"))
+    lines = lines.select("doc_id", "ext", F.col("t.templates").alias("template"), F.col("t.held").alias("held"), F.col("t.values").alias("value"))
+    unfilled = lines.where(F.col("held") == UNFILLED)
+    # only records of templates that some page left unfilled are counted
+    records = lines.join(unfilled.select("template").distinct(), "template", "left_semi").groupBy("template", "held", "ext").agg(F.min("value").alias("value"))
+    counts = records.groupBy("template").agg(F.max("held").alias("held"), F.count_distinct("ext").alias("pages"), F.count_distinct(F.when(F.col("held") == FILLED, F.col("value"))).alias("values"))
+    induced = counts.where((F.col("held") == KNOWN) & (F.col("pages") >= MIN_ALIGNED) | (F.col("values") >= MIN_ALIGNED))
+    aligned = unfilled.join(induced.select("template"), "template", "left_semi").select("doc_id")
     # distinct (site, notice, page) first: a notice that a whole site shares is spread over its pages
     notices = rows.where("site <> ''").select("doc_id", "site", "ext", "short", F.explode("notices").alias("notice"))
     once = notices.groupBy("site", "notice", "ext").agg(F.max("short").alias("short"))
@@ -84,5 +89,5 @@ def main_content(pages: DataFrame) -> DataFrame:
     """``doc_id, content``: each page's own lines in their order; null content stays null. All pages are kept."""
     from lexspark.llm.site_lines import strip_lines
 
-    found = judge_pages(pages).select("doc_id", F.explode("furniture").alias("line_no"))
+    found = judge_pages(pages, residue=False).select("doc_id", F.explode("furniture").alias("line_no"))
     return strip_lines(pages, found)

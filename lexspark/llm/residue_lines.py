@@ -12,6 +12,7 @@ SLOT = re.compile(
     re.I,
 )
 QUOTED = re.compile(r"`[^`]*`|\"[^\"]*\"|“[^”]*”|„[^“”]*[“”]|(?<!\w)'[^']*'(?!\w)|«[^»]*»")
+QUOTES = tuple("`\"“„'«")
 CODE = re.compile(r"^\s*(?:render|print|echo|return|run|def|for|if|\$|>>>|let|var|const)\b|[;{]\s*$|^\s*[\w.]+\(.*\)\s*;?\s*$")
 
 FILLER = re.compile(
@@ -38,31 +39,59 @@ TITLE_FAILURE = re.compile(
 )
 
 
-#: Something that may be a slot in a notation not known: a word held by signs, a gap, or nothing between two marks.
-ODD = re.compile(r"(?<![\w])[^\w\s,.;:!?'’\"“”()\-–—/&]+[\w. ]{1,30}[^\w\s,.;:!?'’\"“”()\-–—/&]+(?!\w)|_{3,}|\.{4,}|(?<=,) ,|\b[A-Z]{2,}_[A-Z_]+\b|\bundefined\b|\bnull\b|\bNaN\b")
-
-
-def skeleton(line: str) -> tuple[str, bool] | None:
-    """The line with its slots masked, and whether one is in a known notation; None without any slot."""
-    text = re.sub(r"\s+", " ", line).strip()
+#: Something that may be a slot in a notation not known: a word held by signs, a variable's name, a gap, or nothing between two marks.
+ODD = re.compile(
+    r"(?<![\w])[^\w\s,.;:!?'’\"“”()\-–—/&]+(?:(?<=[{\[<%$@~^])|(?=\S))[\w. ]{1,30}(?:(?=[}\]>%$@~^])|(?<=\S))[^\w\s,.;:!?'’\"“”()\-–—/&]+(?!\w)|_{3,}|\.{4,}|(?<=,) ,|(?<=\w) (?=[,!?](?:\s|$))|\b[A-Z]{2,}_[A-Z_]+\b|\b[a-z]+(?:_[a-z]+)+\b|\bundefined\b|\bnull\b|\bNaN\b"
+    r"|\b[Yy]our (?:(?:[Ff]irst|[Ll]ast|[Ff]ull|[Cc]ompany) )?[Nn]ame\b"
+)
+#: Without any of these a line matches neither ``SLOT`` nor ``ODD``.
+SIGN = re.compile(r"[^\w\s,.;:!?'’\"“”()\-–—/&]")
+SIGNS = ("_", "....", " ,", " !", " ?", "undefined", "null", "NaN", "our name", "our Name", "t name", "t Name", "l name", "l Name", "y name", "y Name")
+#: What a filled slot holds as a rule: names and numbers within a line, or a name called at its start.
+VALUE = re.compile(r" (?:[A-ZÀ-ÖØ-Þ][\w'’]*|\d[\d.,]*\d|\d)(?!\w)(?: (?:[A-ZÀ-ÖØ-Þ][\w'’]*|\d[\d.,]*\d|\d)(?!\w))*")
+CALLED = re.compile(r"^[A-ZÀ-ÖØ-Þ]\w*(?=,)")
+FILLED, UNFILLED, KNOWN = range(3)
+#: So many words beside its slots make two lines records of one template, where no known notation tells so.
+MIN_FIXED = 3
+
+
+def skeleton(line: str) -> tuple[str, int] | None:
+    """The line with its slots masked, and what they hold: ``KNOWN`` a notation, ``UNFILLED`` something that may be
+    one, ``FILLED`` values only; None without any slot."""
+    text = " ".join(line.split())
     own = bare(text)
-    if not own or len(own) > 200:
+    if not own:
         return None
-    masked, known = SLOT.subn("\x00", own)
-    masked, odd = ODD.subn("\x00", masked)
-    if not known and not odd:
+    known = odd = 0
+    masked = own
+    if has_sign(own):
+        masked, known = SLOT.subn("\x00", own)
+        masked, odd = ODD.subn(lambda m: " \x00" if m[0] == " " else "\x00", masked)
+    masked, values = VALUE.subn(" \x00", masked)
+    masked, called = CALLED.subn("\x00", masked)
+    if not (known or odd or values or called):
         return None
-    return re.sub(r"[0-9]+", "0", masked.lower()), known > 0
+    masked = re.sub(r"[0-9]+", "0", re.sub(r"\x00(?: \x00)+", "\x00", masked).lower())
+    if not known and not odd and len(re.findall(r"[^\W\d_]+", masked)) < MIN_FIXED:
+        return None
+    return masked, KNOWN if known else UNFILLED if odd else FILLED
+
+
+def has_sign(line: str) -> bool:
+    """Whether a slot may stand in the line; no line with one is refused."""
+    return any(s in line for s in SIGNS) or SIGN.search(line) is not None
 
 
 def bare(line: str) -> str:
     """The line without what it quotes; empty for a line of code."""
-    return "" if CODE.search(line) else QUOTED.sub(" ", line)
+    if CODE.search(line):
+        return ""
+    return QUOTED.sub(" ", line) if any(q in line for q in QUOTES) else line
 
 
 def kind(line: str) -> str | None:
     """``slot``, ``filler``, ``scripts``, ``failure`` or None, of one line."""
-    text = re.sub(r"\s+", " ", line).strip()
+    text = " ".join(line.split())
     if not text:
         return None
     own = text if text.startswith(("<!--", "{%", "{{", "<%")) else bare(text)

@@ -23,3 +23,8 @@ def test_title_that_comes_back_over_sites(spark):
     rows += [(f"site{i}.example", "The old harbour", PROSE) for i in range(3)]
     rows += [("one.example", "Winter offers", PROSE)] * 3
     assert found(spark, rows) == {0, 1, 2}
+
+
+def test_slots_induced_from_filled_records(spark):
+    lines = ["Dear Anna, thank you for your visit.", "Dear Peter, thank you for your visit.", "Dear undefined, thank you for your visit.", "Dear , thank you for your visit.", "Dear Your Name, thank you for your visit.", "Dear first_name, thank you for your visit.", "The value is undefined, as the book says of it."]
+    assert found(spark, [("s.example", None, PROSE + "\n" + line) for line in lines]) == {2, 3, 4, 5}
