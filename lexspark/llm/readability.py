@@ -263,7 +263,7 @@ def train(docs: DataFrame, labels: DataFrame, items: DataFrame, max_labelled: in
         return Model([], [], [])
     ids = F.broadcast(spark.createDataFrame(picked, "doc_id bigint, y int, english boolean"))  # at most max_labelled + max_language rows
     rows = docs.where("text is not null").select("doc_id", "text").join(ids, "doc_id").orderBy("doc_id").collect()
-    held = [r[0] for r in items.where("text is not null").select("text").limit(100_000).collect()] if items is not None else []
+    held = [r[0] for r in items.where("text is not null").select("text").collect()] if items is not None else []
     labelled = [(r["text"], r["y"]) for r in rows if r["y"] is not None]
     return Model(labelled, [(r["text"], r["english"]) for r in rows if r["english"] is not None], held)
 

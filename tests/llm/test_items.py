@@ -1,0 +1,12 @@
+"""No evaluation item is left out of the reading models."""
+
+from lexspark.llm import readability
+
+
+def test_all_items_are_read(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(readability, "Model", lambda labelled, language, items: held.extend(items))
+    docs = spark.createDataFrame([(1, "A plain text.", "en")], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(1, "r", "basic")], "doc_id bigint, rater string, read_level string")
+    readability.train(docs, labels, spark.range(100_001).selectExpr("cast(id as string) text"))
+    assert len(held) == 100_001
