@@ -28,3 +28,7 @@ def test_title_that_comes_back_over_sites(spark):
 def test_slots_induced_from_filled_records(spark):
     lines = ["Dear Anna, thank you for your visit.", "Dear Peter, thank you for your visit.", "Dear undefined, thank you for your visit.", "Dear , thank you for your visit.", "Dear Your Name, thank you for your visit.", "Dear first_name, thank you for your visit.", "The value is undefined, as the book says of it."]
     assert found(spark, [("s.example", None, PROSE + "\n" + line) for line in lines]) == {2, 3, 4, 5}
+
+
+def test_slot_in_a_long_paragraph(spark):
+    assert found(spark, [("s.example", None, f"{PROSE} The work was paid for by {{{{company}}}} and its friends."), ("s.example", None, PROSE)]) == {0}
