@@ -1,181 +1,254 @@
 """The small labelled table that the block classifier is trained on.
 
-Phrases carry their label; pages are laid out from them by a rule with a fixed seed, since a block is told by
-its neighbours as well. ``{t}`` is the page's subject, ``{o}`` another one, ``{n}``/``{m}`` things, ``{a}`` an
-adjective, ``{s}`` the site, ``{p}``/``{q}`` people, ``{c}`` a place, ``{d}`` a number, ``{y}`` a year.
+It holds no phrases of any site: a row tells the shape of a kind of block - how many words, how many of them function
+words, names or numbers, what joins and what ends them - where it stands, whether it belongs to a site, an author or a
+page, and its label. A layout rule with a fixed seed makes sites of one to forty pages out of these rows, in words made of
+syllables, since a block is told by its neighbours and by its coming back as well.
 """
 
 from __future__ import annotations
 
 import random
+from dataclasses import dataclass
 
 SYLLABLES = "ar bel cor dum es fin gal hus ib jo kel lor mes nuv op pel qui ras sum ter vor wen yst zan".split()
-SITE_FORMS = ("{}", "{} & Co", "{} Weekly", "{}Lab", "{} Notes", "{}")
-THINGS = "engine candle lantern needle ribbon pocket saddle table window basket helmet pepper orchid copper magnet lever canvas ticket violin shovel stone harvest letter winter salmon".split()
-ADJECTIVES = "small heavy bright quiet narrow honest clever dusty yellow gentle rapid sturdy plain early open cheap clean simple".split()
-
-PARAGRAPHS = (
-    "Nobody thought that the {n} would last this long, but it has been with us for {d} years and works well. It was bought in {c} when the {m} was still new. Since then we have learned that a {a} {n} needs more care than one would think.",
-    "If you want to use the {n} every day, it is best to clean it first and then put the {m} back in its place. Most people forget this and wonder why it breaks. After a while the work becomes easier.",
-    "About {t}: They say that the {n} was made by hand, which is why no two of them are alike. When {p} asked for one in {c}, the answer was that the {m} had to be ordered from far away.",
-    "With {t} in mind, read on. The {a} {n} stands next to the {m} in the {w}. The {x} is open to all. In practice it is used less often than before, although a few people still come to see it.",
-    "Last {mo} the {n} in {c} was moved to another room, and {d} visitors noticed it at once. That is what makes it different from the {m}. It costs about {d} coins.",
-    "Every {n} has a reason, and the reason behind this one is that the {m} was too {a} for the house. We measured it twice and found that nothing had changed.",
-    "\"What matters is not the price of the {n} but how carefully it is kept,\" said {p}. Without the {m}, nothing would hold, and the {a} part would fall off before long.",
-    "At the {t} {n}, we start with the basics. You can build it without any tools, but a {a} {m} makes it easier. Several readers wrote to us to say that it worked for them.",
-    "{t} It helps to know what the {n} is for. A {m} is not a {n}: it does more, and it does it faster. So much for the theory. The rest is a question of time.",
-)
-SHORT_PARAGRAPHS = (
-    "The {a} {n} covers the {m} before it is closed.",
-    "A {n} is not a {m}: the one from {c} does more.",
-    "It costs about {d} coins, while the other is free.",
-    "So much for the {n}. The rest follows from it.",
-)
-HEADINGS = (
-    "{t} and the {x} of the {n}", "Why the {a} {n} matters for {t}", "How {t} {v} a {n}", "Choosing a {a} {n}: notes on {t}", "The {a} {x} of {t}",
-    "From {n} to {m} with {t}", "{t}, {d} lessons from the {w}", "What {t} taught us", "{t} glossary", "Questions about {t}",
-)
-LIST_INTROS = ("What you need for {t}:", "{t} needs:", "Parts for {t}:", "In short, {t} asks for this:", "A list for {t}", "Links we liked while writing about {t}")
-LIST_ITEMS = (
-    "one {a} {n} for each {m}", "check the {x} of the {n} twice before the {m}", "{d} {n}s, sorted and {a}", "a {a} {n} with a {a} {m}", "{V} the {n} and {v2} the {m} near {c}",
-    "{d} {a} {n}, tested", "{X}: {a} {n}, see the {m} about {p}", "{n}", "an old {n} with an open {m} ({t})", "{V} the {n}, then {v2} the {m}", "{V} the {m} and {v2} the {n} near {p} ({t})",
-)
-GLOSSARY = ("{N}: This is where the work begins, with a {m} in the hand.", "{N}: The second kind, which holds the {m} in {a} weather.")
-LINKED = ("http://www.{h}.example/{n}/{m}.html - The people of {c} wrote down what they know about the {n}. It is worth the time.", "https://{h}.example/{n}?id={d} - A long read on how the {m} was built and why it failed.")
-CODE = ("run --{n} {o2} --{m}={d}", "    return {n} + {d}", "render('{n}', {o2})", "$ make {n}", "for {n} in {m}:", "def {n}({m}):")
-CAPTIONS = ("Figure {d}: {d} {n}s, filled and {a}", "Figure {d}: a {a} {n} with the {m}", "Figure {d}: the {n} seen from the {m}", "Figure {d}: {V} the {n} and {v2} the {m} near {c}", "Figure {d}: one {a} {n} for each {m}, {t}")
-SPAM = (
-    "{n} {m} cheap {n} buy {n} {n} sale {m} {n} {n} top {n} {n} order {n} {m} deals {n} {n} {n} rated {n}", "cheap {n} {p}; best {n} {q}; {n} sale {c}; top {n} {p}; free {n} {q}",
-    "#{n} #{n}sale #{a}{n} #{m} #{n} #{n}top #{n} #{m}", "http://www.{h}.example/{n}/{m}", "* [order {n}](https://{h}.example/{m}/{n})", "Best {n} : https://www.{h}.example/{m}?id={d}",
-    "buy {n}, {n} store, cheap {n}, {m}, {n} online, free {n}, {n} coupon, {n} price, {m}, best {n}, {n} outlet",
-    "Our {a} {n} is the best {n} because {n} fans who buy a {a} {n} love this cheap {n}. {A} {n} in {c}: {n}, {a} {n} and sale {n} for every {n} lover.",
-)
-RESIDUE = ("Dear {{{{name}}}}, thank you for your visit.", "Latest news from {{company}}, updated %date%", "Page not found. The page you want does not exist or has moved.", "Please enable JavaScript to view this page.", "Your text goes here.", "500 Internal Server Error. something went wrong on our side.")
-
-MENU_WORDS = ("Home", "About", "About us", "Contact", "Blog", "Docs", "Guides", "Shop", "Search", "Sign in", "Register", "Support", "Help", "FAQ", "Forum", "Gallery", "Archive", "Topics", "Articles", "Notes", "Projects", "Careers", "Pricing", "Downloads", "Newsletter", "Workshop", "Start", "Products", "Events", "Press", "Jobs", "Login", "Log in", "Cart", "Account", "Inicio", "Artículos", "Tienda", "Acerca de", "Entrar", "Accueil", "Articles", "Boutique", "À propos", "Connexion", "Startseite", "Beiträge", "Über uns", "Kontakt", "Anmelden", "Suche")
-MENU_GLUE = (" | ", " · ", " / ", " > ", " • ", "   ", "\t", "  | ")
-CRUMBS = ("Home > {n} > {title}", "You are here: {n} / {title}", "{n} » {title}")
-CONSENT = (
-    "We use cookies to measure visits. Choose Accept to go on.", "This site keeps small files on your device to remember your choices. By reading on you agree.", "{s} and its partners set cookies to show fitting offers. Accept all | Reject all | Manage",
-    "With your consent we store data in your browser to keep you signed in. OK, got it", "Cookies help {s} to learn which pages are read. You may withdraw at any time in the settings.", "{s} would like to place a few cookies and similar techniques. Read the cookie policy or change your settings.",
-    "Diese Seite verwendet Cookies. Mit der weiteren Nutzung stimmen Sie zu.", "Ce site utilise des cookies. Tout accepter – Tout refuser", "Este sitio usa cookies propias. Aceptar o configurar.",
-)
-BYLINES = (
-    "By {p} {q} | {d} August {y} | {d} min read", "Written by {p} {q}", "Posted on {y}-08-{d} by {p} {q}", "Published in {mo} by {p} {q} and {q} {p}", "Text: {p} {q} / Photos: {q} {p}", "Last updated {d} {mo} {y}", "von {p} {q}, {d}.{d}.{y}", "{p} {q}, {s} staff", "par {p} {q}, {d}/{d}/{y}", "{d} {mo} {y}",
-)
-INLINE = (
-    "Share this page: Mail · Print · Copy link", "Share | Save | Print", "Tweetle this  Pinboardle  Mail it", "Send to a friend  ·  Bookmark", "Like this? Tell a friend.", "Advertisement", "Get the {s} app and read offline.", "Support {s}: buy our editors a cup of tea.", "Sign up and never miss a post from {s}.",
-    "Join the {s} newsletter: one mail a week, no noise.", "Follow {s} for more notes like this one.", "Sponsored by {c} Supplies", "Part of the series on {a} and {n}, first shown in {c}.", "This note belongs to the {a} and {n} papers kept in {c}.", "See the {a} {n} file at {c} for the older text.", "Print this page", "Was this helpful? Yes No", "Rate this: 4/5 ({d} votes)",
-)
-TAGS = ("Filed under {n}, {m}, {t}", "Tags: {n}, {m}, {n}, {t}", "Keywords {n}, {m}, {t}", "Topics: {m}, {n}, {t}")
-BIOS = ("{p} {q} writes about {n} and lives near {c}.", "{p} {q} keeps bees, reads on {n}, and answers mail from {c}.", "{p} {q} has looked after the {n} pages at {c} for years.")
-RELATED = ("Related articles", "You may also like", "Most read", "Recent posts", "Read next", "Popular this week", "Editor's picks", "More from {s}")
-OTHERS = (
-    "{o} and the {x} of the {n}", "Why the {a} {n} matters for {o}", "How {o} {v} an {n}", "Choosing a {a} {n}: notes on {o}", "The {a} {x} of {o}", "From {n} to {m} with {o}", "{o}, {d} lessons from the {w}", "{o} and the {x} of the {m}", "How {o} {v} a {m}", "How {o} {v} an old {m}", "How {o} handles bad {n}s", "Writing {n}s for {o}",
-)
-MARKS = ("- ", "» ", "", "{k}. ")
-PAGER = ("Previous: {other}", "Next: {other}")
-FOOTER = (
-    "© {y} {s}. All rights reserved.", "Copyright {y}-{y} {s} Ltd.", "No part of this page may be copied without written leave of {s}.", "All trade marks belong to their owners. {s} takes no liability for linked pages.", "Privacy policy | Cookie settings | Do not sell my data", "Terms of use · Privacy · Imprint", "Registered in {c} under number {d}{d}.",
-    "Nothing on {s} is legal or medical advice.", "Prices include tax where it applies; errors and omissions excepted.", "Mentions légales – {s}", "Alle Angaben ohne Gewähr. {s}", "{s} is a service of {c} Holding.", "Thanks for reading {s}.",
-)
-WIDGETS = ("Menu", "Toggle navigation", "Skip to content", "Search {s}...", "Loading comments", "Leave a comment", "Log in to reply", "Back to top", "Page {d} of {d}", "{d},{d}0{d} views · {d} comments", "{s}")
-VERBS = "uses keeps needs holds splits tests tunes counts fills moves checks sorts cleans raises shapes joins".split()
-ASPECTS = "trick reason week question answer story habit limit choice project workshop owner group benefit".split()
-SPOTS = "hall library workshop village tower harbour school station bridge shop archive yard".split()
-MONTHS = "January February March April May June July August September October November December".split()
-
-Page = tuple[str, str, list[tuple[str, int]]]
-
-
-def pages(count: int = 600, seed: int = 7) -> list[Page]:
-    """``url, title, [(line, is furniture)]`` of ``count`` labelled pages."""
+#: Function words of a made-up sentence, commonest first.
+GLUE_WORDS = "the a of to and in is it that for on with as this was you by at from be are or not have which an they will when there has".split()
+
+TEXT, FURNITURE = 0, 1
+
+
+@dataclass(frozen=True)
+class Shape:
+    """A kind of block: ``words`` from and to, per sentence; ``sentences``; the share of function words; how likely a name or number is."""
+
+    label: int
+    words: tuple[int, int]
+    sentences: tuple[int, int] = (1, 1)
+    function: float = 0.4
+    names: float = 0.05
+    numbers: float = 0.03
+    capital: bool = True  # the first word
+    end: str = "."
+    comma: float = 0.06
+    scope: str = "page"  # site: the same on all pages of the site; author: on all pages of one of its authors
+
+
+PARAGRAPH = Shape(TEXT, (9, 24), (2, 6))
+BRIEF = Shape(TEXT, (8, 19), (1, 2))
+HEADING = Shape(TEXT, (3, 8), function=0.35, names=0.12, end="")
+INTRO = Shape(TEXT, (2, 7), function=0.4, names=0.15, end=":")
+BARE_INTRO = Shape(TEXT, (2, 7), function=0.4, names=0.15, end="")
+ITEM = Shape(TEXT, (2, 9), function=0.35, capital=False, end="", comma=0.1)
+TERSE_ITEM = Shape(TEXT, (1, 4), function=0.1, capital=False, end="")
+QUOTE = Shape(TEXT, (9, 20), (1, 3))
+STUFFED = Shape(TEXT, (14, 60), function=0.03, names=0.02, capital=False, end="")
+
+CONSENT = (Shape(FURNITURE, (5, 17), (1, 3), scope="site"), Shape(FURNITURE, (6, 16), (2, 5), scope="site"), Shape(FURNITURE, (12, 32), (2, 4), scope="site"))
+PROMPT = (Shape(FURNITURE, (4, 12), names=0.08, scope="site"), Shape(FURNITURE, (2, 5), function=0.3, end="", scope="site"), Shape(FURNITURE, (1, 2), function=0.0, end="", scope="site"), Shape(FURNITURE, (3, 5), end="?", scope="site"))
+NOTE = Shape(FURNITURE, (8, 16), names=0.06, scope="site")
+BIO = Shape(FURNITURE, (6, 16), (1, 2), names=0.06, scope="author")
+LEGAL = (Shape(FURNITURE, (4, 14), names=0.08, scope="site"), Shape(FURNITURE, (3, 8), function=0.25, numbers=0.2, names=0.25, scope="site"), Shape(FURNITURE, (9, 18), (2, 4), scope="site"), Shape(FURNITURE, (2, 5), function=0.2, names=0.3, end="", scope="site"))
+WIDGET = Shape(FURNITURE, (1, 4), function=0.25, end="", scope="site")
+RELATED = Shape(FURNITURE, (2, 3), function=0.25, end="", scope="site")
+#: What joins the entries of a menu or of a line of links.
+JOINTS = (" | ", " · ", " / ", " > ", " • ", "   ", "\t", "  |  ", " ~ ")
+MARKS = ("", "- ", "» ", "* ", "{k}. ", "• ")
+BYLINES = ("{f} {A} | {d} {M} {y} | {d} {w} {w}", "{F} {f} {A}", "{F} {f} {y}-0{k}-{d} {f} {A}", "{F} {f} {M} {f} {A} {f} {B}", "{F}: {A} / {F}: {B}", "{F} {w} {d} {M} {y}", "{f} {A}, {d}.{k}.{y}", "{A}, {S} {w}", "{d} {M} {y}", "{A}", "{M} {d}, {y} · {d} {w}")
+TAGS = ("{F}: {w}, {x}, {t}", "{F} {f} {w}, {x}, {t}", "{F} {w}, {x}, {z}, {t}", "#{w} #{x} #{t}", "{F}: {W}, {X}")
+COUNTS = ("{d},{d}{d} {w} · {d} {x}", "{F} {d} {f} {d}", "{F}: {k}/5 ({d} {w})", "{d} {w}")
+CRUMBS = ("{F} > {w} > {title}", "{w} » {title}", "{F} {f} {f}: {w} / {title}", "{F} / {W} / {title}")
+CODE = ("{w} --{x} {t} --{z}={d}", "    return {w} + {d}", "{w}('{x}', {t})", "$ {w} {x}", "for {w} in {x}:", "{w}.{x}({d});")
+CAPTIONS = ("{F} {k}: {d} {w}, {x} {f} {z}", "{F} {k}: {f} {w} {x} {f} {f} {z}", "{F} {k}. {W} {x}")
+SPAM = ("{w} {A}; {w} {B}; {x} {A}; {x} {B}; {z} {A}", "#{w}{x} #{w} #{w}{z} #{x} #{w} #{w} #{w}{t}", "http://www.{h}.example/{w}/{x}", "* [{w} {x}](https://{h}.example/{z}/{w})", "{W} {x} : https://www.{h}.example/{z}?id={d}", "{w} {x}, {w} {z}, {x} {w}, {w}, {z} {w}, {w} {t}, {w} {x}")
+LINKED = ("http://www.{h}.example/{w}/{x}.html - {sentence}", "https://{h}.example/{w}?id={d} - {sentence}", "{W} {x} (https://{h}.example/{w}): {sentence}")
+
+#: Forms of headings and of words before a list that many pages share, their subject ``t`` aside.
+FRAMES = ("{t} f f w f f x", "F f w x f f {t}", "F {t} w f x", "W f w x: z f {t}", "F w x f {t}", "F x f z f {t}", "{t}, {d} w f f x", "W w f f x: {t}", "{t} f w", "F {t}", "W {t}", "{t}: w f x", "{d} w f {t}", "F w, f f {t} x f f", "W f f x: f f {t}", "F {d} x f w: {t}")
+INTRO_FRAMES = ("{t} w:", "F f w f {t}:", "W f {t}:", "F w, {t} w f f:", "F w f {t}", "W f w f w f {t}", "F f {t}:", "{t} w", "W:", "F f f:")
+
+Page = tuple[str, str, str, list[tuple[str, int]]]
+
+
+class Writer:
+    """Makes blocks of made-up words."""
+
+    def __init__(self, rnd: random.Random):
+        self.rnd = rnd
+
+    def word(self, longest: int = 3) -> str:
+        return "".join(self.rnd.choice(SYLLABLES) for _ in range(self.rnd.randint(1, longest)))
+
+    def name(self) -> str:
+        return self.word(3).capitalize()
+
+    def sentence(self, s: Shape, words: list[str]) -> str:
+        rnd, out = self.rnd, []
+        for k in range(rnd.randint(*s.words)):
+            r = rnd.random()
+            if r < s.function:
+                w = GLUE_WORDS[min(int(rnd.expovariate(0.12)), len(GLUE_WORDS) - 1)]
+            elif r < s.function + s.names and k:
+                w = rnd.choice(words[:4]).capitalize() if rnd.random() < 0.4 else self.name()
+            elif r < s.function + s.names + s.numbers:
+                w = str(rnd.randint(1, 300))
+            else:
+                w = rnd.choice(words) if rnd.random() < 0.6 else self.word()
+            out.append(w + ("," if rnd.random() < s.comma else ""))
+        out[-1] = out[-1].rstrip(",")
+        if s.capital:
+            out[0] = out[0][:1].upper() + out[0][1:]
+        return " ".join(out) + s.end
+
+    def block(self, s: Shape, words: list[str]) -> str:
+        return " ".join(self.sentence(s, words) for _ in range(self.rnd.randint(*s.sentences)))
+
+
+def pages(sites: int = 240, seed: int = 7) -> list[Page]:
+    """``url, external id, title, [(line, is furniture)]`` of the labelled pages of ``sites`` sites."""
     rnd = random.Random(seed)
+    w = Writer(rnd)
+
+    def frame(text: str) -> str:  # its function words are fixed, and some of its other words
+        pool = {"f": lambda: rnd.choice(GLUE_WORDS), "F": lambda: rnd.choice(GLUE_WORDS).capitalize(), "W": w.name}
+        loose = rnd.random() < 0.6
+        for c in "wxz":
+            pool[c] = (lambda c=c: "{" + c + "}") if loose else w.word
+        return "".join(pool[c]() if c in pool and "{" + c + "}" not in text else c for c in text)
+
+    heads, intros = [frame(x) for x in FRAMES for _ in range(2)], [frame(x) for x in INTRO_FRAMES]
+    out: list[Page] = []
+    for site in range(sites):
+        out += _site(rnd, site, heads, intros)
+    return out
+
+
+def _site(rnd: random.Random, number: int, head_frames: list[str], intro_frames: list[str]) -> list[Page]:
+    w = Writer(rnd)
+    size = min(40, 1 + int(rnd.expovariate(0.12)))
+    host, name = w.word(), None
+    name = host.capitalize() + rnd.choice(("", "", " Notes", " & Co", "Lab", " Weekly"))
+    own = [w.word() for _ in range(30)]
+    authors = [f"{w.name()} {w.name()}" for _ in range(rnd.randint(1, 4))]
+    shout = rnd.random() < 0.12
 
-    def name() -> str:  # names are new on every page, so that none of them is learned
-        return "".join(rnd.choice(SYLLABLES) for _ in range(3)).capitalize()
+    def named(text: str) -> str:  # a site likes to name itself in what it says everywhere
+        parts = text.split(" ")
+        if rnd.random() < 0.5 and len(parts) > 2:
+            parts[rnd.randrange(1, len(parts))] = name + (parts[-1][-1:] if parts[-1][-1:] in ".?" and rnd.random() < 0 else "")
+        return " ".join(parts)
 
-    out = []
-    for number in range(count):
-        host = name()
-        site = SITE_FORMS[number % len(SITE_FORMS)].format(host)
-        topic = name()
-        nouns = rnd.sample(THINGS, 8)
+    consents = [named(w.block(rnd.choice(CONSENT), own)) + (" " + " | ".join(w.name() for _ in range(3)) if rnd.random() < 0.25 else "") for _ in range(2)]
+    prompts = [named(w.block(rnd.choice(PROMPT), own)) for _ in range(4)] + [rnd.choice(JOINTS).join(w.name() + rnd.choice(("", " " + w.word())) for _ in range(rnd.randint(3, 4))) for _ in range(2)]
+    prompts[-1] = w.name() + " " + w.word() + ": " + prompts[-1]
+    notes = [w.block(NOTE, own) for _ in range(3)]
+    bios = {a: [f"{a} {w.block(BIO, own)[:1].lower()}{w.block(BIO, own)[1:]}" for _ in range(2)] for a in authors}
+    legals = [named(w.block(rnd.choice(LEGAL), own)) for _ in range(6)] + [f"© {rnd.randint(200, 2024)} {name}. " + w.block(LEGAL[3], own) + ".", rnd.choice(JOINTS).join(w.name() + " " + w.word() for _ in range(3))]
+    widgets, heads = [w.block(WIDGET, own) for _ in range(5)] + [name], [w.block(RELATED, own) for _ in range(2)]
+    if rnd.random() < 0.4:
+        heads.append(f"{w.name()} {rnd.choice(GLUE_WORDS)} {name}")
+    menu = [w.name() + (" " + w.word() if rnd.random() < 0.25 else "") for _ in range(rnd.randint(5, 12))]
+    glue, listed, mark = rnd.choice(JOINTS), rnd.random() < 0.45, rnd.choice(("* ", "", "- "))
+    odds = {k: rnd.random() * m for k, m in (("consent", 0.9), ("menu", 1.2), ("crumb", 1.1), ("by", 1.1), ("prompt", 1.0), ("tag", 1.1), ("bio", 1.0), ("related", 1.1), ("pager", 1.0), ("widget", 0.8), ("legal", 1.5), ("note", 0.5))}
+    crumb, by, tag, count = rnd.choice(CRUMBS), rnd.choice(BYLINES), rnd.choice(TAGS), rnd.choice(COUNTS)
+    fixed = {k: v for k, v in (("F", w.name()), ("f", rnd.choice(GLUE_WORDS)))}
+    titles = []
+    framed = rnd.random() < 0.7  # the site titles its pages by shared forms
 
-        def fill(template: str, **more: str) -> str:
-            n, m = rnd.choice(nouns), rnd.choice(nouns)
-            o = name()
-            a = rnd.choice(ADJECTIVES)
-            values = {"t": topic, "o": o, "o2": o.lower(), "n": n, "m": m, "N": n.capitalize(), "a": a, "A": a.capitalize(), "s": site, "p": name(), "q": name(), "c": name(), "d": str(rnd.randint(1, 30)), "y": str(rnd.randint(215, 224)), "h": o.lower(), "mo": rnd.choice(MONTHS), "v": rnd.choice(VERBS), "x": rnd.choice(ASPECTS), "X": rnd.choice(ASPECTS).capitalize(), "w": rnd.choice(SPOTS), "V": rnd.choice(VERBS)[:-1].capitalize(), "v2": rnd.choice(VERBS)[:-1]}
-            return template.format(**{**values, **more})
+    def heading(topic: str, words: list[str]) -> str:
+        if framed:
+            return rnd.choice(head_frames).format(t=topic, d=rnd.randint(2, 200), **{c: rnd.choice(words) for c in "wxz"})
+        t = w.block(HEADING, words).split(" ")
+        t[rnd.randrange(len(t))] = topic
+        return " ".join(t)
 
-        title = fill(rnd.choice(HEADINGS[:7]))
+    for _ in range(size + 6):
+        topic = w.name()
+        titles.append((heading(topic, own), topic))
+    out: list[Page] = []
+    for p in range(size):
+        title, topic = titles[p]
+        words = [topic.lower()] + rnd.sample(own, 8) + [w.word() for _ in range(4)]
         lines: list[tuple[str, int]] = []
+        bare = rnd.random() < 0.12  # a page without furniture
 
-        def put(label: int, pool: tuple[str, ...], k: int = 1, odds: float = 1.0) -> None:
-            if rnd.random() < odds:
-                for template in rnd.sample(pool, min(k, len(pool))):
-                    lines.append((fill(template, title=title, other=fill(rnd.choice(OTHERS))), label))
-
-        bare = rnd.random() < 0.15  # a page without furniture
-        f = 0.0 if bare else 1.0
-        put(1, CONSENT, odds=0.35 * f)
-        put(1, WIDGETS[-1:], odds=0.15 * f)
-        if rnd.random() < 0.75 * f:
-            words = rnd.sample(MENU_WORDS, rnd.randint(4, 9))
-            if rnd.random() < 0.45:
-                mark = rnd.choice(("* ", "", "- "))
-                lines += [(mark + w, 1) for w in words]
-            else:
-                lines.append((rnd.choice(MENU_GLUE).join(words), 1))
-        put(1, CRUMBS, odds=0.6 * f)
-        if rnd.random() < 0.3:
-            lines.append((title, 0))
-        put(1, BYLINES, odds=0.6 * f)
-        if number % 5 == 4:  # spam and residue are the page's own, too
+        def fill(template: str) -> str:
+            a, b = rnd.choice(authors), rnd.choice(authors)
+            values = {"A": a, "B": b, "S": name, "d": rnd.randint(1, 30), "k": rnd.randint(1, 5), "y": rnd.choice((rnd.randint(210, 230), rnd.randint(1995, 2025))), "M": w.name(), "h": w.word(), "t": topic.lower(), "title": title, "sentence": w.block(BRIEF, words), **{c: rnd.choice(words) for c in "wxz"}, "W": rnd.choice(words).capitalize(), "X": rnd.choice(words).capitalize(), **fixed}
+            return template.format(**values)
+
+        def own_text(text: str) -> None:
+            lines.append((text, TEXT))
+
+        def furniture(kind: str, *texts: str) -> None:
+            if not bare and rnd.random() < odds[kind]:
+                lines.extend((t.upper() if shout else t, FURNITURE) for t in texts)
+
+        def others(k: int) -> list[str]:
+            return [rnd.choice(MARKS).format(k=i + 1) + rnd.choice(titles)[0] for i in range(k)]
+
+        furniture("consent", consents[0])
+        furniture("widget", rnd.choice(widgets))
+        furniture("menu", *([rnd.choice((mark, mark, "  " + mark)) + m for m in menu] if listed else [glue.join(rnd.sample(menu, len(menu)) if rnd.random() < 0.3 else menu)]))
+        furniture("crumb", fill(crumb))
+        if rnd.random() < 0.35:
+            own_text(title)
+        furniture("by", fill(by))
+        kind = rnd.random()
+        if kind < 0.06:  # spam and empty templates are the page's own, too
+            template = rnd.choice(SPAM)
             for _ in range(rnd.randint(2, 9)):
-                put(0, SPAM if number % 10 == 4 else RESIDUE)
-        for _ in range(rnd.choice((0, 1, 2, 2, 3, 3, 4))):
+                own_text(fill(template))
+        elif kind < 0.1:
+            for _ in range(rnd.randint(1, 4)):
+                own_text(w.block(STUFFED, [words[1], words[1], words[1], *words]))
+        elif kind < 0.14:
+            for _ in range(rnd.randint(1, 3)):
+                own_text(w.block(rnd.choice((BRIEF, HEADING, BARE_INTRO)), words))
+        for _ in range(0 if kind < 0.1 else rnd.choice((1, 1, 2, 2, 3, 4))):
+            if rnd.random() < 0.4:
+                own_text(heading(topic, words) if rnd.random() < 0.7 else w.block(HEADING, words))
+            for _ in range(rnd.choice((1, 1, 2))):
+                own_text(w.block(PARAGRAPH if rnd.random() < 0.8 else BRIEF, words))
+            if rnd.random() < 0.3:
+                furniture("prompt", rnd.choice(prompts))
             kind = rnd.random()
             if kind < 0.2:
-                put(0, HEADINGS)
-            elif kind < 0.4:
-                put(0, tuple(x.replace("{o}", "{t}") for x in OTHERS))
+                if rnd.random() < 0.7:
+                    intro = w.block(rnd.choice((INTRO, BARE_INTRO)), words)
+                    own_text(rnd.choice(intro_frames).format(t=topic, **{c: rnd.choice(words) for c in "wxz"}) if framed else f"{topic} {intro}" if rnd.random() < 0.5 else intro)
+                mark_, shape = rnd.choice(("- ", "• ", "* ", "{k}. ", "{k}) ", "")), rnd.choice((ITEM, ITEM, TERSE_ITEM))
+                for k in range(rnd.randint(1, 8)):
+                    text = w.block(shape, words)
+                    own_text(mark_.format(k=k + 1) + (text if rnd.random() < 0.6 else text.capitalize()) + rnd.choice(("", "", f" ({topic})", f" - {topic}")))
+                    if rnd.random() < 0.08:
+                        furniture("prompt", rnd.choice(prompts))
+            elif kind < 0.26:
+                for _ in range(rnd.randint(2, 5)):
+                    own_text(f"{rnd.choice(words).capitalize()}: {w.block(BRIEF, words)}")
+            elif kind < 0.3:
+                for _ in range(rnd.randint(1, 4)):
+                    own_text(fill(rnd.choice(LINKED)))
+            elif kind < 0.36:
+                for _ in range(rnd.randint(1, 4)):
+                    own_text(fill(rnd.choice(CODE)))
+            elif kind < 0.44:
+                own_text(fill(rnd.choice(CAPTIONS)))
             elif kind < 0.5:
-                put(0, SHORT_PARAGRAPHS)
-            put(0, PARAGRAPHS, odds=0.85)
-            put(1, INLINE, odds=0.4 * f)
-            kind = rnd.random()
-            if kind < 0.25:
-                put(0, LIST_INTROS, odds=0.6)
-                mark = rnd.choice(("- ", "• ", "* ", "", "1. "))
-                for k, template in enumerate(rnd.sample(LIST_ITEMS, rnd.randint(1, 7))):
-                    lines.append(((f"{k + 1}. " if mark == "1. " else mark) + fill(template), 0))
-                    put(1, INLINE, odds=0.04 * f)
-            elif kind < 0.33:
-                put(0, GLOSSARY, 2)
-                put(0, GLOSSARY, 2)
-            elif kind < 0.38:
-                put(0, LINKED, 2)
-            elif kind < 0.46:
-                put(0, CODE, rnd.randint(1, 3))
-            elif kind < 0.56:
-                put(0, CAPTIONS)
-        if not any(label == 0 for _, label in lines):
-            put(0, PARAGRAPHS)
-        put(1, TAGS, odds=0.6 * f)
-        put(1, INLINE, rnd.randint(1, 2), odds=0.5 * f)
-        put(1, BIOS, odds=0.6 * f)
-        if rnd.random() < 0.6 * f:
-            put(1, RELATED, odds=0.85)
-            for k in range(rnd.randint(1, 5)):
-                put(1, (rnd.choice(MARKS).format(k=k + 1) + rnd.choice(OTHERS),))
-        put(1, PAGER[:1], odds=0.5 * f)
-        put(1, PAGER[1:], odds=0.4 * f)
-        put(1, WIDGETS, rnd.randint(1, 2), odds=0.4 * f)
-        put(1, CONSENT, odds=0.15 * f)
-        put(1, FOOTER, rnd.randint(1, 4), odds=0.8 * f)
-        if rnd.random() < 0.15:  # some sites shout
-            lines = [(text.upper(), label) if label else (text, label) for text, label in lines]
-        out.append((f"https://{host.lower()}.example/{rnd.choice(nouns)}/{topic.lower()}-{number}" if rnd.random() < 0.9 else "", title if rnd.random() < 0.9 else "", lines))
+                own_text(f"\"{w.block(QUOTE, words)}\" ({w.name()})")
+        furniture("tag", fill(tag))
+        furniture("prompt", *rnd.sample(prompts, rnd.randint(1, 2)))
+        furniture("note", rnd.choice(notes))
+        furniture("bio", rnd.choice(bios[rnd.choice(authors)]))
+        furniture("related", *([rnd.choice(heads)] if rnd.random() < 0.85 else []), *others(rnd.randint(1, 6)))
+        furniture("pager", f"{fixed['F']}: {rnd.choice(titles)[0]}")
+        furniture("pager", f"{w.name()}: {rnd.choice(titles)[0]}")
+        furniture("widget", *rnd.sample(widgets, rnd.randint(1, 2)), *([fill(count)] if rnd.random() < 0.4 else []))
+        if rnd.random() < 0.3:
+            furniture("consent", consents[1])
+        furniture("legal", *rnd.sample(legals, rnd.randint(1, 4)))
+        if rnd.random() < 0.08:  # a line of text after it all
+            own_text(w.block(BRIEF, words))
+        url = f"https://{host}.example/{own[0]}/{topic.lower()}-{p}" if rnd.random() < 0.95 else ""
+        out.append((url, f"s{number}p{p}", title if rnd.random() < 0.92 else "", [x for x in lines if x[0].strip()]))
     return out

@@ -1,238 +1,129 @@
-"""Problem 2: flat text blocks, told apart by a decision tree.
+"""Problem 2: flat text blocks, told apart by decision trees.
 
-A page is a row of blocks, its lines. Each block has its word count and link density, those of its neighbours,
-its place, and how much its words are used in furniture rather than in text (naive Bayes odds). The tree is
-grown on a small labelled table that comes with the library, so it has a fixed size and is sent along with the
-function; pages are judged one by one and nothing is shuffled.
+A page is a row of blocks, its lines (``page_lines``). Each block has its word count, link density, share of function words
+and the like, those of its neighbours, its place, and - where the whole table has been counted - on how many pages of its
+site its form comes back. The trees are grown on a small labelled table of shapes (``block_table``), which holds no phrases:
+no word of any site is learned. They have a fixed size and are broadcast.
 """
 
 from __future__ import annotations
 
-import math
-import re
-from collections import Counter
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 from lexspark.llm import block_table
+from lexspark.llm.page_lines import FEATURES, PageLines, hashes
 
-WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
-SEPARATOR = re.compile(r"\s[|·•/>»~+]\s|\t|\s{3,}|\s\s(?=[|·•])|[|·•»]")
-URL = re.compile(r"https?://\S+|\bwww\.\S+")
-MARK = re.compile(r"^\s*(?:([-*•])|(\d{1,2}[.)])|(»))\s+")
-CAPITAL = re.compile(r"\b[A-ZÀ-ÖØ-Þ][^\W_]+")
-DIGITS = re.compile(r"\d+")
-GLUE = frozenset("|·•/>»~+\t")
-#: A block of so many words is read as a run of text; its words are not weighed one by one.
-LONG_BLOCK = 40
-
-FEATURES = (
-    "words", "links", "ends", "mark", "capitals", "digits", "odds", "words before", "words after", "links before", "links after", "odds before", "odds after",
-    "from top", "from end", "text above", "text below", "shared name", "in title", "site name", "colon", "text above page", "run of short", "mark before", "mark after", "odds below",
-)
-
-
-def _plain(text: str) -> str:
-    """Without links, every number ``0``."""
-    if "http" in text or "www." in text:
-        text = URL.sub(" ", text)
-    return DIGITS.sub("0", text)
-
-
-def terms(text: str) -> list[str]:
-    return WORD.findall(DIGITS.sub("0", text).lower())
-
-
-class Lexical:
-    """What a line tells on its own."""
-
-    __slots__ = ("words", "links", "ends", "mark", "capitals", "digits", "odds", "names", "long", "colon", "low", "terms")
-
-    def __init__(self, line: str, odds: dict[str, float] | None):
-        text = line.strip()
-        mark = MARK.match(line)
-        body = line[mark.end() :].rstrip() if mark else text
-        self.mark = 0 if not mark else 1 if mark[1] else 2 if mark[2] else 3
-        body_plain = _plain(body)
-        terms = self.terms = WORD.findall(body_plain.lower())
-        n = self.words = len(terms)
-        glue = len(URL.findall(body)) if "http" in body or "www." in body else 0
-        if "  " in body or not GLUE.isdisjoint(body):
-            glue += len(SEPARATOR.findall(body))
-        self.links = glue / (glue + n) if glue else 0.0
-        self.ends = 1 if text[-1:] in ".!?" else 2 if text[-1:] in "\"”" else 0
-        self.colon = text.endswith(":")
-        caps = CAPITAL.findall(body_plain)
-        self.capitals = len(caps) / n if n else 0.0
-        self.digits = terms.count("0") / (n + 1)
-        self.long = n >= 12 and self.ends > 0 and self.links < 0.2
-        names = {c.lower() for c in caps if len(c) > 3}
-        if odds is None:
-            self.odds, self.low, self.names = 0.0, "", names
-            return
-        self.names = {c for c in names if c not in odds}
-        if n >= LONG_BLOCK:
-            self.odds, self.low = -4.0, ""
-            return
-        self.low = " ".join(terms)
-        got = [v for v in map(odds.get, _grams(terms)) if v is not None]
-        self.odds = max(-4.0, min(4.0, sum(got) / math.sqrt(len(got)))) if got else 0.0
-
-
-def _grams(terms: list[str]) -> set[str]:
-    """Words, pairs, and both ends of a line."""
-    out = set(terms)
-    out.update(map(" ".join, zip(terms, terms[1:])))
-    if terms:
-        out.add("^ " + terms[0])
-        out.add(terms[-1] + " $")
-        if len(terms) <= 3:
-            out.add("= " + " ".join(terms))
-    return out
+#: Trees of a committee, each grown on its own resample of the rows and this share of the features; their mean decides.
+#: Where the whole table has been counted, a text line lost costs more than a furniture line kept: the mean has to be higher.
+TREES, SHARE, BAR = 12, 0.6, 0.5
+WHOLE_TREES, WHOLE_BAR = 24, 0.6
+DEPTH, LEAST, BINS = 14, 8, 32
+#: log2 of the pages of the site that show a line's form; more than 2^8 tell no more.
+MAX_DOCS_LOG2 = 8
 
 
 class Tree:
-    """A CART decision tree with Gini splits."""
+    """A CART tree with Gini splits over features in bins."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 12, least: int = 6):
+    def __init__(self, bins: np.ndarray, y: np.ndarray, features: np.ndarray, depth: int = DEPTH, least: int = LEAST):
         self.feature: list[int] = []
-        self.limit: list[float] = []
+        self.limit: list[int] = []
         self.left: list[int] = []
         self.right: list[int] = []
         self.value: list[float] = []
-        self._grow(x, y, depth, least)
-
-    def _grow(self, x: np.ndarray, y: np.ndarray, depth: int, least: int) -> int:
-        at = len(self.value)
-        for column, v in ((self.feature, -1), (self.limit, 0.0), (self.left, -1), (self.right, -1), (self.value, float(y.mean()))):
+        self.of = features
+        self.width = int(bins.max(initial=0)) + 1
+        self._grow(bins[:, features].astype(np.int64) + np.arange(len(features)) * self.width, y, depth, least)
+        self.nodes = [np.array(x) for x in (self.feature, self.limit, self.left, self.right, self.value)]
+        del self.feature, self.limit, self.left, self.right, self.value
+
+    def _grow(self, flat: np.ndarray, y: np.ndarray, depth: int, least: int) -> int:
+        at, n, p = len(self.value), len(y), float(y.mean()) if len(y) else 0.0
+        for column, v in ((self.feature, -1), (self.limit, 0), (self.left, -1), (self.right, -1), (self.value, p)):
             column.append(v)
-        if depth and len(y) >= 2 * least and 0 < y.mean() < 1:
-            best = (y.mean() * (1 - y.mean()) * len(y) - 1e-9, -1, 0.0)
-            for f in range(x.shape[1]):
-                order = np.argsort(x[:, f], kind="stable")
-                v, hits = x[order, f], np.cumsum(y[order])
-                n = np.arange(1, len(y))
-                left, right = hits[:-1], hits[-1] - hits[:-1]
-                cost = left * (n - left) / n + right * (len(y) - n - right) / (len(y) - n)
-                ok = (v[1:] > v[:-1]) & (n >= least) & (len(y) - n >= least)
-                if ok.any():
-                    i = int(np.argmin(np.where(ok, cost, np.inf)))
-                    if cost[i] < best[0]:
-                        best = (float(cost[i]), f, float((v[i] + v[i + 1]) / 2))
-            if best[1] >= 0:
-                go = x[:, best[1]] <= best[2]
-                self.feature[at], self.limit[at] = best[1], best[2]
-                self.left[at] = self._grow(x[go], y[go], depth - 1, least)
-                self.right[at] = self._grow(x[~go], y[~go], depth - 1, least)
+        if not depth or n < 2 * least or p in (0.0, 1.0):
+            return at
+        shape = (len(self.of), self.width)
+        size = shape[0] * shape[1]
+        total = np.bincount(flat.ravel(), minlength=size).reshape(shape)
+        hits = np.bincount(flat[y > 0].ravel(), minlength=size).reshape(shape)
+        n_left, k_left = np.cumsum(total, 1)[:, :-1], np.cumsum(hits, 1)[:, :-1]
+        n_right, k_right = n - n_left, hits.sum(1, keepdims=True) - k_left
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cost = k_left * (n_left - k_left) / n_left + k_right * (n_right - k_right) / n_right
+        cost = np.where((n_left >= least) & (n_right >= least), cost, np.inf)
+        j, b = divmod(int(np.argmin(cost)), shape[1] - 1)
+        if cost[j, b] < p * (1 - p) * n - 1e-9:
+            go = flat[:, j] - j * self.width <= b
+            self.feature[at], self.limit[at] = int(self.of[j]), b
+            self.left[at] = self._grow(flat[go], y[go], depth - 1, least)
+            self.right[at] = self._grow(flat[~go], y[~go], depth - 1, least)
         return at
 
-    def predict(self, row: list[float]) -> float:
-        i = 0
-        feature, limit, left, right = self.feature, self.limit, self.left, self.right
-        while feature[i] >= 0:
-            i = left[i] if row[feature[i]] <= limit[i] else right[i]
-        return self.value[i]
-
-
-def site_names(url: str | None) -> set[str]:
-    """The labels of the host that may name the site."""
-    if not url:
-        return set()
-    host = re.sub(r"^[a-z][a-z0-9+.\-]*://", "", url.strip().lower()).split("/")[0].split(":")[0]
-    return {p for p in host.split(".")[:-1] if len(p) > 3}
-
-
-class Classifier:
-    """Tells furniture (1) from text (0), line by line."""
-
-    def __init__(self, table: list[block_table.Page]):
-        self.odds: dict[str, float] | None = None
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
-        n = [1, 1]
-        spread: Counter = Counter()  # on how many pages; what stands on one page only is its subject
-        for _, _, lines in table:
-            seen: set[str] = set()
-            for text, label in lines:
-                grams = _grams(WORD.findall(_plain(MARK.sub("", text)).lower()))
-                counts[label].update(grams)
-                seen |= grams
-                n[label] += 1
-            spread.update(seen)
-        odds = {}
-        for g in set(counts[0]) | set(counts[1]):
-            a, b = counts[1][g], counts[0][g]
-            if spread[g] >= 3:
-                odds[g] = math.log((a + 0.5) / (n[1] + 1)) - math.log((b + 0.5) / (n[0] + 1))
-        self.odds = odds
-        self.memo: dict[str, Lexical] = {}
-        rows, labels = [], []
-        for url, title, lines in table:
-            rows += [f for _, f in self.features([t for t, _ in lines], title, url)]
-            labels += [label for text, label in lines if text.strip()]
-        self.tree = Tree(np.array(rows), np.array(labels, dtype=float))
-        self.memo.clear()
-
-    def lexical(self, line: str) -> Lexical:
-        got = self.memo.get(line)
-        if got is None:
-            got = Lexical(line, self.odds)
-            if len(line) < 200:
-                if len(self.memo) > 50_000:
-                    self.memo.clear()
-                self.memo[line] = got
-        return got
-
-    def features(self, lines: list[str], title: str | None, url: str | None) -> list[tuple[int, list[float]]]:
-        """``place, features`` of every line that is not blank; places count from 0."""
-        at = [i for i, x in enumerate(lines) if x.strip()]
-        return self.of(at, [self.lexical(lines[i]) for i in at], title, url)
-
-    def of(self, at: list[int], lex: list[Lexical], title: str | None, url: str | None) -> list[tuple[int, list[float]]]:
-        n = len(lex)
-        shared: Counter = Counter()
-        for v in lex:
-            shared.update(v.names)
-        head = set(terms(title)) if title else set()
-        if url:
-            head.update(terms(url.split("//")[-1].partition("/")[2]))
-        title_low = " ".join(terms(title)) if title else ""
-        site = site_names(url)
-        longs = [i for i, v in enumerate(lex) if v.long]
-        first, last = (longs[0], longs[-1]) if longs else (n, -1)
-        below = 0.0
-        tails = [0.0] * n
-        for i in range(n - 1, -1, -1):
-            tails[i] = below
-            below = 0.6 * below + 0.4 * lex[i].odds
-        out, run, above = [], 0, 0
-        for i, v in enumerate(lex):
-            p, q = (lex[i - 1] if i else None), (lex[i + 1] if i + 1 < n else None)
-            own = max((shared[x] for x in v.names), default=0)
-            named = max((1 for x in v.names if x in head), default=0)
-            run = 0 if v.long else run + 1
-            squeezed = v.low.replace(" ", "")
-            out.append((at[i], [
-                min(v.words, 60), v.links, v.ends, v.mark, v.capitals, v.digits, v.odds,
-                min(p.words, 60) if p else -1, min(q.words, 60) if q else -1, p.links if p else -1, q.links if q else -1, p.odds if p else 0, q.odds if q else 0,
-                i, n - 1 - i, above, 1 if i < last else 0, min(own, 4), 2 if v.low == title_low else named, 1 if any(s in squeezed for s in site) else 0,
-                1 if v.colon else 0, 1 if i > first else 0, run, p.mark if p else -1, q.mark if q else -1, tails[i],
-            ]))
-            above += v.long
+    def predict(self, bins: np.ndarray) -> np.ndarray:
+        feature, limit, left, right, value = self.nodes
+        at = np.zeros(len(bins), dtype=np.int64)
+        rows = np.arange(len(bins))
+        while len(rows):
+            rows = rows[feature[at[rows]] >= 0]
+            node = at[rows]
+            at[rows] = np.where(bins[rows, feature[node]] <= limit[node], left[node], right[node])
+        return value[at]
+
+
+class Committee:
+    """Tells furniture (1) from text (0) by the mean of its trees."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = TREES, bar: float = BAR, seed: int = 1):
+        self.bar = bar
+        self.edges = []
+        for column in x.T:
+            v = np.unique(column)
+            if len(v) > BINS:
+                v = np.unique(np.quantile(column, np.linspace(0, 1, BINS + 1)))
+            self.edges.append((v[1:] + v[:-1]) / 2)
+        bins, rng = self.bins(x), np.random.default_rng(seed)
+        self.trees = []
+        for _ in range(trees):
+            rows = rng.integers(0, len(x), len(x))
+            features = np.sort(rng.permutation(x.shape[1])[: int(SHARE * x.shape[1])])
+            self.trees.append(Tree(bins[rows], y[rows], features))
+
+    def bins(self, x: np.ndarray, first: int = 0) -> np.ndarray:
+        """The features from number ``first`` on as one byte each; a committee's trees need nothing else."""
+        out = np.empty(x.shape, dtype=np.uint8)
+        for j, column in enumerate(x.T):
+            out[:, j] = np.searchsorted(self.edges[first + j], column, "left")
         return out
 
-    def furniture(self, content: str | None, title: str | None, url: str | None) -> list[tuple[int, str, bool, Lexical]]:
-        """``line_no, line, is furniture, what it tells`` of every line that is not blank; ``line_no`` counts from 1."""
-        if not content:
-            return []
-        lines = content.split("\n")
-        at = [i for i, x in enumerate(lines) if x.strip()]
-        lex = [self.lexical(lines[i]) for i in at]
-        predict = self.tree.predict
-        return [(i + 1, lines[i], predict(f) >= 0.5, v) for (i, f), v in zip(self.of(at, lex, title, url), lex)]
+    def furniture(self, bins: np.ndarray) -> np.ndarray:
+        return sum(t.predict(bins) for t in self.trees) / len(self.trees) >= self.bar if len(bins) else np.zeros(0, dtype=bool)
+
+
+def docs_feature(docs: np.ndarray) -> np.ndarray:
+    """The number of pages as the trees read it."""
+    return np.minimum(np.log2(np.maximum(docs, 1)), MAX_DOCS_LOG2)
+
+
+def training_rows(table: list[block_table.Page]) -> tuple[np.ndarray, np.ndarray]:
+    """Features (``FEATURES``, then ``docs_feature``) and labels of the lines of the labelled table."""
+    texts = pa.array(["\n".join(t for t, _ in lines) for *_, lines in table], pa.string())
+    lines = PageLines(texts, pa.array([p[2] for p in table], pa.string()), pa.array([p[0] for p in table], pa.string()))
+    labels = np.array([y for *_, rows in table for _, y in rows])
+    site = np.array([int(p[1].partition("p")[0][1:]) for p in table])[lines.page]
+    form = np.unique(hashes(lines.skeletons()), return_inverse=True)[1]
+    width = form.max(initial=0) + 1
+    once = np.unique((site * width + form) * len(table) + lines.page) // len(table)  # a form counts once a page
+    keys, docs = np.unique(once, return_counts=True)
+    docs = docs[np.searchsorted(keys, site * width + form)]
+    return np.column_stack([lines.features(), docs_feature(docs)]), labels
 
 
 @lru_cache(maxsize=1)
-def classifier() -> Classifier:
-    """The classifier of the labelled table; grown once in each worker, in the same way."""
-    return Classifier(block_table.pages())
+def classifiers() -> tuple[Committee, Committee]:
+    """The committee for a page on its own, and the one that knows how often a line's form comes back in its site."""
+    x, y = training_rows(block_table.pages())
+    return Committee(x[:, : len(FEATURES)], y), Committee(x, y, WHOLE_TREES, WHOLE_BAR)

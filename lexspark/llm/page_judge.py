@@ -1,217 +1,318 @@
-"""One pass over pages: their furniture (problem 2), keyword spam (1) and template residue (7).
+"""One pass over pages: their blocks (problem 2), keyword spam (1) and what may be template residue (7).
 
-Everything here is told by the page alone. The labelled table's classifier has a fixed size; no row is shuffled.
+Everything here is told by the page alone, a whole Arrow batch at a time (``page_lines``). The committees of trees have a
+fixed size and are broadcast; no row is shuffled.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.functions.text import STOPWORDS
 from lexspark.llm import blocks, residue_lines
+from lexspark.llm.page_lines import PageLines, Words, hashes, host_labels
 from lexspark.llm.site_lines import site_of
 
-#: Words without which sentences can hardly be built, English and some other languages.
-FUNCTION = (STOPWORDS - {"me", "more", "most", "off", "own", "up", "s", "t", "d", "m", "re", "ve", "ll", "below", "above", "against"}) | {
-    *"der die das den dem ein eine und ist nicht mit von zu im auf für sich auch es wir sie als wie aber bei nach".split(),
-    *"le la les un une des et est dans que qui pour pas sur avec ce il elle nous vous au du de en par plus".split(),
-    *"el los las una y es no con por para su se que lo al del como pero más".split(),
-    *"in ad cum non est et sed ut qui quae hoc".split(),
-}
-LAGS = 16
+#: A term that comes back within so many places recurs.
+NEAR = 16
+#: Lag windows of the autocorrelation, from and to; it is taken within each of them.
+WINDOWS = ((1, 4), (5, 8), (9, 16), (17, 32), (33, 64))
+#: Of the terms of stuffed text so many recur nearby, and so many places hold the same term one lag on, on average over the windows.
+MIN_NEAR, MIN_RHO = 0.4, 0.065
+#: In a list nearly all recur within the longest lag, and so many places hold the same term at one single lag: a cycle.
+MIN_FAR, MIN_PEAK = 0.8, 0.3
+#: Share of function words below which words are a list, and above which they are sentences.
+LIST_FUNCTION, SENTENCE_FUNCTION = 0.1, 0.15
+MIN_LIST = 12
+#: So many different content words in a row, without a function word, are a list whether or not any comes back.
+MIN_DISTINCT = 24
 #: A text of at least so many words in sentences is a text, whatever stands beside it.
 REAL_WORDS = 40
 MIN_SPAM_WORDS = 15
 #: So many are enough where nothing else stands on the page.
 MIN_BARE_SPAM = 3
-TAG = re.compile(r"#\w+")
+#: So many words beside its slots make two lines records of one template, where no known notation tells so.
+MIN_FIXED = 3
 
 
-def recurrence(terms: list[str], lags: int = LAGS) -> tuple[float, float, float]:
-    """Of a run of terms: the share that comes back within ``lags`` places, the share of the commonest term, and
-    the highest autocorrelation of that term's places at lags 2..``lags``.
+class Recurrence:
+    """Recurrence gaps and autocorrelation of the words of a batch, by segment.
 
-    In prose a term rarely comes back so soon, and never in step; in stuffed text it does both.
+    ``text`` and ``segment`` tell of every word the text it stands in and the segment it counts for; ``code`` is the term,
+    negative for a word that is none (a function word, a number). Texts and segments are numbered in reading order.
     """
-    content = [t for t in terms if t not in FUNCTION]
-    n = len(terms)
-    if n < 4 or not content:
-        return 0.0, 0.0, 0.0
-    counts = Counter(content)
-    top, k = max(counts.items(), key=lambda x: (x[1], x[0]))
-    share = k / n
-    if k < 2:
-        return 0.0, share, 0.0
-    last: dict[str, int] = {}
-    near = 0
-    for i, t in enumerate(terms):
-        if counts.get(t, 0) > 1:
-            if i - last.get(t, -lags - 1) <= lags:
-                near += 1
-            last[t] = i
-    rho = 0.0
-    if k >= 4 and n > 2 * lags:
-        x = np.fromiter((t == top for t in terms), dtype=float, count=n) - share
-        var = float(x @ x)
-        if var > 0:
-            rho = max(float(x[:-lag] @ x[lag:]) / var for lag in range(2, lags + 1))
-    return near / len(content), share, rho
+
+    def __init__(self, text: np.ndarray, segment: np.ndarray, code: np.ndarray, segments: int):
+        content = code >= 0
+        self.terms = np.bincount(segment[content], minlength=segments)
+        self.near, self.far, self.peak = np.zeros(segments), np.zeros(segments), np.zeros(segments)
+        self.rho = np.zeros((len(WINDOWS), segments))
+        at = np.flatnonzero(content)
+        if len(at):
+            self._gaps(text, segment, code, at, segments)
+            # without recurrence nearby the rhythm decides nothing: only texts that hold some are gone through
+            some = np.isin(text, np.unique(text[(self.near[segment] >= MIN_NEAR) | (self.far[segment] >= MIN_FAR)]))
+            self._rhythm(text[some], segment[some], code[some], segments)
+
+    def _gaps(self, text: np.ndarray, segment: np.ndarray, code: np.ndarray, at: np.ndarray, segments: int) -> None:
+        order = at[np.lexsort((at, code[at], text[at]))]
+        same = (text[order[1:]] == text[order[:-1]]) & (code[order[1:]] == code[order[:-1]])
+        gap = np.diff(order)
+        for name, reach in (("near", NEAR), ("far", WINDOWS[-1][1])):
+            close = same & (gap <= reach)
+            recurs = np.zeros(len(code), dtype=bool)
+            recurs[order[1:][close]] = True
+            recurs[order[:-1][close]] = True
+            setattr(self, name, np.bincount(segment[recurs], minlength=segments) / np.maximum(self.terms, 1))
+
+    def _rhythm(self, text: np.ndarray, segment: np.ndarray, code: np.ndarray, segments: int) -> None:
+        for w, (lo, hi) in enumerate(WINDOWS):
+            met, pairs = np.zeros(segments), np.zeros(segments)
+            for lag in range(lo, min(hi, len(code) - 1) + 1):
+                both = text[lag:] == text[:-lag]
+                equal = both & (code[lag:] == code[:-lag]) & (code[lag:] >= 0)
+                m, p = np.bincount(segment[:-lag][equal], minlength=segments), np.bincount(segment[:-lag][both], minlength=segments)
+                self.peak = np.maximum(self.peak, np.where(p >= MIN_LIST, m / np.maximum(p, 1), 0))
+                met += m
+                pairs += p
+            self.rho[w] = met / np.maximum(pairs, 1)
+
+    def stuffed(self) -> np.ndarray:
+        """Segments whose terms recur nearby and go on doing so from lag to lag; prose reaches half of either at most."""
+        return (self.near >= MIN_NEAR) & (self.rho.mean(0) >= MIN_RHO)
+
+    def cycles(self) -> np.ndarray:
+        """Segments whose terms come back in step."""
+        return (self.far >= MIN_FAR) & (self.peak >= MIN_PEAK)
+
+
+def own_lines(lines: PageLines, furniture: np.ndarray) -> np.ndarray:
+    """What is judged as the page's own: all but furniture, and what looks like a menu but is a heap of links, tags or words."""
+    plain = (lines.function < LIST_FUNCTION) & (lines.n_words > 0)
+    heap = plain & (lines.n_words >= MIN_LIST) & (lines.capitals < 0.6)
+    # lines of few words in lower case, one after another: no menu is written so
+    entry = plain & (lines.capitals < 0.3)
+    if lines.n:
+        run = np.cumsum(np.concatenate([[True], (entry[1:] != entry[:-1]) | (lines.page[1:] != lines.page[:-1])])) - 1
+        heap |= entry & (np.bincount(run, weights=lines.n_words)[run] >= MIN_DISTINCT)
+    links = (lines.links_at > 0) & (lines.n_words <= 5)
+    return ~furniture | heap | links | (lines.count_of("#") >= 3)
+
+
+def spam_words(lines: PageLines, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, Recurrence, np.ndarray]:
+    """Of each page: words of its own text that are keywords, links or tags; words in sentences. And what that rests on."""
+    n, w = lines.n_words, lines.words
+    hashes_ = lines.count_of(r"#[\p{L}\p{N}_]+")
+    link = own & (lines.links_at > 0) & (n <= 5)
+    tag = own & ~link & (2 * hashes_ >= np.maximum(n, 1)) & (hashes_ > 0)
+    text = own & ~link & ~tag & (n > 0) & lines.is_first
+    # neighbouring lines without function words are one segment: a list may have one entry a line or all in one
+    bare = text & (lines.function < LIST_FUNCTION)
+    new = np.ones(lines.n, dtype=bool)
+    at = np.flatnonzero(text)
+    if len(at) > 1:
+        new[at[1:]] = ~(bare[at[1:]] & bare[at[:-1]] & (lines.page[at[1:]] == lines.page[at[:-1]]))
+    segment = np.cumsum(new & text) - 1
+    segments = int(segment[-1]) + 1 if lines.n else 0
+    page_of = np.zeros(segments, dtype=np.int64)
+    page_of[segment[text]] = lines.page[text]
+    inside = text[w.of] if len(w.of) else np.zeros(0, dtype=bool)
+    of = w.of[inside]
+    kind = w.code[inside]
+    code = np.where(w.function[kind] | w.number[kind], -1, kind) if len(kind) else kind
+    r = Recurrence(lines.page[of], segment[of], code, segments)
+    total = lambda x: np.bincount(segment[text], weights=x[text], minlength=segments)
+    words, function = total(n.astype(float)), total(lines.n_function)
+    share = function / np.maximum(words, 1)
+    sentences = total(((lines.ends == 1) & (n >= 8) & (lines.links == 0)).astype(float) * n)
+    counted = total(((lines.mark > 0) & lines.has(r"^\S+\s+\d|^\d")).astype(float) * n)
+    stuffed = (r.stuffed() | r.cycles() & (share < LIST_FUNCTION)) & (words >= MIN_LIST)
+    # many distinct content words, no function word: a list of keywords, unless it is set in sentences (filler) or counts pieces
+    listed = (share < LIST_FUNCTION) & (words >= MIN_DISTINCT) & (2 * sentences < words) & (2 * counted < words)
+    spam = np.bincount(page_of, weights=words * (stuffed | listed), minlength=lines.pages).astype(float)
+    spam += np.bincount(lines.page, weights=np.where(link, n + 2, 0) + np.where(tag, n, 0), minlength=lines.pages)
+    real = np.bincount(page_of, weights=words * (~stuffed & (share >= SENTENCE_FUNCTION) & (words >= 6)), minlength=lines.pages)
+    return spam, real, r, page_of
+
+
+def filler_words(lines: PageLines, own: np.ndarray) -> np.ndarray:
+    """Of each page, words in sentences that hold no function word of any language: set only to fill the page."""
+    blank = own & (lines.n_words >= 8) & (lines.n_function == 0) & (lines.ends == 1) & (lines.links == 0) & lines.has(r"^\p{Lu}[^,;#|/:~+>•·]*$")
+    return np.bincount(lines.page[blank], weights=lines.n_words[blank], minlength=lines.pages)
+
+
+class Forms:
+    """What aligns the lines of different records: their forms, with slots, names and numbers masked."""
+
+    def __init__(self, lines: PageLines):
+        signed = np.flatnonzero(lines.has(residue_lines.SIGN) & (lines.links_at == 0))
+        self.held = np.zeros(lines.n, dtype=np.int8)
+        held: list[str] = []
+        if len(signed):
+            masked, kinds, held = zip(*map(residue_lines.mask, lines.text.take(pa.array(signed)).to_pylist()))
+            self.held[signed] = kinds
+            put = np.zeros(lines.n, dtype=bool)
+            put[signed] = True
+            text = pc.replace_with_mask(lines.text, pa.array(put), pa.array(masked, pa.string()))
+        else:
+            text = lines.text
+        form = lines.skeletons(text)
+        self.form = hashes(form)
+        varies = _flag(form, residue_lines.MASK)
+        self.held[(self.held == residue_lines.FIXED) & varies] = residue_lines.FILLED
+        # a value is what a slot holds, or the whole line where only names and numbers vary
+        self.value = hashes(lines.text)
+        if len(signed):
+            self.value[signed] = np.where(np.array([bool(h) for h in held]), hashes(pa.array(held, pa.string())), self.value[signed])
+        fixed = np.asarray(pc.count_substring_regex(form, r"\p{L}+"))
+        # of so few fixed words no template can be told, unless a notation shows it
+        self.held[(self.held <= residue_lines.UNFILLED) & (fixed < MIN_FIXED)] = residue_lines.FIXED
+        self.key = self._keys(lines, form)
+
+    @staticmethod
+    def _keys(lines: PageLines, form: pa.Array) -> np.ndarray:
+        """The hash of each line's longest clause, which notices put together from parts share; 0 for quotations and code."""
+        if not lines.n:
+            return np.array([], dtype=np.int64)
+        clauses = pc.split_pattern_regex(form, r"[.!?:;,()]\s|\s[–-]\s|[.!?:;)]$|\s\(")
+        flat, of = clauses.flatten(), np.asarray(pc.list_parent_indices(clauses))
+        flat = pc.utf8_trim(flat, characters=residue_lines.MASK + " .,!?:;()–-*•»")
+        size = np.asarray(pc.utf8_length(flat))
+        longest = np.lexsort((-size, of))
+        longest = longest[np.searchsorted(of[longest], np.arange(lines.n))]
+        best = flat.take(pa.array(longest))
+        # without two words it is no clause: the line itself stands for it
+        whole = pa.array(np.asarray(pc.count_substring_regex(best, r"\p{L}+")) < 2)
+        key = hashes(pc.if_else(whole, pc.utf8_lower(lines.text), best))
+        key[key == 0] = 1
+        key[_flag_any(lines.text, residue_lines.QUOTES.replace("'", "")) | lines.has(r"^\s*(?:render|print|echo|return|run|def|for|if|let|var|const)\b|[;{]$")] = 0
+        return key
+
+
+def _flag(texts: pa.Array, part: str) -> np.ndarray:
+    return np.asarray(pc.match_substring(texts, part)).astype(bool)
+
+
+def _flag_any(texts: pa.Array, signs: str) -> np.ndarray:
+    return np.asarray(pc.match_substring_regex(texts, "[" + signs + "]")).astype(bool)
+
+
+def titles(lines: PageLines, titles_: list[str | None], urls: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each page: whether its title shows residue; the hash of the title's head, 0 without one; whether the page tells nothing of it.
+
+    The page tells of its title if more than half of the head's words of weight stand in a line or in the path.
+    """
+    heads = [residue_lines.title_head(t, set(host_labels(u))) if t else "" for t, u in zip(titles_, urls)]
+    kinds = [residue_lines.title_kind(t, h) for t, h in zip(titles_, heads)]
+    w, v = lines.words, len(lines.words.vocabulary)
+    head = Words(pa.array(heads, pa.string()))
+    path = Words(pc.replace_substring_regex(lines.urls, r"^[^/]*//[^/]*", ""))
+    in_path = path.codes_of(head.vocabulary)[head.code] if len(head.code) else head.code
+    here = np.isin(head.of * (len(path.vocabulary) + 1) + in_path, path.of * (len(path.vocabulary) + 1) + path.code) & (in_path >= 0)
+    code = w.codes_of(head.vocabulary)[head.code] if len(head.code) else head.code
+    told = np.isin(head.of * (v + 1) + code, lines.page[w.of] * (v + 1) + w.code) & (code >= 0)
+    weight = ~head.function[head.code] if len(head.code) else np.zeros(0, dtype=bool)
+    bare = np.bincount(head.of[weight], minlength=lines.pages) == 0  # function words only: all of them count
+    weight |= bare[head.of]
+    size = np.bincount(head.of[weight], minlength=lines.pages)
+    apart = 2 * np.bincount(head.of[weight & (here | told)], minlength=lines.pages) <= size
+    said = lines.long[w.of]  # a page about such words has them in its sentences
+    spoken = np.isin(head.of * (v + 1) + code, lines.page[w.of[said]] * (v + 1) + w.code[said]) & (code >= 0)
+    whole = np.bincount(head.of[spoken], minlength=lines.pages) == np.bincount(head.of, minlength=lines.pages)
+    shows = np.array([k is not None and not (doubtful and whole[i]) for i, (k, doubtful) in enumerate(kinds)], dtype=bool)
+    return shows, np.where(size > 0, hashes(pc.utf8_lower(pa.array(heads, pa.string()))), 0), apart & (size > 0)
 
 
 class Judge:
-    """Reads one page after another."""
-
-    def __init__(self, residue: bool = True) -> None:
-        self.residue = residue
-        self.blocks = blocks.classifier()
-        self.memo: dict[str, tuple[bool, int, int, int]] = {}
-
-    def slots(self, line: str, v: blocks.Lexical) -> tuple[bool, int, int, int]:
-        """Whether the line shows a slot; the hash of its skeleton and what its slots hold, -1 without one; the hash of its words."""
-        got = self.memo.get(line)
-        if got is None:
-            sign = residue_lines.has_sign(line)
-            m = residue_lines.skeleton(line) if sign or (v.capitals or v.digits) and not v.links else None
-            if m and m[1] == residue_lines.FILLED and v.links:
-                m = None  # menus and trails are no records
-            got = (sign and residue_lines.kind(line) == "slot", xxhash.xxh3_64_intdigest(m[0]) - 2**63 if m else 0, m[1] if m else -1, xxhash.xxh3_64_intdigest(" ".join(v.terms)) - 2**63 if m else 0)
-            if len(line) < 200:
-                if len(self.memo) > 50_000:
-                    self.memo.clear()
-                self.memo[line] = got
-        return got
-
-    def page(self, content: str | None, title: str | None, url: str | None) -> dict:
-        lines = self.blocks.furniture(content, title, url)
-        own = [(line, v) for _, line, is_furniture, v in lines if not is_furniture or (not v.words and v.links) or line.count("#") >= 6]  # bare links and heaps of tags are no menus
-        spam, real = self.weigh(own)
-        slotted = [m for _, line, _, v in lines if (m := self.slots(line, v))[2] >= 0 or m[0]] if self.residue else []
-        names = blocks.site_names(url)
-        told = (t for _, _, _, v in lines if v.long for t in v.terms)  # read for doubtful titles only
-        slots = residue_lines.title_kind(title, names, told) is not None or any(m[0] for m in slotted)
-        short = real < REAL_WORDS
-        filler = short and self.filler([line for _, line, is_furniture, v in lines if not is_furniture or (v.odds <= 1 and v.words >= 8 and not v.mark)])
-        is_spam = spam >= (MIN_SPAM_WORDS if real else MIN_BARE_SPAM) and spam > real and not filler
-        fails = filler or (short and not is_spam and any(residue_lines.kind(line) for _, line, _, v in lines if v.words < 40))
-        masked = {(m, held, value): None for _, m, held, value in slotted if held >= 0}
-        return {
-            "furniture": [no for no, _, is_furniture, _ in lines if is_furniture],
-            "spam": is_spam,
-            "residue": slots or fails,
-            "short": short and not is_spam,
-            "notices": [xxhash.xxh3_64_intdigest(" ".join(v.terms)) - 2**63 for _, _, _, v in lines if v.ends == 1 and 4 <= v.words <= 25 and not v.mark and not v.links],
-            "templates": [m for m, _, _ in masked],
-            "held": [held for _, held, _ in masked],
-            "values": [value for _, _, value in masked],
-            **self.title(title if self.residue else None, url, names, lines),
-            "real": real,
-            "spam_words": spam,
+    """Reads one batch of pages after another."""
+
+    def __init__(self, alone: blocks.Committee, whole: blocks.Committee | None = None):
+        self.alone, self.whole = alone, whole
+
+    def spam(self, contents: pa.Array, titles_: pa.Array, urls: pa.Array) -> np.ndarray:
+        lines = PageLines(contents, titles_, urls)
+        own = own_lines(lines, self.alone.furniture(self.alone.bins(lines.features())))
+        spam, real, *_ = spam_words(lines, own)
+        return _is_spam(spam, real)
+
+    def pages(self, contents: pa.Array, titles_: pa.Array, urls: pa.Array) -> dict[str, pa.Array]:
+        lines = PageLines(contents, titles_, urls)
+        features = lines.features()
+        furniture = self.alone.furniture(self.alone.bins(features))
+        own = own_lines(lines, furniture)
+        spam, real, *_ = spam_words(lines, own)
+        is_spam = _is_spam(spam, real)
+        short = (real < REAL_WORDS) & ~is_spam
+        forms = Forms(lines)
+        per_page = lambda x: np.bincount(lines.page[x], minlength=lines.pages) > 0
+        shows, head, apart = titles(lines, lines.titles.to_pylist(), lines.urls.to_pylist())
+        blank = filler_words(lines, own)
+        written = np.bincount(lines.page[own], weights=lines.n_words[own], minlength=lines.pages)
+        filler = short & (blank >= 8) & (2 * blank > written)
+        doubted = np.flatnonzero(short[lines.page] & (lines.links_at == 0))
+        stated = np.zeros(lines.n, dtype=bool)
+        stated[doubted] = [residue_lines.kind(x) is not None for x in lines.text.take(pa.array(doubted)).to_pylist()]
+        out = {
+            "spam": pa.array(is_spam),
+            "residue": pa.array(shows | per_page(forms.held == residue_lines.KNOWN) | filler | per_page(stated)),
+            "short": pa.array(short),
+            "head": pa.array(head),
+            "apart": pa.array(apart),
         }
+        bins = self.whole.bins(features) if self.whole is not None else np.zeros((lines.n, 0), dtype=np.uint8)
+        packed = pa.array([row.tobytes() for row in bins], pa.binary())
+        rows = pa.StructArray.from_arrays([pa.array(lines.line_no), pa.array(forms.form), pa.array(forms.key), pa.array(forms.held), pa.array(forms.value), pa.array(furniture), packed], LINE)
+        offsets = np.concatenate([[0], np.cumsum(lines.count)]).astype(np.int32)
+        out["lines"] = pa.ListArray.from_arrays(pa.array(offsets), rows)
+        return out
 
-    @staticmethod
-    def title(title: str | None, url: str | None, names: set[str], lines: list[tuple[int, str, bool, blocks.Lexical]]) -> dict:
-        """The title's head, and whether the page tells nothing of it: not half of its words stand in a line or the path."""
-        words = blocks.terms(residue_lines.title_head(title, names))
-        if not words:
-            return {"head": None, "apart": None}
-        content = {w for w in words if w not in FUNCTION} or set(words)
-        here = content.intersection(blocks.terms((url or "").split("//")[-1].partition("/")[2]))
-        for _, _, _, v in lines:
-            if 2 * len(here) > len(content):
-                break
-            here |= content.intersection(v.terms)
-        return {"head": xxhash.xxh3_64_intdigest(" ".join(words)) - 2**63, "apart": 2 * len(here) <= len(content)}
 
-    @staticmethod
-    def weigh(lines: list[tuple[str, blocks.Lexical]]) -> tuple[int, int]:
-        """Words of the own text that are keywords, links or tags; words that stand in sentences."""
-        spam = real = 0
-        loose: list[str] = []  # short lines without a sentence are judged together
-        for line, v in lines:
-            words, n = v.terms, v.words
-            if "http" in line or "www." in line:
-                if n <= 5 and blocks.URL.search(line):
-                    spam += max(3, n)
-                    continue
-            if not n:
-                continue
-            if "#" in line and 2 * len(TAG.findall(line)) >= n:
-                spam += n
-                continue
-            named = sum(1 for w in words if w in FUNCTION)
-            share = named / n
-            if n < 12 and share < 0.1:
-                if v.mark and words[0] == "0":
-                    continue  # so many of a piece: a list of parts
-                loose += words
-                if v.links or "," in line or ";" in line:
-                    loose.append(",")
-                continue
-            distinct = len(set(words))
-            if share < 0.1:
-                _, top, rho = recurrence(words)
-                glue = line.count(",") + line.count(";") + (len(blocks.SEPARATOR.findall(line)) if v.links else 0)
-                if (top >= 0.15 and top * n >= 4) or glue >= n / 6 or rho >= 0.3:
-                    spam += n
-            elif n >= 12 and n - distinct >= 0.3 * n:
-                near, top, rho = recurrence(words)
-                if near >= 0.45 and (top >= 0.12 or rho >= 0.25):
-                    spam += n
-                elif share >= 0.15:
-                    real += n
-            elif n >= 6 and share >= 0.15:
-                real += n
-        if len(loose) >= MIN_SPAM_WORDS:
-            near, top, _ = recurrence(loose)
-            if near >= 0.45 and top >= 0.15:
-                spam += len(loose)
-        return spam, real
+def _is_spam(spam: np.ndarray, real: np.ndarray) -> np.ndarray:
+    return (spam >= np.where(real > 0, MIN_SPAM_WORDS, MIN_BARE_SPAM)) & (spam > real)
 
-    @staticmethod
-    def filler(lines: list[str]) -> bool:
-        """Sentences that hold no function word of any language: words set only to fill the page."""
-        blank: list[str] = []
-        other = 0
-        for line in lines:
-            for part in re.split(r"(?<=[.!?])\s+", line.strip()):
-                words = [w.lower() for w in blocks.WORD.findall(part)]
-                if len(words) >= 8 and part[:1].isupper() and not any(w in FUNCTION for w in words) and not re.search(r"[,;#|/:~+>•·]", part):
-                    blank += words
-                else:
-                    other += len(words)
-        if len(blank) < 8 or len(blank) <= other:
-            return False
-        return max(Counter(blank).values()) <= max(4, 0.15 * len(blank))  # no keyword stands out
-
-
-JUDGED = "doc_id {kind}, ext string, site string, furniture array<int>, spam boolean, residue boolean, short boolean, notices array<bigint>, templates array<bigint>, held array<int>, values array<bigint>, head bigint, apart boolean"
-
-
-def judge_pages(pages: DataFrame, residue: bool = True) -> DataFrame:
-    """One row per row of ``pages``: what the page alone tells. Null content is a page without lines.
-
-    Without ``residue`` templates and titles are not read, and what rests on them means nothing.
-    ``pages`` needs doc_id, external_id, url, title and content; further columns are not read.
+
+LINE = ["no", "form", "key", "held", "value", "furniture", "bins"]
+JUDGED = "spam boolean, residue boolean, short boolean, head bigint, apart boolean, lines array<struct<no: int, form: bigint, key: bigint, held: tinyint, value: bigint, furniture: boolean, bins: binary>>"
+
+
+def _source(pages: DataFrame) -> DataFrame:
+    """Pages with their external id and site as hashes; a page without external id is one of its own."""
+    ext = F.xxhash64(F.coalesce(F.col("external_id").cast("string"), F.concat(F.lit("doc:"), F.col("doc_id"))))
+    return pages.select("doc_id", ext.alias("ext"), F.xxhash64(F.coalesce(site_of("url"), F.lit(""))).alias("site"), "content", "title", "url")
+
+
+def judge_pages(pages: DataFrame, bins: bool = False) -> DataFrame:
+    """``doc_id, ext, site`` and ``JUDGED``, one row per row of ``pages``: what the page alone tells. Null content is a page without lines.
+
+    With ``bins`` each line carries its features, one byte each. ``pages`` needs doc_id, external_id, url, title and
+    content; further columns are not read.
     """
     kind = dict(pages.dtypes)["doc_id"]
+    models = pages.sparkSession.sparkContext.broadcast(blocks.classifiers())  # of fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone, whole = models.value
+        judge = Judge(alone, whole if bins else None)
+        for batch in batches:
+            got = judge.pages(batch.column(3), batch.column(4), batch.column(5))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *got.values()], names=["doc_id", "ext", "site", *got])
+
+    return _source(pages).mapInArrow(run, f"doc_id {kind}, ext bigint, site bigint, {JUDGED}")
+
+
+def spam_flags(pages: DataFrame) -> DataFrame:
+    """``doc_id, spam``, one row per row of ``pages``."""
+    kind = dict(pages.dtypes)["doc_id"]
+    models = pages.sparkSession.sparkContext.broadcast(blocks.classifiers()[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Judge(residue)
-        names = ["doc_id", "ext", "site", "furniture", "spam", "residue", "short", "notices", "templates", "held", "values", "head", "apart"]
-        types = [None, None, None, pa.list_(pa.int32()), pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64(), pa.bool_()]
+        judge = Judge(models.value)
         for batch in batches:
-            rows = [judge.page(c, t, u) for c, t, u in zip(*(batch.column(k).to_pylist() for k in (3, 4, 5)))]
-            columns = [batch.column(0), batch.column(1), batch.column(2)]
-            columns += [pa.array([r[n] for r in rows], t) for n, t in zip(names[3:], types[3:])]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(judge.spam(batch.column(1), batch.column(2), batch.column(3)))], names=["doc_id", "spam"])
 
-    source = pages.select("doc_id", F.coalesce("external_id", F.concat(F.lit("doc:"), F.col("doc_id"))).alias("ext"), F.coalesce(site_of("url"), F.lit("")).alias("site"), "content", "title", "url")
-    return source.mapInArrow(run, JUDGED.format(kind=kind))
+    return pages.select("doc_id", "content", "title", "url").mapInArrow(run, f"doc_id {kind}, spam boolean")

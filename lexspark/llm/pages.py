@@ -1,73 +1,112 @@
 """Problems 1, 2 and 7 on whole page tables, built on one judgement per page.
 
-Where two results are drawn from the judgements they are checkpointed first, into the folder the cluster
-shares, so that no page is read twice and lost executors cost no more than their own tasks.
+Where several results are drawn from the judgements they are checkpointed first, into the folder the cluster shares, so
+that no page is read twice and lost executors cost no more than their own tasks. What is counted over the table are
+hashes of line forms: 8 bytes for a line, never its text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.llm.page_judge import judge_pages
-from lexspark.llm.residue_lines import FILLED, KNOWN, UNFILLED
+from lexspark.llm import blocks
+from lexspark.llm.page_judge import judge_pages, spam_flags
+from lexspark.llm.page_lines import PageLines
+from lexspark.llm.residue_lines import FILLED, UNFILLED
+from lexspark.llm.skew import salt, salts, totals
 from lexspark.session import checkpoint_dir
 
-#: A whole-page notice has to come back on so many short pages of its site, and hardly ever elsewhere.
-MIN_NOTICES, ELSEWHERE = 3, 0.1
-#: A template has to be seen on so many pages before its other slots are judged by it.
-MIN_ALIGNED = 2
+#: A notice has to come back on so many pages that hold little else, and on them more than elsewhere by this share of its pages
+#: and this log-likelihood ratio against the share of such pages in the table (p about 0.001).
+MIN_NOTICES, ON_SHORT, MIN_LLR = 3, 0.4, 10.83
+#: So many different values in a slot show that it is one.
+MIN_VALUES = 2
 #: A title's head is a default if pages that tell nothing of it have it on so many sites, and hardly any other does.
-MIN_SITES = 3
+MIN_SITES, ELSEWHERE = 3, 0.1
 
 
 def spam_pages(pages: DataFrame) -> DataFrame:
     """``doc_id`` of pages whose own text is for the most part repeated keywords, lists of links or tags.
 
-    Furniture is set aside by the block classifier. A line is stuffed if it has hardly any function word and its
-    commonest term is too common, comes back in step (autocorrelation over lag windows) or stands between
-    separators all along; or if, even within sentences, nearly half of its terms come back within a few places,
-    one of them in step. A page comes out if such words outnumber those in sentences and are at least
-    ``page_judge.MIN_SPAM_WORDS``. Pages without content do not come out; rows given twice come out twice.
+    Furniture is set aside by the block classifier. Words are stuffed where the page's terms recur within a few places
+    (recurrence gaps) and go on meeting themselves from lag to lag (autocorrelation over lag windows); runs of many
+    different content words without function words, entries that are hardly more than a link, and heaps of tags count
+    alike. A page comes out if such words outnumber those in sentences and are at least ``page_judge.MIN_SPAM_WORDS``.
+    Pages without content do not come out; rows given twice come out twice.
     """
-    return judge_pages(pages, residue=False).where("spam").select("doc_id")
+    return spam_flags(pages).where("spam").select("doc_id")
 
 
-def judged(pages: DataFrame) -> DataFrame:
+def judged(pages: DataFrame, bins: bool = False) -> DataFrame:
     """The judgements, checkpointed."""
     checkpoint_dir(pages.sparkSession)
-    return judge_pages(pages).checkpoint()
+    return judge_pages(pages, bins).checkpoint()
+
+
+def _llr(k: Column, n: Column, p: Column) -> Column:
+    """Log-likelihood ratio of ``k`` out of ``n`` against the share ``p``."""
+
+    def term(x: Column, e: Column) -> Column:
+        return F.when((x > 0) & (e > 0), x * F.log(x / e)).otherwise(0.0)
+
+    return 2 * (term(k, n * p) + term(n - k, n * (1 - p)))
+
+
+def slot_pages(lines: DataFrame) -> DataFrame:
+    """``doc_id`` of pages with a line whose aligned records (lines of one form) show it to be a template with an open slot.
+
+    A form is such a template if its slot holds different values in different records - names and numbers where it was
+    filled, variables, defaults or blanks where it was not; the records left unfilled come out.
+    """
+    opened = lines.where(F.col("held") >= UNFILLED)
+    # only records of forms that some page left open are counted, each (form, value, page) once
+    records = lines.where(F.col("held") >= FILLED).join(opened.select("form").distinct(), "form", "left_semi").select("form", "value", "held", "ext").distinct()
+    values = records.groupBy("form", "value").agg(F.count("*").alias("k"))
+    slots = values.groupBy("form").agg(F.count("*").alias("values")).where(F.col("values") >= MIN_VALUES)
+    return opened.join(slots.select("form"), "form", "left_semi").select("doc_id")
+
+
+def notice_pages(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """``doc_id`` of pages with a clause that comes back on pages that hold nothing else.
+
+    Furniture comes back on all pages of a site, a text's sentences on none; what comes back on pages without a text,
+    over sites or within one, stands in place of it: an error, a notice, words of a layout.
+    """
+    clauses = lines.where("key <> 0 and not spam")
+    base = rows.where("not spam and size(lines) > 0").agg(F.coalesce(F.avg(F.col("short").cast("double")), F.lit(0.0)).alias("p")).scalar()
+    wanted = clauses.where("short").select("key").distinct()
+    once = clauses.join(wanted, "key", "left_semi").groupBy("key", "ext").agg(F.max("short").alias("short"), F.max("furniture").alias("furniture"))
+    counts = once.groupBy("key").agg(F.sum(F.col("short").cast("double")).alias("k"), F.count("*").cast("double").alias("n"))
+    found = counts.where((F.col("k") >= MIN_NOTICES) & (F.col("k") >= ON_SHORT * F.col("n")))
+    found = found.where(_llr(F.col("k"), F.col("n"), F.greatest(base, F.lit(1e-6))) >= MIN_LLR)
+    return clauses.join(found.select("key"), "key", "left_semi").select("doc_id")
+
+
+def default_title_pages(rows: DataFrame) -> DataFrame:
+    """``doc_id`` of pages whose title comes back over several sites, on pages that tell nothing of it."""
+    # distinct (head, site) first: a default may be the title of very many pages
+    titles = rows.where("head <> 0").groupBy("head", "site").agg(F.max("apart").alias("apart"))
+    heads = titles.groupBy("head").agg(F.sum(F.col("apart").cast("int")).alias("on_apart"), F.count("*").alias("all"))
+    defaults = heads.where((F.col("on_apart") >= MIN_SITES) & (F.col("all") - F.col("on_apart") <= ELSEWHERE * F.col("on_apart"))).select("head")
+    return rows.where("apart").select("doc_id", "head").join(defaults, "head", "left_semi").select("doc_id")
 
 
 def residue_of(rows: DataFrame) -> DataFrame:
     """``doc_id`` (distinct) of pages with template residue, out of judgements.
 
-    Four ways lead in: the page alone shows an unfilled slot, or nothing but filler, a failure or a notice that
-    scripts are needed; it holds a line of a template whose slot is left unfilled in aligned records, in another
-    notation; it is short and holds a notice that comes back on short pages of the site only; or its title is one
-    that comes back over several sites on pages that tell nothing of it.
+    Aligned records lead in by three ways: a slot left open in a template (``slot_pages``), a notice that comes back in
+    place of content (``notice_pages``), a title that comes back over sites (``default_title_pages``). A page by itself
+    does if it shows a slot in the notation of a template language, nothing but filler, or the words of an error
+    standard or of a browser without scripts and little else.
     """
+    lines = rows.select("doc_id", "ext", "spam", "short", F.inline("lines")).drop("bins", "no")
     alone = rows.where("residue").select("doc_id")
-    lines = rows.where("size(templates) > 0").select("doc_id", "ext", F.explode(F.arrays_zip("templates", "held", "values")).alias("t"))
-    lines = lines.select("doc_id", "ext", F.col("t.templates").alias("template"), F.col("t.held").alias("held"), F.col("t.values").alias("value"))
-    unfilled = lines.where(F.col("held") == UNFILLED)
-    # only records of templates that some page left unfilled are counted
-    records = lines.join(unfilled.select("template").distinct(), "template", "left_semi").groupBy("template", "held", "ext").agg(F.min("value").alias("value"))
-    counts = records.groupBy("template").agg(F.max("held").alias("held"), F.count_distinct("ext").alias("pages"), F.count_distinct(F.when(F.col("held") == FILLED, F.col("value"))).alias("values"))
-    induced = counts.where((F.col("held") == KNOWN) & (F.col("pages") >= MIN_ALIGNED) | (F.col("values") >= MIN_ALIGNED))
-    aligned = unfilled.join(induced.select("template"), "template", "left_semi").select("doc_id")
-    # distinct (site, notice, page) first: a notice that a whole site shares is spread over its pages
-    notices = rows.where("site <> ''").select("doc_id", "site", "ext", "short", F.explode("notices").alias("notice"))
-    once = notices.groupBy("site", "notice", "ext").agg(F.max("short").alias("short"))
-    counts = once.groupBy("site", "notice").agg(F.sum(F.col("short").cast("int")).alias("on_short"), F.count("*").alias("all"))
-    errors = counts.where((F.col("on_short") >= MIN_NOTICES) & (F.col("all") - F.col("on_short") <= ELSEWHERE * F.col("on_short"))).select("site", "notice")
-    repeated = notices.where("short").join(errors, ["site", "notice"], "left_semi").select("doc_id")
-    # distinct (head, site) first: a default may be the title of very many pages
-    titles = rows.where("head is not null").groupBy("head", "site").agg(F.max("apart").alias("apart"))
-    heads = titles.where("site <> ''").groupBy("head").agg(F.sum(F.col("apart").cast("int")).alias("on_apart"), F.count("*").alias("all"))
-    defaults = heads.where((F.col("on_apart") >= MIN_SITES) & (F.col("all") - F.col("on_apart") <= ELSEWHERE * F.col("on_apart"))).select("head")
-    default = rows.where("apart").select("doc_id", "head").join(defaults, "head", "left_semi").select("doc_id")
-    return alone.unionByName(aligned).unionByName(repeated).unionByName(default).distinct()
+    return alone.unionByName(slot_pages(lines)).unionByName(notice_pages(rows, lines)).unionByName(default_title_pages(rows)).distinct()
 
 
 def residue_pages(pages: DataFrame) -> DataFrame:
@@ -78,16 +117,62 @@ def residue_pages(pages: DataFrame) -> DataFrame:
     return residue_of(judged(pages))
 
 
+def site_counts(lines: DataFrame, n: int) -> DataFrame:
+    """``site, form, salt, docs``: on how many different pages of the site the form stands, for each salt that occurs."""
+    once = lines.select("site", "form", "ext").distinct()
+    partial = once.groupBy("site", "form", salt(n, "ext").alias("salt")).agg(F.count("*").alias("c"))
+    return totals(partial, ["site", "form"], docs="c")
+
+
+def furniture_of(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """``doc_id, line_no`` of the furniture of the pages ``kept``, where ``rows`` are the judgements (with bins) of the whole table.
+
+    Each line's features are completed by the number of pages of its site with the same form, and the committee that
+    knows it decides. A form that a whole site shares is spread over salts told by the page.
+    """
+    n = salts(rows)
+    kind = dict(rows.dtypes)["doc_id"]
+    counts = site_counts(rows.select("site", "ext", F.inline("lines")), n)
+    lines = kept.select("doc_id", "site", "ext", F.inline("lines")).select("doc_id", "no", "site", "form", salt(n, "ext").alias("salt"), "bins")
+    models = rows.sparkSession.sparkContext.broadcast(blocks.classifiers()[1])  # of fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = models.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            packed = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
+            docs = blocks.docs_feature(batch.column(3).to_numpy())
+            found = model.furniture(np.column_stack([packed, model.bins(docs[:, None], packed.shape[1])]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["doc_id", "line_no"]).filter(pa.array(found))
+
+    told = lines.join(counts, ["site", "form", "salt"]).select("doc_id", "no", "bins", "docs")
+    return told.mapInArrow(run, f"doc_id {kind}, line_no int")
+
+
 def furniture_lines(pages: DataFrame) -> DataFrame:
     """``doc_id, line_no`` of the lines that are furniture, on pages that are neither spam nor residue."""
-    rows = judged(pages)
-    kept = rows.where("not spam and size(furniture) > 0").join(residue_of(rows), "doc_id", "left_anti")
-    return kept.select("doc_id", F.explode("furniture").alias("line_no"))
+    rows = judged(pages, bins=True)
+    return furniture_of(rows, rows.where("not spam").join(residue_of(rows), "doc_id", "left_anti"))
 
 
 def main_content(pages: DataFrame) -> DataFrame:
-    """``doc_id, content``: each page's own lines in their order; null content stays null. All pages are kept."""
-    from lexspark.llm.site_lines import strip_lines
+    """``doc_id, content``: each page's own lines in their order, told by the page alone; null content stays null.
 
-    found = judge_pages(pages, residue=False).select("doc_id", F.explode("furniture").alias("line_no"))
-    return strip_lines(pages, found)
+    The lines are cut within the pass that judges them, so no text is shuffled; one row per row of ``pages``.
+    """
+    kind = dict(pages.dtypes)["doc_id"]
+    models = pages.sparkSession.sparkContext.broadcast(blocks.classifiers()[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone = models.value
+        for batch in batches:
+            lines = PageLines(batch.column(1), batch.column(2), batch.column(3))
+            gone = alone.furniture(alone.bins(lines.features()))
+            out = batch.column(1).to_pylist()
+            for page in np.unique(lines.page[gone]).tolist():
+                cut = set(lines.line_no[lines.first[page] : lines.first[page] + lines.count[page]][gone[lines.first[page] : lines.first[page] + lines.count[page]]].tolist())
+                out[page] = "\n".join(x for i, x in enumerate(out[page].split("\n"), 1) if i not in cut)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "content"])
+
+    return pages.select("doc_id", "content", "title", "url").mapInArrow(run, f"doc_id {kind}, content string")

@@ -25,6 +25,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return pages.furniture_lines(_t(spark, d, "corpus"))
 
 
+def p2_main_content(spark: SparkSession, d: str) -> DataFrame:
+    """The cleaned body of every page: its size and a hash of it."""
+    rows = pages.main_content(_t(spark, d, "corpus"))
+    return rows.select("doc_id", F.length("content").alias("chars"), F.md5(F.col("content").cast("binary")).alias("md5"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.repeated_lines(_t(spark, d, "corpus"))
 
@@ -81,7 +87,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p2_found, p3_found, p3_excess, p4_found, p5_found, p5_graph_of_words, p6_found, p6_text_ngrams, p7_found, p8_ids, p9_found, p10_found)
+    f.__name__: f for f in (p1_found, p2_found, p2_main_content, p3_found, p3_excess, p4_found, p5_found, p5_graph_of_words, p6_found, p6_text_ngrams, p7_found, p8_ids, p9_found, p10_found)
 }
 
 _PAIRS = """pairs AS (SELECT lower(trim(term)) AS term, doc_id, max(tf) AS tf FROM postings

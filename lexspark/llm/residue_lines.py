@@ -1,85 +1,54 @@
-"""What a single line tells about templates left unfilled, filler and failures."""
+"""What a single line or title tells about templates left unfilled, filler and failures.
+
+Only what holds for any site stands here: the notations of template languages, the words servers and browsers use by
+their standards, and the general form of a slot in a notation not known. What a site's own templates and notices look
+like is learned from the table (``pages.residue_of``), not listed.
+"""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Set
+from collections.abc import Set
 
-#: A slot of a template, in the common notations.
+#: A slot of a template, in the notations of the common template languages.
 SLOT = re.compile(
     r"\{\{.*?\}\}|\{%.*?%\}|<%.*?%>|[#$%]\{[^{}]*\}|\{[A-Za-z_][\w.\- ]*\}|%\([\w.]+\)[sd]|%%[\w.\- ]+%%|%[A-Z][A-Z_.]+%"
     r"|__[A-Za-z][A-Za-z.]*(?:_[A-Za-z.]+)*__|\[\[[\w.\- ]+\]\]|<<[\w.\- ]+>>|@@[\w.\- ]+@@|\$[A-Za-z][\w.]*\$|<!--.*?-->|\[\s*(?:insert|your)\b[^\]]*\]|\[(?:title|name|date|company|headline|summary|page title|content|text|image|logo)\]",
     re.I,
 )
+#: Something that may be a slot in another notation: a word held by signs, a variable's name, a gap, or nothing between two marks.
+ODD = re.compile(
+    r"(?<![\w])[^\w\s,.;:!?'’\"“”()\-–—/&|·•»©*+]+(?:(?<=[{\[<%$@~^])|(?=\S))[\w. ]{1,30}(?:(?=[}\]>%$@~^])|(?<=\S))[^\w\s,.;:!?'’\"“”()\-–—/&|·•»©*+]+(?!\w)|(?<!\S)\$[A-Za-z]\w*|_{3,}|\.{4,}|(?<=,) ,|(?<=\w) (?=[,!?](?:\s|$))|\b[A-Z]{2,}_[A-Z_]+\b|\b[a-z]+(?:_[a-z]+)+\b|\bundefined\b|\bnull\b|\bNaN\b"
+    r"|\b[Yy]our (?:(?:[Ff]irst|[Ll]ast|[Ff]ull|[Cc]ompany) )?[Nn]ame\b"
+)
+#: Without this (in the dialect of Arrow) a line matches neither ``SLOT`` nor ``ODD``.
+SIGN = r"[^\p{L}\p{N}\s,.;:!?'’\"“”()\-–—/&|·•»©*+]|_|\.{4,}|\s[,!?](?:\s|$)|undefined|null|NaN|[Yy]our (?:\w+ )?[Nn]ame"
 QUOTED = re.compile(r"`[^`]*`|\"[^\"]*\"|“[^”]*”|„[^“”]*[“”]|(?<!\w)'[^']*'(?!\w)|«[^»]*»")
-QUOTES = tuple("`\"“„'«")
-CODE = re.compile(r"^\s*(?:render|print|echo|return|run|def|for|if|\$|>>>|let|var|const)\b|[;{]\s*$|^\s*[\w.]+\(.*\)\s*;?\s*$")
+QUOTES = "`\"“„'«"
+CODE = re.compile(r"^\s*(?:render|print|echo|return|run|def|for|if|\$\s|>>>|let|var|const)\b|[;{]\s*$|^\s*[\w.]+\(.*\)\s*;?\s*$")
 
-FILLER = re.compile(
-    r"^(?:your text goes here|sample text\b|placeholder text|this is a placeholder|dummy text|text coming soon|coming soon|content coming soon|heading one\b|todo\b|tbd\b|add your (?:text|content)|replace this (?:text|paragraph)"
-    r"|insert (?:text|content|headline)|write something here|under construction|(?:x{3,}\s*){2,}$|lorem ipsum\b|edit this (?:text|page)|click (?:here )?to edit|this page is (?:empty|blank)|no content yet|add a (?:short )?(?:description|title|text|headline|caption)\b|describe your\b|new page\b)",
-    re.I,
-)
+#: What stands for text to come in the layouts of many systems.
+FILLER = re.compile(r"\blorem ipsum\b|^(?:your text (?:goes )?here|placeholder text|this is a placeholder|dummy text|sample text|(?:text|content) coming soon|coming soon|under construction|todo\b|tbd\b)", re.I)
 SCRIPTS = re.compile(
-    r"\b(?:enable|activate|turn on|switch on|allow) (?:java ?scripts?|scripts|cookies and java ?script)\b|\bjava ?script (?:is|has been|must be) (?:disabled|required|turned off|needed|off|blocked|enabled)|\bscripts are (?:disabled|off|blocked|turned off|switched off)"
-    r"|\b(?:without|requires?|needs?|blocks?) (?:java ?script|scripts)\b|aktivieren sie (?:java ?script|skripte)|activez (?:java ?script|les scripts)|(?:active|habilite|activa) (?:java ?script|los scripts)|^checking your browser\b|browser is too old",
+    r"\b(?:enable|activate|turn on|switch on|allow) (?:java ?scripts?|scripts)\b|\bjava ?script (?:is|has been|must be) (?:disabled|required|turned off|needed|off|blocked|enabled)|\bscripts are (?:disabled|off|blocked|turned off|switched off)"
+    r"|\b(?:requires?|needs?|without|blocks?) (?:java ?script|scripts)\b|aktivieren sie (?:java ?script|skripte)|activez (?:java ?script|les scripts)|(?:active|habilite|activa) (?:java ?script|los scripts)",
     re.I,
 )
+#: Reason phrases of the HTTP standard, status lines, and the marks of error pages and dumps.
 FAILURE = re.compile(
-    r"^(?:\W*(?:http )?(?:status|error)? ?(?:code )?[45]\d\d\b.{0,100}$|(?:\w+ )?error\W*$|error(?: code)?\W? ?\d+|whoops|oops|sorry\b|page not found|not found\b|not available|internal server error|service unavailable|bad gateway|server error|access denied|forbidden\b"
-    r"|fatal error|warning: \w+\(|traceback\b|null reference|uncaught|exception\b|stack trace|seite nicht gefunden|página no encontrada|page introuvable|page non trouvée|request blocked\b|(?:die )?seite wurde nicht gefunden|(?:database )?connection (?:timed out|refused|failed|lost)|request timed out|maintenance mode|database error|cannot connect)"
-    r"|(?:something went wrong|could not (?:be found|be reached|be loaded|finish|connect)|cannot (?:find|be shown|be displayed|be reached)|does not exist or has (?:moved|been)|did not answer in time|(?:page|file|address|site) (?:was|is) not (?:found|available)|nothing was found here|down for (?:repairs|maintenance)"
-    r"|please (?:try again|come back) (?:later|soon)|do not have (?:leave|permission) to|met a problem|\(http \d{3}\)|http(?: status)? [45]\d\d|failed to load|est introuvable|n'existe (?:pas|plus)|session (?:has )?(?:run out|expired|timed out|ended)|existiert nicht|no existe\b|blocked by|exceeded the|too many requests)",
+    r"^\W*(?:(?:http |status |error |fehler |erreur )*(?:code )?[45]\d\d\b\W{1,3}.{0,100}$|(?:http |status )+[45]\d\d\b|error(?: code)?\W? ?\d+|(?:page|file) not found\b|not found\W*$|internal server error\b|service (?:temporarily )?unavailable\b|bad gateway\b|gateway time-?out|bad request\W*$|access denied\b|forbidden\W*$"
+    r"|too many requests\b|fatal(?: error)?: \w|warning: \w+\(|traceback \(|uncaught \w+|unhandled exception|null reference\b|segmentation fault|stack trace\b|(?:database )?connection (?:timed out|refused|failed|lost)\b|maintenance mode\W*$|request (?:timed out|blocked)\b|(?:die )?seite (?:wurde )?nicht gefunden|página no encontrada|page (?:non trouvée|introuvable))"
+    r"|\(http \d{3}\)\W*$",
     re.I,
 )
 TITLE_FAILURE = re.compile(
     r"^\W*(?:(?:http |server |internal server |application |database |fatal )?error(?: (?:code )?\W?\d{3}\W?| page)?|(?:page |file |seite )?(?:not|nicht) (?:found|available|gefunden)|[45]\d\d(?:\W.{0,40})?|server error \W?\d+\W?|(?:service |temporarily )?unavailable|access denied|forbidden|(?:new|untitled|blank|sample|test) (?:page|document)(?: \d+)?|untitled|no title|title|insert title|(?:(?:insert|add|enter|type|your|the|a|my|site|page|post|blog|document|article) )*(?:title|headline|heading|name) (?:goes )?here"
-    r"|página no encontrada|page introuvable|fehler|erreur|bad gateway|internal server error|(?:please )?enable javascript|just a moment\W*|checking your browser\W*|something went wrong|whoops|oops|under construction|coming soon|maintenance)\W*$",
+    r"|página no encontrada|page introuvable|fehler|erreur|bad gateway|internal server error|(?:please )?enable javascript|just a moment\W*|under construction|coming soon|maintenance)\W*$",
     re.I,
 )
-
-
-#: Something that may be a slot in a notation not known: a word held by signs, a variable's name, a gap, or nothing between two marks.
-ODD = re.compile(
-    r"(?<![\w])[^\w\s,.;:!?'’\"“”()\-–—/&]+(?:(?<=[{\[<%$@~^])|(?=\S))[\w. ]{1,30}(?:(?=[}\]>%$@~^])|(?<=\S))[^\w\s,.;:!?'’\"“”()\-–—/&]+(?!\w)|_{3,}|\.{4,}|(?<=,) ,|(?<=\w) (?=[,!?](?:\s|$))|\b[A-Z]{2,}_[A-Z_]+\b|\b[a-z]+(?:_[a-z]+)+\b|\bundefined\b|\bnull\b|\bNaN\b"
-    r"|\b[Yy]our (?:(?:[Ff]irst|[Ll]ast|[Ff]ull|[Cc]ompany) )?[Nn]ame\b"
-)
-#: Without any of these a line matches neither ``SLOT`` nor ``ODD``.
-SIGN = re.compile(r"[^\w\s,.;:!?'’\"“”()\-–—/&]")
-SIGNS = ("_", "....", " ,", " !", " ?", "undefined", "null", "NaN", "our name", "our Name", "t name", "t Name", "l name", "l Name", "y name", "y Name")
-#: What a filled slot holds as a rule: names and numbers within a line, or a name called at its start.
-VALUE = re.compile(r" (?:[A-ZÀ-ÖØ-Þ][\w'’]*|\d[\d.,]*\d|\d)(?!\w)(?: (?:[A-ZÀ-ÖØ-Þ][\w'’]*|\d[\d.,]*\d|\d)(?!\w))*")
-CALLED = re.compile(r"^[A-ZÀ-ÖØ-Þ]\w*(?=,)")
-FILLED, UNFILLED, KNOWN = range(3)
-#: So many words beside its slots make two lines records of one template, where no known notation tells so.
-MIN_FIXED = 3
-
-
-def skeleton(line: str) -> tuple[str, int] | None:
-    """The line with its slots masked, and what they hold: ``KNOWN`` a notation, ``UNFILLED`` something that may be
-    one, ``FILLED`` values only; None without any slot."""
-    text = " ".join(line.split())
-    own = bare(text)
-    if not own:
-        return None
-    known = odd = 0
-    masked = own
-    if has_sign(own):
-        masked, known = SLOT.subn("\x00", own)
-        masked, odd = ODD.subn(lambda m: " \x00" if m[0] == " " else "\x00", masked)
-    masked, values = VALUE.subn(" \x00", masked)
-    masked, called = CALLED.subn("\x00", masked)
-    if not (known or odd or values or called):
-        return None
-    masked = re.sub(r"[0-9]+", "0", re.sub(r"\x00(?: \x00)+", "\x00", masked).lower())
-    if not known and not odd and len(re.findall(r"[^\W\d_]+", masked)) < MIN_FIXED:
-        return None
-    return masked, KNOWN if known else UNFILLED if odd else FILLED
-
-
-def has_sign(line: str) -> bool:
-    """Whether a slot may stand in the line; no line with one is refused."""
-    return any(s in line for s in SIGNS) or SIGN.search(line) is not None
+#: What a slot of a line holds: nothing varies, values as a rule (names, numbers), something that may be a slot, a known notation.
+FIXED, FILLED, UNFILLED, KNOWN = range(4)
+MASK = "\x01"
 
 
 def bare(line: str) -> str:
@@ -89,20 +58,31 @@ def bare(line: str) -> str:
     return QUOTED.sub(" ", line) if any(q in line for q in QUOTES) else line
 
 
+def mask(line: str) -> tuple[str, int, str]:
+    """The line with its slots masked, ``KNOWN``, ``UNFILLED`` or ``FIXED``, and what the slots hold. Quoted slots are none."""
+    own = line if line.startswith(("<!--", "{%", "{{", "<%")) else bare(line)
+    held: list[str] = []
+
+    def put(m: re.Match) -> str:
+        held.append(m[0])
+        return " " + MASK if m[0] == " " else MASK
+
+    masked, known = SLOT.subn(put, own)
+    masked, odd = ODD.subn(put, masked)
+    if not held:
+        return line, FIXED, ""
+    return masked, KNOWN if known else UNFILLED, "\t".join(held)
+
+
 def kind(line: str) -> str | None:
     """``slot``, ``filler``, ``scripts``, ``failure`` or None, of one line."""
     text = " ".join(line.split())
     if not text:
         return None
     own = text if text.startswith(("<!--", "{%", "{{", "<%")) else bare(text)
-    if SLOT.search(own):
-        return "slot"
-    if FILLER.search(own):
-        return "filler"
-    if SCRIPTS.search(own):
-        return "scripts"
-    if FAILURE.search(own):
-        return "failure"
+    for name, pattern in (("slot", SLOT), ("filler", FILLER), ("scripts", SCRIPTS), ("failure", FAILURE)):
+        if pattern.search(own):
+            return name
     return None
 
 
@@ -117,20 +97,14 @@ def title_head(title: str | None, names: Set[str] = frozenset()) -> str:
     return (rest or parts or [""])[0]
 
 
-def title_kind(title: str | None, names: Set[str] = frozenset(), told: Iterable[str] = ()) -> str | None:
-    """The same of a title, which has to be one as a whole; the site's name does not count.
-
-    ``told`` are the terms of the page's sentences: a page that speaks of its title's words has a title.
-    """
+def title_kind(title: str | None, head: str) -> tuple[str | None, bool]:
+    """The same of a title, which has to be one as a whole; and whether it is doubtful, for a page may be about such words."""
     if not title or not title.strip():
-        return None
+        return None, False
     if SLOT.search(QUOTED.sub(" ", title)):
-        return "slot"
-    head = title_head(title, names)
+        return "slot", False
     if TITLE_FAILURE.match(head):
-        return "failure"
-    odd = ODD.search(head) is not None and not re.search(r"\w", ODD.sub(" ", head))
-    filler = FILLER.search(head) is not None
-    if (odd or filler) and not set(told).issuperset(re.findall(r"[^\W\d_]+", head.lower())):
-        return "slot" if odd else "filler"
-    return None
+        return "failure", False
+    if ODD.search(head) and not re.search(r"\w", ODD.sub(" ", head)):
+        return "slot", True
+    return ("filler", True) if FILLER.search(head) else (None, False)

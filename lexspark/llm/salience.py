@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexspark.functions.skew import salt
+from lexspark.llm.skew import salt, salts, totals
 from lexspark.llm.termstats import clean_postings
 
 
@@ -30,8 +30,7 @@ def distinctive_terms(postings: DataFrame, n: Column, k: int = 3) -> DataFrame:
     """
     rows = clean_postings(postings)
     part = rows.groupBy("term", "salt").agg(F.count("*").alias("c"), F.sum("tf").alias("cf"))
-    both = Window.partitionBy("term")
-    df = part.select("term", "salt", F.sum("c").over(both).alias("df"), F.sum("cf").over(both).alias("cf"))
+    df = totals(part, ["term"], df="c", cf="cf")
     idf = F.when(F.col("cf") > 0, F.log10(n / F.col("df")))  # a term without any known tf weighs nothing
     known = rows.where("tf is not null").join(df.select("term", "salt", idf.alias("idf")), ["term", "salt"])
     page = Window.partitionBy("doc_id")
@@ -64,10 +63,8 @@ def graph_of_words(docs: DataFrame, key: str, tokens: Column, n: Column, window:
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), F.explode(F.array(made)).alias("m"))
     pairs = rows.select("doc_id", F.col("m.terms").alias("terms"), F.explode("m.edges").alias("e"))
     degree = pairs.groupBy("doc_id", F.substring_index("e", "\t", 1).alias("term")).agg(F.count("*").alias("degree"), F.first("terms").alias("terms"))
-    spread = degree.withColumn("salt", salt("doc_id"))
-    df = spread.groupBy("term", "salt").agg(F.count("*").alias("c"), F.max("terms").alias("m"))
-    both = Window.partitionBy("term")
-    df = df.select("term", "salt", F.sum("c").over(both).alias("df"))
+    spread = degree.withColumn("salt", salt(salts(docs), "doc_id"))
+    df = totals(spread.groupBy("term", "salt").agg(F.count("*").alias("c")), ["term"], df="c")
     scored = spread.join(df, ["term", "salt"]).where(F.col("df") < n)
     nano = F.floor(F.col("degree") / F.col("terms") * F.log10(n / F.col("df")) * 1e9 + 0.5)
     return _top(scored.select("doc_id", "term", "degree", nano.alias("score")).where("score > 0"), k).withColumn("score", F.col("score") / 1e9)

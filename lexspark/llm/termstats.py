@@ -1,9 +1,10 @@
 """Problem 6: collection and record frequency of every term or n-gram, by suffix sorting.
 
-Every position of a record gives its suffix, cut to ``n`` terms. Suffixes are routed by their first term, so
-all n-grams that begin with it meet in one place; there they are sorted in reverse lexicographic order, and a
-stack of open prefixes counts the n-grams of all lengths in one pass. A hot first term is spread over salts
-told by the record: the record sets of two salts are disjoint, so partial counts add up.
+Every position of a record gives its suffix, cut to ``n`` terms; equal suffixes of one record are one row with a weight.
+Suffixes are routed by their first term, so all n-grams that begin with it meet in one place; there they are sorted in
+reverse lexicographic order, and a stack of open prefixes counts the n-grams of all lengths in one pass. Of the rows of a
+record that share a prefix one is marked, so record sets are counted by adding marks: the stack holds a few numbers for each
+length and no set. A hot first term is spread over salts told by the record; partial counts add up.
 """
 
 from __future__ import annotations
@@ -13,10 +14,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexspark.functions.skew import salt
+from lexspark.llm.skew import salt, salts
 
 RARE_DF = 2
 COMMON_SHARE = 0.3
@@ -31,23 +32,22 @@ def _differs(column: pa.Array) -> np.ndarray:
 
 
 def _stack(n: int):
-    """Counts every prefix of the sorted suffixes. Input: t1..tn, doc, weight; output: t1..tn, total, records."""
+    """Counts every prefix of the sorted suffixes. Input: t1..tn, weight, m1..mn (1 for the row that stands for its record
+    among those with this prefix); output: t1..tn, total, records."""
+
+    names = [f"t{k + 1}" for k in range(n)] + ["total", "records"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: list[tuple | None] = [None] * n  # of each depth: the prefix, its total, its records
 
-        def batch_of(rows: list[tuple[list, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-            for terms, total, records in rows:
-                yield pa.RecordBatch.from_arrays(
-                    [*terms, pa.array(total, pa.int64()), pa.array(records, pa.int64())],
-                    names=[f"t{k + 1}" for k in range(n)] + ["total", "records"],
-                )
+        def out(depth: int, heads: list[pa.Array], total: np.ndarray, records: np.ndarray) -> pa.RecordBatch:
+            rest = [pa.nulls(len(total), pa.string())] * (n - depth - 1)
+            return pa.RecordBatch.from_arrays([*heads, *rest, pa.array(total, pa.int64()), pa.array(records, pa.int64())], names=names)
 
         def flush(depth: int) -> Iterator[pa.RecordBatch]:
             if open_[depth] is not None:
-                prefix, total, docs = open_[depth]
-                terms = [pa.array([prefix[k] if k <= depth else None], pa.string()) for k in range(n)]
-                yield from batch_of([(terms, np.array([total]), np.array([len(docs)]))])
+                prefix, total, records = open_[depth]
+                yield out(depth, [pa.array([x], pa.string()) for x in prefix], np.array([total]), np.array([records]))
             open_[depth] = None
 
         for batch in batches:
@@ -55,45 +55,30 @@ def _stack(n: int):
             if not size:
                 continue
             cols = [batch.column(k) for k in range(n)]
-            docs = batch.column(n).to_numpy(zero_copy_only=False)
-            weight = pc.fill_null(batch.column(n + 1), 0).to_numpy(zero_copy_only=False)
+            weight = pc.fill_null(batch.column(n), 0).to_numpy(zero_copy_only=False)
             new = np.zeros(size, dtype=bool)
             for depth in range(n):
-                new = new.copy()
                 if size > 1:
                     new[1:] |= _differs(cols[depth])
                 starts = np.flatnonzero(np.concatenate([[True], new[1:]]))
-                ends = np.append(starts[1:], size)
-                run_of = np.repeat(np.arange(len(starts)), ends - starts)
                 total = np.add.reduceat(weight, starts)
-                order = np.lexsort((docs, run_of))
-                first = np.ones(size, dtype=bool)
-                first[1:] = (run_of[order][1:] != run_of[order][:-1]) | (docs[order][1:] != docs[order][:-1])
-                records = np.add.reduceat(first.astype(np.int64), starts)
+                records = np.add.reduceat(batch.column(n + 1 + depth).to_numpy(zero_copy_only=False).astype(np.int64), starts)
                 heads = [pc.take(cols[k], pa.array(starts)) for k in range(depth + 1)]
                 valid = pc.is_valid(heads[depth]).to_numpy(zero_copy_only=False)
-
-                def at(r: int, heads=heads) -> tuple:
-                    return tuple(h[r].as_py() for h in heads)
-
-                def docs_of(r: int, starts=starts, ends=ends) -> np.ndarray:
-                    return np.unique(docs[starts[r] : ends[r]])
-
-                lo, hi = 0, len(starts) - 1  # the run at hi stays open
+                last = len(starts) - 1  # its run stays open
+                first = 0
                 if open_[depth] is not None:
-                    if at(0) == open_[depth][0]:
+                    if tuple(h[0].as_py() for h in heads) == open_[depth][0]:
                         prefix, so_far, seen = open_[depth]
-                        open_[depth] = (prefix, so_far + int(total[0]), np.union1d(seen, docs_of(0)))
-                        lo = 1
-                    if hi >= lo:
+                        open_[depth] = (prefix, so_far + int(total[0]), seen + int(records[0]))
+                        first = 1
+                    if first <= last:
                         yield from flush(depth)
-                if hi >= lo:
-                    closed = np.arange(lo, hi)[valid[lo:hi]]
+                if first <= last:
+                    closed = np.arange(first, last)[valid[first:last]]
                     if len(closed):
-                        terms = [pc.take(h, pa.array(closed)) for h in heads]
-                        terms += [pa.nulls(len(closed), pa.string())] * (n - depth - 1)
-                        yield from batch_of([(terms, total[closed], records[closed])])
-                    open_[depth] = (at(hi), int(total[hi]), docs_of(hi)) if valid[hi] else None
+                        yield out(depth, [pc.take(h, pa.array(closed)) for h in heads], total[closed], records[closed])
+                    open_[depth] = (tuple(h[last].as_py() for h in heads), int(total[last]), int(records[last])) if valid[last] else None
         for depth in range(n):
             yield from flush(depth)
 
@@ -103,13 +88,11 @@ def _stack(n: int):
 def suffix_counts(suffixes: DataFrame, n: int) -> DataFrame:
     """``t1..tn, total, records`` of every n-gram of up to ``n`` terms.
 
-    ``suffixes`` has ``t1..tn`` (null beyond the end of the record), ``doc bigint`` and ``weight bigint``, and
-    is partitioned here by first term and salt; a caller that has partitioned it so already passes ``salt``.
+    ``suffixes`` has ``t1..tn`` (null beyond the end of the record), ``salt`` (told by the record), ``weight bigint`` and
+    the marks ``m1..mn int``; it is partitioned here by first term and salt unless it comes so.
     """
-    cols = [f"t{k + 1}" for k in range(n)]
-    if "salt" not in suffixes.columns:
-        suffixes = suffixes.withColumn("salt", salt("doc")).repartition("t1", "salt")
-    ordered = suffixes.sortWithinPartitions(*[F.col(c).desc_nulls_last() for c in cols], "doc").select(*cols, "doc", "weight")
+    cols, marks = [f"t{k + 1}" for k in range(n)], [f"m{k + 1}" for k in range(n)]
+    ordered = suffixes.sortWithinPartitions(*[F.col(c).desc_nulls_last() for c in cols]).select(*cols, "weight", *marks)
     schema = ", ".join(f"{c} string" for c in cols) + ", total bigint, records bigint"
     partial = ordered.mapInArrow(_stack(n), schema)
     return partial.groupBy(*cols).agg(F.sum("total").alias("total"), F.sum("records").alias("records"))
@@ -122,7 +105,7 @@ def clean_postings(postings: DataFrame) -> DataFrame:
     non-null ``tf`` holds (the highest, should they differ); a pair known only with null keeps a null ``tf``.
     """
     rows = postings.select(F.lower(F.trim("term")).alias("term"), F.col("doc_id"), F.col("tf").cast("bigint").alias("tf"))
-    rows = rows.where(F.col("term").isNotNull() & F.col("doc_id").isNotNull()).withColumn("salt", salt("doc_id"))
+    rows = rows.where(F.col("term").isNotNull() & F.col("doc_id").isNotNull()).withColumn("salt", salt(salts(postings), "doc_id"))
     return rows.repartition("term", "salt").groupBy("term", "salt", "doc_id").agg(F.max("tf").alias("tf"))
 
 
@@ -133,7 +116,8 @@ def page_count(doc_table: DataFrame) -> Column:
 
 def term_statistics(postings: DataFrame) -> DataFrame:
     """``term, total_tf, df`` over all segments."""
-    suffixes = clean_postings(postings).select(F.col("term").alias("t1"), F.col("doc_id").alias("doc"), F.col("tf").alias("weight"), "salt")
+    # a pair is one row, so every row stands for its page
+    suffixes = clean_postings(postings).select(F.col("term").alias("t1"), F.col("tf").alias("weight"), F.lit(1).alias("m1"))
     return suffix_counts(suffixes, 1).select(F.col("t1").alias("term"), F.col("total").alias("total_tf"), F.col("records").alias("df"))
 
 
@@ -144,11 +128,13 @@ def mark_terms(stats: DataFrame, n: Column, rare: int = RARE_DF, common: float =
 
 
 def text_ngrams(docs: DataFrame, key: str, tokens: Column, n: int = 3) -> DataFrame:
-    """``t1..tn, total, records`` of the n-grams of whole texts; a record without tokens gives none."""
-    rows = docs.select(F.col(key).cast("bigint").alias("doc"), tokens.alias("w")).where(F.size("w") > 0)
+    """``t1..tn, total, records`` of the n-grams of whole texts; a record without tokens gives none. Rows that share a key are one record."""
+    rows = docs.select(F.col(key).alias("doc"), tokens.alias("w")).where(F.size("w") > 0)
     rows = rows.select("doc", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("k"))
-    cols = [F.try_element_at("w", F.col("k") + k).alias(f"t{k + 1}") for k in range(n)]
-    suffixes = rows.select("doc", *cols)
-    # equal suffixes of one record are summed up before they travel
-    suffixes = suffixes.groupBy("doc", *[f"t{k + 1}" for k in range(n)]).agg(F.count("*").alias("weight"))
-    return suffix_counts(suffixes, n)
+    cols = [f"t{k + 1}" for k in range(n)]
+    # by record and first term: the sums and the marks of a record's prefixes need no further shuffle
+    suffixes = rows.select("doc", *[F.try_element_at("w", F.col("k") + k).alias(f"t{k + 1}") for k in range(n)]).repartition("doc", "t1")
+    suffixes = suffixes.groupBy("doc", *cols).agg(F.count("*").alias("weight"))
+    marks = [F.when(F.row_number().over(Window.partitionBy("doc", *cols[: k + 1]).orderBy(*cols[k + 1 :])) == 1, 1).otherwise(0) for k in range(n - 1)]
+    suffixes = suffixes.select(*cols, "weight", *[m.alias(f"m{k + 1}") for k, m in enumerate(marks)], F.lit(1).alias(f"m{n}"), salt(salts(docs), "doc").alias("salt"))
+    return suffix_counts(suffixes.repartition("t1", "salt"), n)

@@ -120,12 +120,14 @@ def test_ngrams(spark):
 def test_stack_over_batches():
     import pyarrow as pa
 
-    rows = sorted([(a, b, d) for a in "zyx" for b in "cba" for d in range(4)] * 2, key=lambda r: (-ord(r[0]), -ord(r[1]), r[2]))
+    # every suffix of a record is one row; the first of a record's rows with a prefix is marked
+    rows = sorted([(a, b, d) for a in "zyx" for b in "cba" for d in range(4)], key=lambda r: (-ord(r[0]), -ord(r[1]), r[2]))
+    marks = [int(b == "c") for _, b, _ in rows]
 
     def batches(k):
         for i in range(0, len(rows), k):
-            a, b, d = zip(*rows[i : i + k])
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d), pa.array([1] * len(d))], names=["t1", "t2", "doc", "weight"])
+            a, b, _ = zip(*rows[i : i + k])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array([2] * len(a)), pa.array(marks[i : i + k]), pa.array([1] * len(a))], names=["t1", "t2", "weight", "m1", "m2"])
 
     for k in (1, 3, 7, 100):
         out = Counter()
