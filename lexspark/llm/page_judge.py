@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.llm import blocks, residue_lines
-from lexspark.llm.page_lines import PageLines, Words, hashes, host_labels
+from lexspark.llm.page_lines import PageLines, Words, hashes, is_in
 from lexspark.llm.site_lines import site_of
 
 #: A term that comes back within so many places recurs.
@@ -169,9 +169,9 @@ class Forms:
         self.value = hashes(lines.text)
         if len(signed):
             self.value[signed] = np.where(np.array([bool(h) for h in held]), hashes(pa.array(held, pa.string())), self.value[signed])
-        fixed = np.asarray(pc.count_substring_regex(form, r"\p{L}+"))
+        fixed = np.asarray(pc.match_substring_regex(form, r"\p{L}+" + r"\P{L}+\p{L}+" * (MIN_FIXED - 1)))
         # of so few fixed words no template can be told, unless a notation shows it
-        self.held[(self.held <= residue_lines.UNFILLED) & (fixed < MIN_FIXED)] = residue_lines.FIXED
+        self.held[(self.held <= residue_lines.UNFILLED) & ~fixed] = residue_lines.FIXED
         self.key = self._keys(lines, form)
 
     @staticmethod
@@ -187,7 +187,7 @@ class Forms:
         longest = longest[np.searchsorted(of[longest], np.arange(lines.n))]
         best = flat.take(pa.array(longest))
         # without two words it is no clause: the line itself stands for it
-        whole = pa.array(np.asarray(pc.count_substring_regex(best, r"\p{L}+")) < 2)
+        whole = pc.invert(pc.match_substring_regex(best, r"\p{L}\P{L}+\p{L}"))
         key = hashes(pc.if_else(whole, pc.utf8_lower(lines.text), best))
         key[key == 0] = 1
         key[_flag_any(lines.text, residue_lines.QUOTES.replace("'", "")) | lines.has(r"^\s*(?:render|print|echo|return|run|def|for|if|let|var|const)\b|[;{]$")] = 0
@@ -202,34 +202,37 @@ def _flag_any(texts: pa.Array, signs: str) -> np.ndarray:
     return np.asarray(pc.match_substring_regex(texts, "[" + signs + "]")).astype(bool)
 
 
-def titles(lines: PageLines, titles_: list[str | None], urls: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def titles(lines: PageLines, titles_: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each page: whether its title shows residue; the hash of the title's head, 0 without one; whether the page tells nothing of it.
 
     The page tells of its title if more than half of the head's words of weight stand in a line or in the path.
     """
-    heads = [residue_lines.title_head(t, set(host_labels(u))) if t else "" for t, u in zip(titles_, urls)]
+    heads = [residue_lines.title_head(t, set(x)) if t else "" for t, x in zip(titles_, lines.labels)]
     kinds = [residue_lines.title_kind(t, h) for t, h in zip(titles_, heads)]
-    w, v = lines.words, len(lines.words.vocabulary)
+    w, v = lines.words, len(lines.words.vocabulary) + 1
     head = Words(pa.array(heads, pa.string()))
     path = Words(pc.replace_substring_regex(lines.urls, r"^[^/]*//[^/]*", ""))
+    width = len(path.vocabulary) + 1
     in_path = path.codes_of(head.vocabulary)[head.code] if len(head.code) else head.code
-    here = np.isin(head.of * (len(path.vocabulary) + 1) + in_path, path.of * (len(path.vocabulary) + 1) + path.code) & (in_path >= 0)
+    here = is_in(head.of * width + in_path, path.of * width + path.code) & (in_path >= 0)
     code = w.codes_of(head.vocabulary)[head.code] if len(head.code) else head.code
-    told = np.isin(head.of * (v + 1) + code, lines.page[w.of] * (v + 1) + w.code) & (code >= 0)
+    asked, of_word = head.of * v + code, lines.page[w.of] * v + w.code
+    met = is_in(of_word, asked[code >= 0])  # of all words the few that a title asks for
+    told = is_in(asked, of_word[met]) & (code >= 0)
     weight = ~head.function[head.code] if len(head.code) else np.zeros(0, dtype=bool)
     bare = np.bincount(head.of[weight], minlength=lines.pages) == 0  # function words only: all of them count
     weight |= bare[head.of]
     size = np.bincount(head.of[weight], minlength=lines.pages)
     apart = 2 * np.bincount(head.of[weight & (here | told)], minlength=lines.pages) <= size
-    said = lines.long[w.of]  # a page about such words has them in its sentences
-    spoken = np.isin(head.of * (v + 1) + code, lines.page[w.of[said]] * (v + 1) + w.code[said]) & (code >= 0)
+    said = met & lines.long[w.of]  # a page about such words has them in its sentences
+    spoken = is_in(asked, of_word[said]) & (code >= 0)
     whole = np.bincount(head.of[spoken], minlength=lines.pages) == np.bincount(head.of, minlength=lines.pages)
     shows = np.array([k is not None and not (doubtful and whole[i]) for i, (k, doubtful) in enumerate(kinds)], dtype=bool)
     return shows, np.where(size > 0, hashes(pc.utf8_lower(pa.array(heads, pa.string()))), 0), apart & (size > 0)
 
 
 class Judge:
-    """Reads one batch of pages after another."""
+    """Reads one run of pages after another."""
 
     def __init__(self, alone: blocks.Committee, whole: blocks.Committee | None = None):
         self.alone, self.whole = alone, whole
@@ -240,44 +243,70 @@ class Judge:
         spam, real, *_ = spam_words(lines, own)
         return _is_spam(spam, real)
 
-    def pages(self, contents: pa.Array, titles_: pa.Array, urls: pa.Array) -> dict[str, pa.Array]:
+    def pages(self, contents: pa.Array, titles_: pa.Array, urls: pa.Array, sites: np.ndarray) -> dict[str, pa.Array]:
         lines = PageLines(contents, titles_, urls)
         features = lines.features()
-        furniture = self.alone.furniture(self.alone.bins(features))
-        own = own_lines(lines, furniture)
+        own = own_lines(lines, self.alone.furniture(self.alone.bins(features)))
         spam, real, *_ = spam_words(lines, own)
         is_spam = _is_spam(spam, real)
         short = (real < REAL_WORDS) & ~is_spam
         forms = Forms(lines)
         per_page = lambda x: np.bincount(lines.page[x], minlength=lines.pages) > 0
-        shows, head, apart = titles(lines, lines.titles.to_pylist(), lines.urls.to_pylist())
+        shows, head, apart = titles(lines, lines.titles.to_pylist())
         blank = filler_words(lines, own)
         written = np.bincount(lines.page[own], weights=lines.n_words[own], minlength=lines.pages)
         filler = short & (blank >= 8) & (2 * blank > written)
         doubted = np.flatnonzero(short[lines.page] & (lines.links_at == 0))
         stated = np.zeros(lines.n, dtype=bool)
         stated[doubted] = [residue_lines.kind(x) is not None for x in lines.text.take(pa.array(doubted)).to_pylist()]
+
+        def listed(column: np.ndarray, keep: np.ndarray) -> pa.ListArray:
+            ends = np.cumsum(np.bincount(lines.page[keep], minlength=lines.pages))
+            return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(column[keep]))
+
+        varies = forms.held >= residue_lines.FILLED
         out = {
             "spam": pa.array(is_spam),
             "residue": pa.array(shows | per_page(forms.held == residue_lines.KNOWN) | filler | per_page(stated)),
             "short": pa.array(short),
             "head": pa.array(head),
             "apart": pa.array(apart),
+            "keys": listed(forms.key, lines.is_first & (forms.key != 0) & ~is_spam[lines.page]),
+            "forms": listed(forms.form, varies),
+            "held": listed(np.where(forms.held >= residue_lines.UNFILLED, 1, 0).astype(np.int8), varies),
+            "values": listed(forms.value, varies),
         }
-        bins = self.whole.bins(features) if self.whole is not None else np.zeros((lines.n, 0), dtype=np.uint8)
-        packed = pa.array([row.tobytes() for row in bins], pa.binary())
-        rows = pa.StructArray.from_arrays([pa.array(lines.line_no), pa.array(forms.form), pa.array(forms.key), pa.array(forms.held), pa.array(forms.value), pa.array(furniture), packed], LINE)
-        offsets = np.concatenate([[0], np.cumsum(lines.count)]).astype(np.int32)
-        out["lines"] = pa.ListArray.from_arrays(pa.array(offsets), rows)
+        if self.whole is not None:
+            everything = np.ones(lines.n, dtype=bool)
+            out["no"] = listed(lines.line_no, everything)
+            # one number for a form in a site
+            out["of_site"] = listed(forms.form ^ (sites[lines.page] * np.int64(-7046029254386353131)), everything)
+            width = self.whole_width
+            begins = np.concatenate([[0], np.cumsum(lines.count)]).astype(np.int32) * width
+            bins = self.whole.bins(features)
+            out["bins"] = pa.Array.from_buffers(pa.binary(), lines.pages, [None, pa.py_buffer(begins.astype(np.int32)), pa.py_buffer(bins.tobytes())])
+        else:
+            out |= {"no": pa.nulls(lines.pages, pa.list_(pa.int32())), "of_site": pa.nulls(lines.pages, pa.list_(pa.int64())), "bins": pa.nulls(lines.pages, pa.binary())}
         return out
 
+    @property
+    def whole_width(self) -> int:
+        return len(self.whole.edges) - 1
+
 
 def _is_spam(spam: np.ndarray, real: np.ndarray) -> np.ndarray:
     return (spam >= np.where(real > 0, MIN_SPAM_WORDS, MIN_BARE_SPAM)) & (spam > real)
 
 
-LINE = ["no", "form", "key", "held", "value", "furniture", "bins"]
-JUDGED = "spam boolean, residue boolean, short boolean, head bigint, apart boolean, lines array<struct<no: int, form: bigint, key: bigint, held: tinyint, value: bigint, furniture: boolean, bins: binary>>"
+#: Pages judged at once: few enough to stay small, enough to pay for what each run costs.
+RUN = 1500
+JUDGED = "spam boolean, residue boolean, short boolean, head bigint, apart boolean, keys array<bigint>, forms array<bigint>, held array<tinyint>, values array<bigint>, no array<int>, of_site array<bigint>, bins binary"
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, RUN):
+            yield batch.slice(at, RUN)
 
 
 def _source(pages: DataFrame) -> DataFrame:
@@ -289,8 +318,9 @@ def _source(pages: DataFrame) -> DataFrame:
 def judge_pages(pages: DataFrame, bins: bool = False) -> DataFrame:
     """``doc_id, ext, site`` and ``JUDGED``, one row per row of ``pages``: what the page alone tells. Null content is a page without lines.
 
-    With ``bins`` each line carries its features, one byte each. ``pages`` needs doc_id, external_id, url, title and
-    content; further columns are not read.
+    ``keys`` are the clauses of the page; ``forms, held, values`` its lines with something that varies, whether that is an
+    open slot, and what stands there. With ``bins`` each line has its number, its form within the site and its features,
+    one byte each. ``pages`` needs doc_id, external_id, url, title and content; further columns are not read.
     """
     kind = dict(pages.dtypes)["doc_id"]
     models = pages.sparkSession.sparkContext.broadcast(blocks.classifiers())  # of fixed size
@@ -298,8 +328,8 @@ def judge_pages(pages: DataFrame, bins: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alone, whole = models.value
         judge = Judge(alone, whole if bins else None)
-        for batch in batches:
-            got = judge.pages(batch.column(3), batch.column(4), batch.column(5))
+        for batch in _runs(batches):
+            got = judge.pages(batch.column(3), batch.column(4), batch.column(5), batch.column(2).to_numpy())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *got.values()], names=["doc_id", "ext", "site", *got])
 
     return _source(pages).mapInArrow(run, f"doc_id {kind}, ext bigint, site bigint, {JUDGED}")
@@ -312,7 +342,7 @@ def spam_flags(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(models.value)
-        for batch in batches:
+        for batch in _runs(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(judge.spam(batch.column(1), batch.column(2), batch.column(3)))], names=["doc_id", "spam"])
 
     return pages.select("doc_id", "content", "title", "url").mapInArrow(run, f"doc_id {kind}, spam boolean")

@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pandas.core import algorithms
 
 from lexspark.functions.text import STOPWORDS
 
@@ -53,6 +54,11 @@ def _one(x) -> pa.Array:
     return x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
 
 
+def is_in(x: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are among ``values``, by a hash table of these."""
+    return algorithms.isin(x, values) if len(x) else np.zeros(0, dtype=bool)
+
+
 class Words:
     """The words of a text array: ``of`` the text each belongs to, ``code`` of its lowercase form, flags per word."""
 
@@ -95,15 +101,17 @@ class PageLines:
         mask = _np(keep)
         self.text, self.page, self.line_no = text.filter(keep), page[mask], no[mask].astype(np.int32)
         self.titles, self.urls = pc.fill_null(_one(titles), ""), pc.fill_null(_one(urls), "")
+        self.labels = [host_labels(u) for u in self.urls.to_pylist()]
         n = self.n = len(self.page)
         self.first = np.searchsorted(self.page, np.arange(self.pages))  # of each page, its first line
         self.count = np.bincount(self.page, minlength=self.pages) if n else np.zeros(self.pages, dtype=np.int64)
         # lines that a page repeats word for word are told by the first of them
-        seen = pd.factorize(_np(pc.utf8_lower(self.text)).astype(object))[0].astype(np.int64) if n else np.array([], dtype=np.int64)
-        _, first, back, times = np.unique(self.page.astype(np.int64) * (seen.max(initial=0) + 1) + seen, return_index=True, return_inverse=True, return_counts=True)
-        self.is_first = np.zeros(n, dtype=bool)
-        self.is_first[first] = True
-        self.times = times[back] if n else np.array([], dtype=np.int64)
+        self.low = pc.utf8_lower(self.text)
+        seen = _np(self.low.dictionary_encode().indices).astype(np.int64) if n else np.array([], dtype=np.int64)
+        pairs = self.page.astype(np.int64) * (seen.max(initial=0) + 1) + seen
+        self.is_first = ~pd.Series(pairs).duplicated().to_numpy()
+        back = pd.factorize(pairs)[0]
+        self.times = np.bincount(back)[back] if n else np.array([], dtype=np.int64)
         self._lexical()
 
     def count_of(self, pattern: str) -> np.ndarray:
@@ -157,32 +165,39 @@ class PageLines:
         name = w.capital & (w.size[w.code] > 3) & ~w.function[w.code] if n else np.array([], dtype=bool)
         shared, named, title = np.zeros(n), np.zeros(n), np.zeros(n)
         if name.any():
-            pairs = np.unique(w.of[name] * v + w.code[name])  # a name counts once a line
+            pairs = pd.unique(w.of[name] * v + w.code[name])  # a name counts once a line
             of, code = pairs // v, pairs % v
-            keys, back, times = np.unique(self.page[of] * v + code, return_inverse=True, return_counts=True)
-            np.maximum.at(shared, of, times[back].astype(float))
+            back, keys = pd.factorize(self.page[of] * v + code)
+            times = np.bincount(back)[back]
+            # the lines' words stand in their order, so the names of a line stand together
+            starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            shared[of[starts]] = np.maximum.reduceat(times, starts)
         if n:
             path = pc.replace_substring_regex(self.urls, r"^[^/]*//[^/]*", "")
-            head = Words(pc.binary_join_element_wise(self.titles, path, " "))
-            codes = w.codes_of(head.vocabulary)[head.code]
-            known = codes >= 0
-            told = np.unique(head.of[known] * v + codes[known])
-            weight = (w.size[w.code] > 3) & ~w.function[w.code]
-            hit = np.isin(self.page[w.of] * v + w.code, told)
-            named = np.minimum(np.bincount(w.of[hit & weight], minlength=n), 1).astype(float)
-            only = Words(self.titles)
-            codes = w.codes_of(only.vocabulary)[only.code]
-            known = codes >= 0
-            told = np.unique(only.of[known] * v + codes[known])
-            hit = np.isin(self.page[w.of] * v + w.code, told)
+            only, head = Words(self.titles), Words(pc.binary_join_element_wise(self.titles, path, " "))
+            of_word = self.page[w.of] * v + w.code
+            heads = [(x, w.codes_of(x.vocabulary)[x.code]) for x in (head, only)]
+            told, of_title = (x.of[c >= 0] * v + c[c >= 0] for x, c in heads)
+            hit = np.flatnonzero(is_in(of_word, pd.unique(told)))  # few words: the title's are among them
+            kind = w.code[hit]
+            weight = (w.size[kind] > 3) & ~w.function[kind]
+            named[w.of[hit[weight]]] = 1
+            hit = hit[is_in(of_word[hit], pd.unique(of_title))]
             size = np.bincount(only.of, minlength=self.pages)[self.page]
             title = np.bincount(w.of[hit], minlength=n) / np.maximum(np.maximum(size, self.n_words), 1)
         return shared, named, title
 
     def _site_name(self) -> np.ndarray:
-        labels = [host_labels(u) for u in self.urls.to_pylist()]
-        squeezed = pc.replace_substring_regex(pc.utf8_lower(self.text), r"[^\p{L}\p{N}]+", "").to_pylist()
-        return np.fromiter((any(x in s for x in labels[p]) for s, p in zip(squeezed, self.page.tolist())), dtype=float, count=self.n)
+        squeezed = pc.replace_substring(self.low, " ", "").to_pylist()
+        out = np.zeros(self.n)
+        at = 0
+        for names, k in zip(self.labels, self.count.tolist()):
+            for name in names:
+                for i in range(at, at + k):
+                    if name in squeezed[i]:
+                        out[i] = 1
+            at += k
+        return out
 
     def features(self) -> np.ndarray:
         """One row per line, columns as in ``FEATURES``."""
@@ -219,11 +234,11 @@ class PageLines:
             text = pc.if_else(pa.array(shouts), pc.utf8_lower(text), text)
         text = pc.replace_substring_regex(text, URL + r"|\p{Lu}[\p{L}\p{N}'’]*|\p{N}+(?:[.,:]\p{N}+)*", "\x01")
         text = pc.replace_substring_regex(text, r"\x01(?:[\s\x01]*\x01)+", "\x01")
-        return pc.replace_substring_regex(pc.utf8_lower(text), r"\s+", " ")
+        return pc.replace_substring_regex(pc.utf8_lower(text), r"\s{2,}|[\t\r\f\v]", " ")
 
 
 def hashes(texts: pa.Array) -> np.ndarray:
     """64 bits of each text, the same in every process."""
     if not len(texts):
         return np.array([], dtype=np.int64)
-    return pd.util.hash_array(_np(texts).astype(object), categorize=True).view(np.int64)
+    return pd.util.hash_array(_np(texts).astype(object), categorize=False).view(np.int64)

@@ -11,13 +11,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.llm import blocks
-from lexspark.llm.page_judge import judge_pages, spam_flags
+from lexspark.llm.page_judge import _runs, judge_pages, spam_flags
 from lexspark.llm.page_lines import PageLines
-from lexspark.llm.residue_lines import FILLED, UNFILLED
 from lexspark.llm.skew import salt, salts, totals
 from lexspark.session import checkpoint_dir
 
@@ -43,9 +43,9 @@ def spam_pages(pages: DataFrame) -> DataFrame:
 
 
 def judged(pages: DataFrame, bins: bool = False) -> DataFrame:
-    """The judgements, checkpointed."""
+    """The judgements, checkpointed, each row with a number of its own (``row``)."""
     checkpoint_dir(pages.sparkSession)
-    return judge_pages(pages, bins).checkpoint()
+    return judge_pages(pages, bins).checkpoint().withColumn("row", F.monotonically_increasing_id())  # what is checkpointed keeps its order
 
 
 def _llr(k: Column, n: Column, p: Column) -> Column:
@@ -57,34 +57,34 @@ def _llr(k: Column, n: Column, p: Column) -> Column:
     return 2 * (term(k, n * p) + term(n - k, n * (1 - p)))
 
 
-def slot_pages(lines: DataFrame) -> DataFrame:
+def slot_pages(rows: DataFrame) -> DataFrame:
     """``doc_id`` of pages with a line whose aligned records (lines of one form) show it to be a template with an open slot.
 
     A form is such a template if its slot holds different values in different records - names and numbers where it was
     filled, variables, defaults or blanks where it was not; the records left unfilled come out.
     """
-    opened = lines.where(F.col("held") >= UNFILLED)
-    # only records of forms that some page left open are counted, each (form, value, page) once
-    records = lines.where(F.col("held") >= FILLED).join(opened.select("form").distinct(), "form", "left_semi").select("form", "value", "held", "ext").distinct()
-    values = records.groupBy("form", "value").agg(F.count("*").alias("k"))
-    slots = values.groupBy("form").agg(F.count("*").alias("values")).where(F.col("values") >= MIN_VALUES)
-    return opened.join(slots.select("form"), "form", "left_semi").select("doc_id")
+    lines = rows.where("size(forms) > 0").select("doc_id", F.explode(F.arrays_zip("forms", "held", "values")).alias("t")).select("doc_id", "t.forms", "t.held", "t.values")
+    opened = rows.where("exists(held, h -> h = 1)").select("doc_id", F.explode(F.arrays_zip("forms", "held")).alias("t")).where("t.held = 1").select("doc_id", "t.forms").distinct()
+    # only records of forms that some page left open are looked at; equal values of a form are put together before they travel
+    values = lines.join(opened.select("forms").distinct(), "forms", "left_semi").select("forms", "values").distinct()
+    slots = values.groupBy("forms").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_VALUES)
+    return opened.join(slots, "forms", "left_semi").select("doc_id")
 
 
-def notice_pages(rows: DataFrame, lines: DataFrame) -> DataFrame:
+def notice_pages(rows: DataFrame) -> DataFrame:
     """``doc_id`` of pages with a clause that comes back on pages that hold nothing else.
 
     Furniture comes back on all pages of a site, a text's sentences on none; what comes back on pages without a text,
     over sites or within one, stands in place of it: an error, a notice, words of a layout.
     """
-    clauses = lines.where("key <> 0 and not spam")
-    base = rows.where("not spam and size(lines) > 0").agg(F.coalesce(F.avg(F.col("short").cast("double")), F.lit(0.0)).alias("p")).scalar()
-    wanted = clauses.where("short").select("key").distinct()
-    once = clauses.join(wanted, "key", "left_semi").groupBy("key", "ext").agg(F.max("short").alias("short"), F.max("furniture").alias("furniture"))
+    base = rows.where("not spam and size(keys) > 0").agg(F.coalesce(F.avg(F.col("short").cast("double")), F.lit(0.0)).alias("p")).scalar()
+    wanted = rows.where("short").select(F.explode("keys").alias("key")).distinct()
+    clauses = rows.where("size(keys) > 0").select("doc_id", "ext", "short", F.explode("keys").alias("key")).join(wanted, "key", "left_semi")
+    once = clauses.groupBy("key", "ext").agg(F.max("short").alias("short"))
     counts = once.groupBy("key").agg(F.sum(F.col("short").cast("double")).alias("k"), F.count("*").cast("double").alias("n"))
     found = counts.where((F.col("k") >= MIN_NOTICES) & (F.col("k") >= ON_SHORT * F.col("n")))
-    found = found.where(_llr(F.col("k"), F.col("n"), F.greatest(base, F.lit(1e-6))) >= MIN_LLR)
-    return clauses.join(found.select("key"), "key", "left_semi").select("doc_id")
+    found = found.where(_llr(F.col("k"), F.col("n"), F.greatest(base, F.lit(1e-6))) >= MIN_LLR).select("key")
+    return clauses.join(found, "key", "left_semi").select("doc_id")
 
 
 def default_title_pages(rows: DataFrame) -> DataFrame:
@@ -104,9 +104,8 @@ def residue_of(rows: DataFrame) -> DataFrame:
     does if it shows a slot in the notation of a template language, nothing but filler, or the words of an error
     standard or of a browser without scripts and little else.
     """
-    lines = rows.select("doc_id", "ext", "spam", "short", F.inline("lines")).drop("bins", "no")
     alone = rows.where("residue").select("doc_id")
-    return alone.unionByName(slot_pages(lines)).unionByName(notice_pages(rows, lines)).unionByName(default_title_pages(rows)).distinct()
+    return alone.unionByName(slot_pages(rows)).unionByName(notice_pages(rows)).unionByName(default_title_pages(rows)).distinct()
 
 
 def residue_pages(pages: DataFrame) -> DataFrame:
@@ -118,22 +117,24 @@ def residue_pages(pages: DataFrame) -> DataFrame:
 
 
 def site_counts(lines: DataFrame, n: int) -> DataFrame:
-    """``site, form, salt, docs``: on how many different pages of the site the form stands, for each salt that occurs."""
-    once = lines.select("site", "form", "ext").distinct()
-    partial = once.groupBy("site", "form", salt(n, "ext").alias("salt")).agg(F.count("*").alias("c"))
-    return totals(partial, ["site", "form"], docs="c")
+    """``form, salt, docs`` of the forms (of a site) that stand on two pages or more, for each salt that occurs. ``lines`` is ``form, ext``."""
+    once = lines.select("form", "ext").distinct()
+    partial = once.groupBy("form", salt(n, "ext").alias("salt")).agg(F.count("*").alias("c"))
+    return totals(partial, ["form"], docs="c").where("docs > 1")
 
 
 def furniture_of(rows: DataFrame, kept: DataFrame) -> DataFrame:
     """``doc_id, line_no`` of the furniture of the pages ``kept``, where ``rows`` are the judgements (with bins) of the whole table.
 
     Each line's features are completed by the number of pages of its site with the same form, and the committee that
-    knows it decides. A form that a whole site shares is spread over salts told by the page.
+    knows it decides. A form that a whole site shares is spread over salts told by the page; what goes back to a page are
+    the numbers of its lines that are not the only ones of their form.
     """
     n = salts(rows)
     kind = dict(rows.dtypes)["doc_id"]
-    counts = site_counts(rows.select("site", "ext", F.inline("lines")), n)
-    lines = kept.select("doc_id", "site", "ext", F.inline("lines")).select("doc_id", "no", "site", "form", salt(n, "ext").alias("salt"), "bins")
+    counts = site_counts(rows.select("ext", F.explode("of_site").alias("form")), n)
+    lines = kept.select("row", "ext", F.posexplode("of_site").alias("at", "form")).select("row", "at", "form", salt(n, "ext").alias("salt"))
+    shared = lines.join(counts, ["form", "salt"]).groupBy("row").agg(F.collect_list(F.struct("at", F.col("docs").cast("int").alias("docs"))).alias("shared"))
     models = rows.sparkSession.sparkContext.broadcast(blocks.classifiers()[1])  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,12 +142,21 @@ def furniture_of(rows: DataFrame, kept: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            packed = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
-            docs = blocks.docs_feature(batch.column(3).to_numpy())
-            found = model.furniture(np.column_stack([packed, model.bins(docs[:, None], packed.shape[1])]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["doc_id", "line_no"]).filter(pa.array(found))
-
-    told = lines.join(counts, ["site", "form", "salt"]).select("doc_id", "no", "bins", "docs")
+            no, blobs, shared = batch.column(1), batch.column(2), batch.column(3)
+            counts = pc.fill_null(pc.list_value_length(no), 0).to_numpy()
+            begins = np.concatenate([[0], np.cumsum(counts)[:-1]])
+            size = int(counts.sum())
+            if not size:
+                continue
+            packed = np.frombuffer(b"".join(blobs.to_pylist()), dtype=np.uint8).reshape(size, -1)
+            docs = np.ones(size)
+            met = shared.flatten()
+            docs[begins[pc.list_parent_indices(shared).to_numpy()] + met.field("at").to_numpy()] = met.field("docs").to_numpy()
+            found = model.furniture(np.column_stack([packed, model.bins(blocks.docs_feature(docs)[:, None], packed.shape[1])]))
+            of = np.repeat(np.arange(batch.num_rows), counts)[found]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), no.flatten().filter(pa.array(found))], names=["doc_id", "line_no"])
+
+    told = kept.where("size(no) > 0").select("row", "doc_id", "no", "bins").join(shared, "row", "left").select("doc_id", "no", "bins", "shared")
     return told.mapInArrow(run, f"doc_id {kind}, line_no int")
 
 
@@ -166,7 +176,7 @@ def main_content(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alone = models.value
-        for batch in batches:
+        for batch in _runs(batches):
             lines = PageLines(batch.column(1), batch.column(2), batch.column(3))
             gone = alone.furniture(alone.bins(lines.features()))
             out = batch.column(1).to_pylist()
