@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from lexspark.llm import blocks
 from lexspark.llm.page_judge import _runs, judge_pages, spam_flags
 from lexspark.llm.page_lines import PageLines
-from lexspark.llm.skew import salt, salts, totals
+from lexspark.llm.skew import checked, salt, salts, totals
 from lexspark.session import checkpoint_dir
 
 #: A notice has to come back on so many pages that hold little else, and on them more than elsewhere by this share of its pages
@@ -63,10 +63,10 @@ def slot_pages(rows: DataFrame) -> DataFrame:
     A form is such a template if its slot holds different values in different records - names and numbers where it was
     filled, variables, defaults or blanks where it was not; the records left unfilled come out.
     """
-    lines = rows.where("size(forms) > 0").select("doc_id", F.explode(F.arrays_zip("forms", "held", "values")).alias("t")).select("doc_id", "t.forms", "t.held", "t.values")
     opened = rows.where("exists(held, h -> h = 1)").select("doc_id", F.explode(F.arrays_zip("forms", "held")).alias("t")).where("t.held = 1").select("doc_id", "t.forms").distinct()
     # only records of forms that some page left open are looked at; equal values of a form are put together before they travel
-    values = lines.join(opened.select("forms").distinct(), "forms", "left_semi").select("forms", "values").distinct()
+    lines = rows.where("size(forms) > 0").select(F.explode(F.arrays_zip("forms", "values")).alias("t")).select("t.forms", "t.values")
+    values = lines.join(checked(opened.select("forms").distinct()), "forms", "left_semi").distinct()
     slots = values.groupBy("forms").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_VALUES)
     return opened.join(slots, "forms", "left_semi").select("doc_id")
 
@@ -78,13 +78,13 @@ def notice_pages(rows: DataFrame) -> DataFrame:
     over sites or within one, stands in place of it: an error, a notice, words of a layout.
     """
     base = rows.where("not spam and size(keys) > 0").agg(F.coalesce(F.avg(F.col("short").cast("double")), F.lit(0.0)).alias("p")).scalar()
-    wanted = rows.where("short").select(F.explode("keys").alias("key")).distinct()
-    clauses = rows.where("size(keys) > 0").select("doc_id", "ext", "short", F.explode("keys").alias("key")).join(wanted, "key", "left_semi")
-    once = clauses.groupBy("key", "ext").agg(F.max("short").alias("short"))
+    wanted = checked(rows.where("short").select(F.explode("keys").alias("key")).distinct())
+    clauses = rows.where("size(keys) > 0").select("doc_id", "ext", "short", F.explode("keys").alias("key"))
+    once = clauses.join(wanted, "key", "left_semi").groupBy("key", "ext").agg(F.max("short").alias("short"))
     counts = once.groupBy("key").agg(F.sum(F.col("short").cast("double")).alias("k"), F.count("*").cast("double").alias("n"))
     found = counts.where((F.col("k") >= MIN_NOTICES) & (F.col("k") >= ON_SHORT * F.col("n")))
     found = found.where(_llr(F.col("k"), F.col("n"), F.greatest(base, F.lit(1e-6))) >= MIN_LLR).select("key")
-    return clauses.join(found, "key", "left_semi").select("doc_id")
+    return clauses.join(checked(found), "key", "left_semi").select("doc_id")
 
 
 def default_title_pages(rows: DataFrame) -> DataFrame:
@@ -163,7 +163,7 @@ def furniture_of(rows: DataFrame, kept: DataFrame) -> DataFrame:
 def furniture_lines(pages: DataFrame) -> DataFrame:
     """``doc_id, line_no`` of the lines that are furniture, on pages that are neither spam nor residue."""
     rows = judged(pages, bins=True)
-    return furniture_of(rows, rows.where("not spam").join(residue_of(rows), "doc_id", "left_anti"))
+    return furniture_of(rows, rows.where("not spam").join(checked(residue_of(rows)), "doc_id", "left_anti"))
 
 
 def main_content(pages: DataFrame) -> DataFrame:

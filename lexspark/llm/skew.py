@@ -1,4 +1,4 @@
-"""Salting: spread the rows of one hot key over many tasks."""
+"""Salting, which spreads the rows of one hot key over many tasks, and broadcasts behind a check of size."""
 
 from __future__ import annotations
 
@@ -31,3 +31,13 @@ def totals(partial: DataFrame, keys: list[str], **sums: str) -> DataFrame:
     """
     over = Window.partitionBy(*keys)
     return partial.select(*keys, "salt", *[F.sum(c).over(over).alias(name) for name, c in sums.items()])
+
+
+#: Rows of a few numbers each that may be broadcast: some ten megabytes.
+MAX_BROADCAST = 500_000
+
+
+def checked(df: DataFrame, limit: int = MAX_BROADCAST) -> DataFrame:
+    """``df``, of a few narrow columns, worked out and checkpointed: to be broadcast if it has ``limit`` rows at most, else joined by shuffle."""
+    made = df.checkpoint()
+    return F.broadcast(made) if made.count() <= limit else made
