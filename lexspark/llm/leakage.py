@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 MIN_WORDS = 12
 #: Item words sent along with the function at once; larger test sets are searched in blocks of this size.
 MAX_ITEM_WORDS = 2_000_000
+#: Pairs of equal suffixes laid out at once.
+MAX_HITS = 2_000_000
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -33,19 +35,31 @@ def _keys(codes: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     return np.ascontiguousarray(grid).view(f"S{4 * n}").ravel()
 
 
+def item_texts(items: DataFrame, max_words: int = MAX_ITEM_WORDS) -> Iterator[list[tuple[int, str]]]:
+    """``item_id, text`` of all items, in blocks of about ``max_words`` words, told by a hash; the driver holds one block at a time."""
+    rows = items.select("item_id", "text").where("item_id is not null and text is not null")
+    size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    count = 1 + int(size) // (5 * max_words)  # a word and what parts it from the next take five letters or more
+    block = F.pmod(F.xxhash64("item_id"), F.lit(count))  # rows of one id stay together
+    for b in range(count):
+        yield [(r["item_id"], r["text"]) for r in rows.where(block == b).collect()]
+
+
 class ItemIndex:
-    """All suffixes of the items that reach over ``n`` words."""
+    """All suffixes of the items that reach over ``n`` words. Items given twice are searched twice."""
 
     def __init__(self, items: list[tuple[int, list[str]]], n: int):
         self.n, self.vocabulary = n, {}
         codes: list[int] = []
         owner: list[int] = []
+        begin: list[int] = []
         for item, words in items:
             if len(words) < n:
                 continue
+            begin += [len(codes)] * (len(words) + 1)
             codes += [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words] + [0]
             owner += [item] * (len(words) + 1)
-        self.codes, self.owner = np.array(codes, dtype=np.int64), np.array(owner, dtype=np.int64)
+        self.codes, self.owner, self.begin = (np.array(x, dtype=np.int64) for x in (codes, owner, begin))
         self.starts = _whole(self.codes, n)
         self.keys = _keys(self.codes, self.starts, n) if len(self.starts) else np.array([], dtype="S4")
 
@@ -76,28 +90,53 @@ def search_shard(index: ItemIndex, texts: list[str | None]) -> Iterator[tuple[in
     keys = _keys(codes, starts, n)
     order = np.argsort(keys, kind="stable")
     array, suffixes = keys[order], starts[order]  # the shard's suffix array
-    lo, hi = np.searchsorted(array, index.keys, "left"), np.searchsorted(array, index.keys, "right")
-    hits = hi - lo
-    if not hits.sum():
+    # equal suffixes of items are looked up once
+    different, back = np.unique(index.keys, return_inverse=True)
+    lo, hi = np.searchsorted(array, different, "left"), np.searchsorted(array, different, "right")
+    items = np.argsort(back, kind="stable")
+    items_lo = np.searchsorted(back[items], np.arange(len(different)))
+    items_n = np.bincount(back, minlength=len(different))
+    # hits are laid out for some texts at a time: of each text's suffixes it is known how many item suffixes they meet
+    met = np.flatnonzero(hi > lo)
+    if not len(met):
         return
-    at_item = np.repeat(index.starts, hits)
-    at_text = suffixes[np.repeat(lo, hits) + np.arange(hits.sum()) - np.repeat(np.cumsum(hits) - hits, hits)]
+    of_key = np.repeat(met, (hi - lo)[met])
+    at_text = suffixes[np.repeat(lo[met], (hi - lo)[met]) + _steps((hi - lo)[met])]
+    text = np.searchsorted(begins, at_text, "right") - 1
+    order = np.argsort(text, kind="stable")
+    of_key, at_text, text = of_key[order], at_text[order], text[order]
+    size = np.bincount(text, weights=items_n[of_key], minlength=len(texts))
+    part = (np.cumsum(size) / MAX_HITS).astype(np.int64)[text]
+    for p in np.unique(part):
+        here = part == p
+        k = items_n[of_key[here]]
+        pair_text = np.repeat(at_text[here], k)
+        pair_item = index.starts[items[np.repeat(items_lo[of_key[here]], k) + _steps(k)]]
+        yield from _longest(index, begins, pair_item, pair_text)
+
+
+def _steps(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... up to each count, one after another."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _longest(index: ItemIndex, begins: np.ndarray, at_item: np.ndarray, at_text: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
     # one diagonal, one step after another: the same verbatim match
     order = np.lexsort((at_text, at_text - at_item))
     at_item, at_text = at_item[order], at_text[order]
     new = np.ones(len(order), dtype=bool)
     new[1:] = (np.diff(at_text) != 1) | (np.diff(at_item) != 1)
     first = np.flatnonzero(new)
-    length = np.diff(np.append(first, len(order))) + n - 1
+    length = np.diff(np.append(first, len(order))) + index.n - 1
     text = np.searchsorted(begins, at_text[first], "right") - 1
     item = index.owner[at_item[first]]
-    item_begin = np.searchsorted(index.owner, item, "left") if np.all(np.diff(index.owner) >= 0) else np.array([np.flatnonzero(index.owner == x)[0] for x in item])
-    best = np.lexsort((at_text[first], -length, item, text))
+    item_at, text_at = at_item[first] - index.begin[at_item[first]], at_text[first] - begins[text]
+    best = np.lexsort((item_at, text_at, -length, item, text))
     text_b, item_b = text[best], item[best]
     keep = np.ones(len(best), dtype=bool)
     keep[1:] = (text_b[1:] != text_b[:-1]) | (item_b[1:] != item_b[:-1])
     for i in best[keep]:
-        yield int(text[i]), int(item[i]), int(length[i]), int(at_text[first][i] - begins[text[i]]), int(at_item[first][i] - item_begin[i])
+        yield int(text[i]), int(item[i]), int(length[i]), int(text_at[i]), int(item_at[i])
 
 
 def leaked_passages(docs: DataFrame, items: DataFrame, n: int = MIN_WORDS, key: str = "doc_id", text: str = "text", max_item_words: int = MAX_ITEM_WORDS) -> DataFrame:
@@ -105,23 +144,15 @@ def leaked_passages(docs: DataFrame, items: DataFrame, n: int = MIN_WORDS, key:
 
     ``words`` is the longest match of the pair, ``doc_at`` and ``item_at`` its first word, from 0. A row of
     ``docs`` gives at most one row per item; null and short texts on either side give none. The items are held
-    out, few by nature; they are read in blocks of ``max_item_words`` words, so what is sent along stays bounded,
-    and each block costs one more pass over ``docs``. The texts are not shuffled.
+    out, few by nature; they are indexed in blocks of about ``max_item_words`` words, each index is broadcast, so
+    what is sent along stays bounded, and each block costs one more pass over ``docs``. The texts are not shuffled.
     """
     kind = dict(docs.dtypes)[key]
-    blocks: list[list[tuple[int, list[str]]]] = [[]]
-    room = max_item_words
-    for row in items.select("item_id", "text").where("item_id is not null and text is not null").toLocalIterator():
-        words = words_of(row["text"])
-        if len(words) > room and blocks[-1]:
-            blocks.append([])
-            room = max_item_words
-        blocks[-1].append((row["item_id"], words))
-        room -= len(words)
-
-    def searched(block: list[tuple[int, list[str]]]) -> DataFrame:
+    context = docs.sparkSession.sparkContext
+
+    def searched(shared) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(block, n)
+            index = shared.value
             for batch in batches:
                 found = list(search_shard(index, batch.column(1).to_pylist()))
                 if found:
@@ -131,9 +162,10 @@ def leaked_passages(docs: DataFrame, items: DataFrame, n: int = MIN_WORDS, key:
 
         return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, item_id bigint, words int, doc_at int, item_at int")
 
-    out = searched(blocks[0])
-    for block in blocks[1:]:
-        out = out.unionByName(searched(block))
+    out = None
+    for block in item_texts(items, max_item_words):
+        found = searched(context.broadcast(ItemIndex([(i, words_of(t)) for i, t in block], n)))
+        out = found if out is None else out.unionByName(found)
     return out
 
 

@@ -38,7 +38,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p3_excess(spark: SparkSession, d: str) -> DataFrame:
     """How far each repeated line goes beyond what other sites lead one to expect."""
     rows = site_lines.excess_lines(_t(spark, d, "corpus")).where("repeated")
-    return rows.select("s", "l1", "l2", "docs", "outside", F.round("llr", 6).alias("llr"), "significant")
+    return rows.select("docs", "outside", F.round("llr", 6).alias("llr"), "significant")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -83,7 +83,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     docs = _t(spark, d, "documents")
-    return readability.reading_levels(docs, readability.train(docs, _t(spark, d, "reading_labels"), _t(spark, d, "eval_items")))
+    return readability.reading_levels(docs, readability.train(docs, _t(spark, d, "reading_labels")), _t(spark, d, "eval_items"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -120,6 +120,22 @@ SELECT t1, t2, t3, count(*) AS total, count(DISTINCT doc_id) AS records FROM g G
     trim(regexp_replace(regexp_replace(lower(line), '[\\s\\x0B\\x1C-\\x1F\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g'), '[0-9]+', '0', 'g')) AS norm FROM l),
   c AS (SELECT site, norm FROM k WHERE norm <> '' GROUP BY 1, 2 HAVING count(DISTINCT external_id) >= 5)
 SELECT doc_id, line_no FROM k JOIN c USING (site, norm)""",
+    "p3_excess": """WITH p AS (SELECT coalesce(external_id, 'doc:' || doc_id) AS e, nullif(regexp_replace(regexp_extract(lower(trim(url)),
+    '^(?:[a-z][a-z0-9+.\\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)', 1), '^www\\.', ''), '') AS site, content FROM corpus WHERE url IS NOT NULL),
+  sizes AS (SELECT site, count(DISTINCT e) AS n FROM p WHERE site IS NOT NULL GROUP BY 1), t AS (SELECT sum(n) AS total FROM sizes),
+  l AS (SELECT e, site, unnest(string_split(content, chr(10))) AS line FROM p WHERE site IS NOT NULL AND content IS NOT NULL),
+  k AS (SELECT e, site, trim(regexp_replace(regexp_replace(lower(line), '[\\s\\x0B\\x1C-\\x1F\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g'), '[0-9]+', '0', 'g')) AS norm FROM l),
+  c AS (SELECT site, norm, count(DISTINCT e) AS docs FROM k WHERE norm <> '' GROUP BY 1, 2),
+  b AS (SELECT site, CAST(docs AS DOUBLE) AS a, CAST(sum(docs) OVER (PARTITION BY norm) AS DOUBLE) - docs AS b, CAST(n AS DOUBLE) AS n1, CAST(total AS DOUBLE) - n AS n2 FROM c JOIN sizes USING (site), t),
+  r AS (SELECT *, (a + b) / (n1 + n2) AS r FROM b),
+  g AS (SELECT *, greatest(0e0, 2 * (a * ln(a / (n1 * r)) + CASE WHEN n1 - a > 0 AND 1 - r > 0 THEN (n1 - a) * ln((n1 - a) / (n1 * (1 - r))) ELSE 0 END
+    + CASE WHEN b > 0 AND n2 * r > 0 THEN b * ln(b / (n2 * r)) ELSE 0 END + CASE WHEN n2 - b > 0 AND 1 - r > 0 THEN (n2 - b) * ln((n2 - b) / (n2 * (1 - r))) ELSE 0 END)) AS g2 FROM r),
+  x AS (SELECT *, CASE WHEN a * greatest(n2, 1e0) > b * n1 THEN g2 ELSE -g2 END AS llr FROM g),
+  y AS (SELECT *, sqrt(greatest(llr, 0e0) / 2) AS z FROM x),
+  v AS (SELECT *, CASE WHEN llr > 0 AND a > 1 THEN CAST(greatest(0, least(3000, floor((z * z + ln(greatest(z, 0.3e0) * 3.5449077018110318e0)) / 2.302585092994046e0 * 50))) AS INTEGER) ELSE 0 END AS bin FROM y),
+  h AS (SELECT bin, count(*) AS k FROM v GROUP BY 1), u AS (SELECT bin, sum(k) OVER (ORDER BY bin DESC) AS rank, sum(k) OVER () AS m FROM h),
+  cut AS (SELECT coalesce(min(bin), 1000000) AS cut FROM u WHERE pow(10e0, -bin / 50e0) <= 0.05e0 * rank / m)
+SELECT CAST(a AS BIGINT) AS docs, CAST(b AS BIGINT) AS outside, round(llr, 6) AS llr, llr > 0 AND a > 1 AND bin >= cut AS significant FROM v, cut WHERE a >= 5""",
     "p4_found": """WITH r AS (SELECT lower(trim(query)) AS query, doc_id, max(score) AS score FROM search_results
     WHERE query IS NOT NULL AND trim(query) <> '' AND doc_id IS NOT NULL AND score IS NOT NULL AND isfinite(score) GROUP BY 1, 2)
 SELECT query, doc_id FROM r QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) <= 10""",

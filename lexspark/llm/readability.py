@@ -1,13 +1,14 @@
 """Problem 10: the reading level of English documents, by surprisal under graded n-gram models.
 
-One interpolated trigram model is trained for each level on a bounded sample of labelled documents. The
-surprisal of every sentence under the three models tells how likely it is of each level, hence where it stands
-between the lowest (0) and the highest (2). The distribution of these values over a whole document is mapped
-to graded difficulty by isotonic regression on the labels, and the level that most of its words have is given.
+One interpolated trigram model is trained for each level on a bounded sample of labelled documents; its weights are
+estimated on documents held out. The surprisal of every sentence under the three models tells how likely it is of each
+level, hence where it stands between the lowest (0) and the highest (2). The distribution of these values over a whole
+document - the values at its quantiles, by words - is mapped to graded difficulty by isotonic regression, fitted on
+labelled documents that were held out of the models (cross-fitting).
 
 What is trained: the models (at most ``max_labelled`` labelled documents, chosen by a hash of their id), and
 the English vocabulary (at most ``max_language`` documents, chosen so, told apart by their ``lang``). Their
-size is bounded by these parameters and they are sent along with the function; all documents are scored.
+size is bounded by these parameters; they are broadcast, and all documents are scored. Evaluation items are read in blocks.
 """
 
 from __future__ import annotations
@@ -15,19 +16,25 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexspark.llm.leakage import item_texts
+
 LEVELS = ("basic", "middle", "advanced")
 MIN_WORDS = 40
 MAX_LABELLED, MAX_LANGUAGE = 2000, 1500
-MAX_VOCABULARY = 30_000
-#: Interpolation of trigram, bigram, unigram and uniform estimates.
+#: Interpolation of trigram, bigram, unigram and uniform estimates before it is estimated, and rounds of its estimation.
 WEIGHTS = (0.45, 0.3, 0.2, 0.05)
+ROUNDS = 8
+#: Parts of the labelled sample that are held out in turn.
+FOLDS = 4
+#: Quantiles of a document's distribution that are read; their mean is mapped to a level. The middle one is the level of most of the text.
+QUANTILES = (0.5,)
 #: So many words in a row out of an evaluation item are a passage of it.
 PASSAGE_WORDS = 8
 #: Share of a document's words that must be English.
@@ -62,25 +69,56 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array(knots), np.array([b[0] for b in blocks for _ in range(2)])
 
 
+class Passages:
+    """The runs of PASSAGE_WORDS words of a block of evaluation items, as hashes over a numbering of its words."""
+
+    def __init__(self, items: list[list[str]]):
+        self.code: dict[str, int] = {}
+        rolled = [_roll(np.array([self.code.setdefault(w, len(self.code) + 1) for w in words], dtype=np.uint64)) for words in items]
+        self.known = np.unique(np.concatenate(rolled)) if rolled else np.array([], dtype=np.uint64)
+
+    def covered(self, words: list[str], text: np.ndarray) -> np.ndarray:
+        """Which of the words lie within such a run, of one text."""
+        n = len(words)
+        if not len(self.known) or n < PASSAGE_WORDS:
+            return np.zeros(n, dtype=bool)
+        get = self.code.get
+        rolled = _roll(np.array([get(w, 0) for w in words], dtype=np.uint64))
+        hit = np.searchsorted(self.known, rolled)
+        hit[hit == len(self.known)] = 0
+        hits = np.flatnonzero((self.known[hit] == rolled) & (text[: len(rolled)] == text[PASSAGE_WORDS - 1 :]))
+        change = np.zeros(n + 1)
+        np.add.at(change, hits, 1)
+        np.add.at(change, hits + PASSAGE_WORDS, -1)
+        return np.cumsum(change)[:n] > 0
+
+
+def _roll(codes: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every run of PASSAGE_WORDS codes."""
+    n = len(codes) - PASSAGE_WORDS + 1
+    if n <= 0:
+        return np.array([], dtype=np.uint64)
+    out = np.zeros(n, dtype=np.uint64)
+    for k in range(PASSAGE_WORDS):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + n] + np.uint64(1)
+        out ^= out >> np.uint64(29)
+    return out
+
+
 class Model:
-    """Graded n-gram models, English vocabulary and evaluation passages, over one numbering of words.
+    """Graded n-gram models and the English vocabulary, over one numbering of words.
 
-    Codes: -1 a sentence break, 0 an unknown word, 1..V a word of the models, beyond V a word of items only.
+    Codes: -1 a sentence break, 0 an unknown word, 1..V a word of the models.
     """
 
-    def __init__(self, labelled: list[tuple[str, int]], language: list[tuple[str, bool]], items: list[str]):
+    def __init__(self, labelled: list[tuple[str, int]], language: list[tuple[str, bool]]):
         seen: Counter = Counter()
         for text, _ in labelled:
             seen.update(set(WORD.findall(plain(text))))
         words = [w for w, k in sorted(seen.items(), key=lambda x: (-x[1], x[0])) if k >= 2 and not w.isdigit()]
-        self.code = {w: i + 1 for i, w in enumerate(words[:MAX_VOCABULARY])}
+        self.code = {w: i + 1 for i, w in enumerate(words)}
         self.size = len(self.code) + 1
         self.english = self._english(language, words)
-        rolled = []
-        for text in items:
-            codes = np.array([self.code.setdefault(w, len(self.code) + 1) for w in WORD.findall(plain(text))], dtype=np.uint64)
-            rolled.append(self._roll(codes))
-        self.passages = np.unique(np.concatenate(rolled)) if rolled else np.array([], dtype=np.uint64)
         self.code.update(dict.fromkeys(BREAKS, -1))
         self.is_english = np.zeros(len(self.code) + 2, dtype=bool)
         for w, i in self.code.items():
@@ -98,34 +136,29 @@ class Model:
         if not out:  # no language known: the words of the labelled documents
             out = set(extra)
         for w in sorted(out):
-            if len(self.code) >= 2 * MAX_VOCABULARY:
-                break
             self.code.setdefault(w, len(self.code) + 1)
         return out
 
-    @staticmethod
-    def _roll(codes: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of every run of PASSAGE_WORDS codes."""
-        n = len(codes) - PASSAGE_WORDS + 1
-        if n <= 0:
-            return np.array([], dtype=np.uint64)
-        out = np.zeros(n, dtype=np.uint64)
-        for k in range(PASSAGE_WORDS):
-            out = out * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + n] + np.uint64(1)
-            out ^= out >> np.uint64(29)
-        return out
-
-    def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of all texts, each closed by a break; the text each belongs to."""
+    def tokens(self, texts: list[str], passages: Sequence[Passages] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes of all texts, each closed by a break; the text each belongs to; whether it lies within a passage of an item."""
         get = self.code.get
         parts: list[int] = []
+        words: list[str] = []
         lengths = []
         for t in texts:
-            codes = [get(w, 0) for w in TOKEN.findall(plain(t))]
+            found = TOKEN.findall(plain(t))
+            codes = [get(w, 0) for w in found]
             parts += codes
             parts.append(-1)
+            if passages:
+                words += [w for w, c in zip(found, codes) if c >= 0]
             lengths.append(len(codes) + 1)
-        return np.array(parts, dtype=np.int64), np.repeat(np.arange(len(texts)), lengths)
+        codes, text = np.array(parts, dtype=np.int64), np.repeat(np.arange(len(texts)), lengths)
+        leaked = np.zeros(len(codes), dtype=bool)
+        at = np.flatnonzero(codes >= 0)
+        for p in passages:
+            leaked[at] |= p.covered(words, text[at])
+        return codes, text, leaked
 
     def _grams(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Positions of words; their unigram, bigram and trigram keys. A break is a context like a word."""
@@ -144,30 +177,46 @@ class Model:
         base, k = self.size + 1, len(LEVELS)
         count = np.zeros((self.size, k))
         np.add.at(count, (uni, lev), 1)
-        self.uni = WEIGHTS[2] * count / np.maximum(1, count.sum(0)) + WEIGHTS[3] / self.size
+        self.uni = count / np.maximum(1, count.sum(0))
         self.tables = []
-        for keys, weight in ((bi, WEIGHTS[1]), (tri, WEIGHTS[0])):
+        for keys in (bi, tri):
             known, row = np.unique(keys, return_inverse=True)
             count = np.zeros((len(known) + 1, k))
             np.add.at(count, (row, lev), 1)
             contexts, of = np.unique(known // base, return_inverse=True)
             total = np.zeros((len(contexts), k))
             np.add.at(total, of, count[:-1])
-            count[:-1] *= weight / np.maximum(1, total[of])
+            count[:-1] /= np.maximum(1, total[of])
             self.tables.append((known, count))
 
-    def _log_likelihood(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _parts(self, codes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Positions of words; their estimates by trigram, bigram, unigram and at random."""
         at, uni, bi, tri = self._grams(codes)
-        p = self.uni[uni]
+        parts = []
         for keys, (known, values) in zip((bi, tri), self.tables):
-            if len(known):
-                row = np.searchsorted(known, keys)
-                row[row == len(known)] = 0
-                row = np.where(known[row] == keys, row, len(known))
-                p = p + values[row]
-        return at, np.log(p)
-
-    def sentences(self, codes: np.ndarray, text: np.ndarray) -> dict[str, np.ndarray]:
+            if not len(known):
+                parts.append(np.zeros((len(at), len(LEVELS))))
+                continue
+            row = np.searchsorted(known, keys)
+            row[row == len(known)] = 0
+            parts.append(values[np.where(known[row] == keys, row, len(known))])
+        return at, [parts[1], parts[0], self.uni[uni], np.full((len(at), len(LEVELS)), 1 / self.size)]
+
+    def _log_likelihood(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, parts = self._parts(codes)
+        return at, np.log(sum(w * p for w, p in zip(self.weights, parts)))
+
+    def _estimate(self, codes: np.ndarray, level: np.ndarray) -> np.ndarray:
+        """The weights that make held-out text likeliest under its own level, by expectation maximization."""
+        at, parts = self._parts(codes)
+        own = np.array([p[np.arange(len(at)), level[at]] for p in parts])
+        weights = np.array(WEIGHTS)
+        for _ in range(ROUNDS if len(at) else 0):
+            share = own * weights[:, None]
+            weights = (share / share.sum(0)).mean(1)
+        return np.maximum(weights, 1e-4) / np.maximum(weights, 1e-4).sum()
+
+    def sentences(self, codes: np.ndarray, text: np.ndarray, leaked: np.ndarray | None = None) -> dict[str, np.ndarray]:
         """Of every sentence: its text, place between the levels, words, words out of passages, English words."""
         at, ll = self._log_likelihood(codes)
         sentence = np.cumsum(codes < 0)[at]
@@ -178,71 +227,91 @@ class Model:
         sums = np.add.reduceat(ll, starts, axis=0)
         p = np.exp(sums - sums.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        covered = np.zeros(len(at) + 1)
-        if len(self.passages) and len(at) >= PASSAGE_WORDS:
-            known = codes[at]
-            rolled = self._roll(known.astype(np.uint64))
-            hit = np.searchsorted(self.passages, rolled)
-            hit[hit == len(self.passages)] = 0
-            hits = np.flatnonzero((self.passages[hit] == rolled) & (text[at][: len(rolled)] == text[at][PASSAGE_WORDS - 1 :]))
-            np.add.at(covered, hits, 1)
-            np.add.at(covered, hits + PASSAGE_WORDS, -1)
-        leaked = np.add.reduceat((np.cumsum(covered)[: len(at)] > 0).astype(np.int64), starts)
+        leaked = np.add.reduceat((leaked[at] if leaked is not None else np.zeros(len(at))).astype(np.int64), starts)
         english = np.add.reduceat(self.is_english[codes[at]].astype(np.int64), starts)
         return {"text": text[at][starts], "x": p @ np.arange(len(LEVELS)), "words": words, "leaked": leaked, "english": english, "level": p.argmax(1), "start": at[starts]}
 
-    def _fit(self, labelled: list[tuple[str, int]]) -> None:
-        codes, text = self.tokens([t for t, _ in labelled])
-        labels = np.array([y for _, y in labelled], dtype=np.int64)
-        level = labels[text] if len(labelled) else np.array([], dtype=np.int64)
-        self._train(codes, level)
+    def _learn(self, codes: np.ndarray, text: np.ndarray, labels: np.ndarray) -> None:
+        """The models of texts with labels. A text has sentences of other levels too: each joins the model that fits it best."""
+        self._train(codes, labels[text])
         sentence = np.cumsum(codes < 0)
-        for _ in range(3):  # a text has sentences of other levels too: let each sentence join the model that fits it best
+        for _ in range(3):
             s = self.sentences(codes, text)
             if not len(s["text"]):
                 break
             of = np.zeros(sentence.max() + 1, dtype=np.int64)
             of[sentence[s["start"]]] = s["level"]
             self._train(codes, of[sentence])
-        s = self.sentences(codes, text)
-        self.knots, self.values = np.array([0.0, 2.0]), np.array([0.0, 2.0])
-        if len(s["text"]) and len(set(labels)) > 1:
-            x = np.array([_median(s["x"][s["text"] == i], s["words"][s["text"] == i]) for i in range(len(labelled))])
-            self.knots, self.values = isotonic(x, labels.astype(float), np.ones(len(labels)))
 
-    def difficulty(self, x: np.ndarray) -> np.ndarray:
-        return np.interp(x, self.knots, self.values)
+    def _fit(self, labelled: list[tuple[str, int]]) -> None:
+        self.weights = np.array(WEIGHTS)
+        codes, text, _ = self.tokens([t for t, _ in labelled])
+        labels = np.array([y for _, y in labelled], dtype=np.int64)
+        self.knots, self.values = np.array([0.0, 2.0]), np.array([0.0, 2.0])
+        folds = np.arange(len(labelled)) % FOLDS
+        if len(labelled) >= 2 * FOLDS and len(set(labels)) > 1:
+            x, seen, weights = [], [], []
+            for k in range(FOLDS):  # each part is judged by models that have not seen it
+                held = folds[text] == k
+                self.weights = np.array(WEIGHTS)
+                self._learn(codes[~held], text[~held], labels)
+                weights.append(self._estimate(codes[held], labels[text]))
+                self.weights = weights[-1]
+                place, known = self.places(self.sentences(codes[held], text[held]), len(labelled))
+                x.append(place[known])
+                seen.append(np.flatnonzero(known))
+            x, seen = np.concatenate(x), np.concatenate(seen)
+            if len(x):
+                self.knots, self.values = isotonic(x, labels[seen].astype(float), np.ones(len(x)))
+            self.weights = np.mean(weights, axis=0)
+        self._learn(codes, text, labels)
 
-    def levels(self, texts: list[str]) -> list[int | None]:
-        """The level of each text, None where it is not English or has no words."""
-        codes, text = self.tokens(texts)
-        s = self.sentences(codes, text)
+    @staticmethod
+    def places(s: dict[str, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where each of ``n`` texts stands between the levels, by its own sentences; and which have words at all."""
+        place, known = np.ones(n), np.zeros(n, dtype=bool)
+        if len(s["text"]):
+            own = np.where(s["english"] >= ENGLISH_SHARE * s["words"] / 2, s["words"] - s["leaked"], 0)
+            for weight in (s["words"], own):  # sentences of items and of other languages count only where there is nothing else
+                use = weight > 0
+                q = _quantiles(s["text"][use].astype(int), s["x"][use], weight[use], n)
+                has = np.bincount(s["text"][use].astype(int), minlength=n) > 0
+                place[has], known[has] = q[has], True
+        return place, known
+
+    def levels(self, texts: list[str], passages: Sequence[Passages] = ()) -> list[int | None]:
+        """The level of each text, None where it is not English or has no words. Passages of items do not count."""
+        s = self.sentences(*self.tokens(texts, passages))
         n = len(texts)
         out: list[int | None] = [None] * n
         if not len(s["text"]):
             return out
         at = s["text"].astype(int)
         words, english = np.bincount(at, s["words"], n), np.bincount(at, s["english"], n)
-        graded = np.clip(np.rint(self.difficulty(s["x"])), 0, len(LEVELS) - 1).astype(int)
-        own, foreign = np.zeros((n, len(LEVELS))), np.zeros((n, len(LEVELS)))
-        speaks = s["english"] >= ENGLISH_SHARE * s["words"] / 2
-        np.add.at(own, (at, graded), np.where(speaks, s["words"] - s["leaked"], 0))
-        np.add.at(foreign, (at, graded), s["words"])
-        for i in range(n):
-            if words[i] and english[i] >= ENGLISH_SHARE * words[i]:
-                out[i] = int((own if own[i].any() else foreign)[i].argmax())
+        place, _ = self.places(s, n)
+        graded = np.clip(np.rint(np.interp(place, self.knots, self.values)), 0, len(LEVELS) - 1).astype(int)
+        for i in np.flatnonzero((words > 0) & (english >= ENGLISH_SHARE * words)):
+            out[i] = int(graded[i])
         return out
 
 
-def _median(x: np.ndarray, w: np.ndarray) -> float:
-    if not len(x):
-        return 1.0
-    order = np.argsort(x)
-    half = np.cumsum(w[order])
-    return float(x[order][np.searchsorted(half, half[-1] / 2)])
+def _quantiles(of: np.ndarray, x: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+    """Of each text the mean of ``x`` at ``QUANTILES`` of its words."""
+    order = np.lexsort((x, of))
+    of, x, w = of[order], x[order], w[order].astype(float)
+    total = np.bincount(of, w, n)
+    below = np.cumsum(w) - w
+    first = np.searchsorted(of, np.arange(n))
+    below -= np.concatenate([below, [0.0]])[np.minimum(first, len(below))][of] if len(of) else 0
+    out = np.zeros(n)
+    for q in QUANTILES:
+        goal = q * total[of]
+        hit = (below < goal) & (below + w >= goal)
+        out[of[hit]] += x[hit]
+    return out / len(QUANTILES)
 
 
-def train(docs: DataFrame, labels: DataFrame, items: DataFrame, max_labelled: int = MAX_LABELLED, max_language: int = MAX_LANGUAGE) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_language: int = MAX_LANGUAGE) -> Model:
     """The models, from bounded samples.
 
     Labels are trimmed and lowercased, unknown ones left out, rows given twice count once; a document has the
@@ -260,29 +329,33 @@ def train(docs: DataFrame, labels: DataFrame, items: DataFrame, max_labelled: in
     spoken = spoken.orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(max_language).collect()
     picked += [(r[0], None, r[1][:2] == "en") for r in spoken]
     if not picked:
-        return Model([], [], [])
+        return Model([], [])
     ids = F.broadcast(spark.createDataFrame(picked, "doc_id bigint, y int, english boolean"))  # at most max_labelled + max_language rows
     rows = docs.where("text is not null").select("doc_id", "text").join(ids, "doc_id").orderBy("doc_id").collect()
-    held = [r[0] for r in items.where("text is not null").select("text").collect()] if items is not None else []
     labelled = [(r["text"], r["y"]) for r in rows if r["y"] is not None]
-    return Model(labelled, [(r["text"], r["english"]) for r in rows if r["english"] is not None], held)
+    return Model(labelled, [(r["text"], r["english"]) for r in rows if r["english"] is not None])
 
 
-def reading_levels(docs: DataFrame, model: Model, min_words: int = MIN_WORDS, batch: int = 1000) -> DataFrame:
+def reading_levels(docs: DataFrame, model: Model, items: DataFrame | None = None, min_words: int = MIN_WORDS, batch: int = 1000) -> DataFrame:
     """``doc_id, read_level`` of the English documents of at least ``min_words`` words.
 
     Null, empty and short texts, and texts that are not English (other languages, code, numbers, symbols),
-    give no row, whatever ``lang`` says. A row of ``docs`` gives at most one row. Passages of items do not count.
+    give no row, whatever ``lang`` says. A row of ``docs`` gives at most one row. Passages of ``items`` do not count; all
+    items are read, in blocks of bounded size, each of them broadcast.
     """
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast(model)
+    blocks = [context.broadcast(Passages([_spoken(t) for _, t in block])) for block in item_texts(items)] if items is not None else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, passages = shared.value, [b.value for b in blocks]
         for rows in batches:
             ids, texts = rows.column(0), rows.column(1)
             at, level = [], []
             for lo in range(0, rows.num_rows, batch):
                 some = texts.slice(lo, batch).to_pylist()
                 fit = [i for i, t in enumerate(some) if t and len(t) >= 2 * min_words - 1 and len(WORD.findall(t)) >= min_words]
-                for i, k in zip(fit, model.levels([some[i] for i in fit])):
+                for i, k in zip(fit, model.levels([some[i] for i in fit], passages)):
                     if k is not None:
                         at.append(lo + i)
                         level.append(LEVELS[k])
@@ -290,3 +363,7 @@ def reading_levels(docs: DataFrame, model: Model, min_words: int = MIN_WORDS, ba
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, read_level string")
+
+
+def _spoken(text: str) -> list[str]:
+    return WORD.findall(plain(text))

@@ -111,23 +111,45 @@ def test_reading_levels(spark):
     labels = [(i, f"r{r}", ("Basic ", "MIDDLE", "advanced")[k], 0) for i, _, _, k in rows if k < 3 and i < 40 for r in (1, 2)] + [(0, "r9", "advanced", 0), (1, None, None, 0), (1, "r3", "nonsense", 0)]
     labels = spark.createDataFrame(labels, "doc_id bigint, rater string, read_level string, y int")
     items = spark.createDataFrame([(1, None), (2, "some held out words that nobody wrote")], "item_id bigint, text string")
-    model = readability.train(docs, labels, items)
-    got = {r.doc_id: r.read_level for r in readability.reading_levels(docs, model).collect()}
+    model = readability.train(docs, labels)
+    got = {r.doc_id: r.read_level for r in readability.reading_levels(docs, model, items).collect()}
     assert got == {**{i: readability.LEVELS[k] for i, _, _, k in rows if k < 3}, 205: "advanced", 206: "basic"}
     assert readability.reading_levels(docs.limit(0), model).count() == 0
-    nothing = readability.train(docs, labels.limit(0), items)
+    nothing = readability.train(docs, labels.limit(0))
     assert readability.reading_levels(docs, nothing).count() >= 0
-    assert readability.reading_levels(docs, readability.train(docs.limit(0), labels.limit(0), items)).count() == 0
+    assert readability.reading_levels(docs, readability.train(docs.limit(0), labels.limit(0))).count() == 0
 
 
 def test_passages_of_items_do_not_count():
     rows = texts()
-    labelled = [(t, k) for _, t, _, k in rows if k < 3]
     held = " ".join(HARD * 5)
-    model = readability.Model(labelled, [(t, k < 3) for _, t, _, k in rows], [held])
+    model = readability.Model([(t, k) for _, t, _, k in rows if k < 3], [(t, k < 3) for _, t, _, k in rows])
     mixed = " ".join(EASY * 4) + " " + held
-    assert model.levels([mixed]) == [0]
-    assert readability.Model(labelled, [(t, k < 3) for _, t, _, k in rows], []).levels([mixed]) == [2]
+    other = readability.Passages([readability._spoken("nothing that is ever said here by anyone at all")])
+    assert model.levels([mixed], [other, readability.Passages([readability._spoken(held)])]) == [0]
+    assert model.levels([mixed], [other]) == model.levels([mixed]) == [2]
+
+
+def test_every_block_of_items_is_read(spark):
+    items = spark.range(3000).selectExpr("id as item_id", "repeat(concat('word', id, ' '), 9) as text").unionByName(spark.createDataFrame([(None, "x"), (1, None)], "item_id bigint, text string"))
+    blocks = list(leakage.item_texts(items, 2000))
+    assert len(blocks) > 5 and sum(map(len, blocks)) == 3000 and {i for b in blocks for i, _ in b} == set(range(3000))
+
+
+def test_cross_fitted_weights():
+    rows = texts(n=80)
+    model = readability.Model([(t, k) for _, t, _, k in rows if k < 3], [(t, k < 3) for _, t, _, k in rows])
+    assert abs(model.weights.sum() - 1) < 1e-9 and model.weights[0] > model.weights[3] and (model.knots[1:] >= model.knots[:-1]).all() and (model.values[1:] >= model.values[:-1]).all()
+
+
+def test_hits_in_parts(monkeypatch):
+    """However the hits are laid out, the result is the same; items of one id are told apart."""
+    items = [(1, "a b c d e f".split()), (1, "x a b c d".split()), (2, "c d e f".split())]
+    index, texts_ = leakage.ItemIndex(items, 3), ["a b c d e f a b c d", None, "q x a b c", "c d e f"] * 3
+    whole = sorted(leakage.search_shard(index, texts_))
+    monkeypatch.setattr(leakage, "MAX_HITS", 2)
+    assert sorted(leakage.search_shard(index, texts_)) == whole
+    assert [r for r in whole if r[0] == 2] == [(2, 1, 4, 1, 0)] and [r for r in whole if r[0] == 0] == [(0, 1, 6, 0, 0), (0, 2, 4, 2, 0)]
 
 
 def test_isotonic():
