@@ -84,6 +84,14 @@ def stem_column(word: str) -> Column:
     return F.when(F.octet_length(word) <= 2, F.col(word)).otherwise(F.expr(made))
 
 
+def stem_each(words: Column) -> Column:
+    """The stems of an array of lowercase words."""
+    made = "t"
+    for step in steps(SPARK):
+        made = f"transform(array({made}), w -> {step})[0]"
+    return F.call_function("transform", words, F.expr(f"t -> CASE WHEN octet_length(t) <= 2 THEN t ELSE {made} END"))
+
+
 def stem_words(words: DataFrame, word: str, stem: str = "stem") -> DataFrame:
     """``words`` with the stem of the lowercase column ``word``; words of up to two bytes stay, null stays null."""
     return words.withColumn(stem, stem_column(word))

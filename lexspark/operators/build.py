@@ -58,7 +58,7 @@ def corpus_stats(doc_table: DataFrame) -> DataFrame:
     return stats.withColumn("avgdl", avg)
 
 
-def index_stats(post: DataFrame, doc_table: DataFrame) -> DataFrame:
-    """One row ``term_count, doc_count, total_postings``."""
-    terms = post.groupBy("term").agg(F.count("*").alias("df")).agg(F.count("*").alias("term_count"), F.coalesce(F.sum("df"), F.lit(0)).alias("total_postings"))
+def index_stats(terms: DataFrame, doc_table: DataFrame) -> DataFrame:
+    """One row ``term_count, doc_count, total_postings`` out of ``term, df``."""
+    terms = terms.agg(F.count("*").alias("term_count"), F.coalesce(F.sum("df"), F.lit(0)).alias("total_postings"))
     return terms.select("term_count", doc_table.agg(F.count("*").alias("c")).scalar().alias("doc_count"), "total_postings")

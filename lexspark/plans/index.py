@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections import OrderedDict
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from lexspark.functions.porter import stem_each
 from lexspark.functions.scoring import BM25Params, bm25_score
 from lexspark.functions.snippet import snippet
 from lexspark.functions.text import tokenize_nostem
@@ -50,8 +53,11 @@ class SearchCache:
 class Index:
     """An index of one version. Its tables are DataFrames; nothing is collected but results of a query."""
 
-    def __init__(self, spark: SparkSession, post: DataFrame, doc_table: DataFrame, contents: DataFrame, doc_count: int, total_length: int, version: int = 0, path: str | None = None, cache: int = 128):
+    def __init__(
+        self, spark: SparkSession, post: DataFrame, doc_table: DataFrame, contents: DataFrame, doc_count: int, total_length: int, version: int = 0, path: str | None = None, terms: DataFrame | None = None, cache: int = 128
+    ):
         self.spark, self.postings, self.doc_table, self.contents = spark, post, doc_table, contents
+        self.segment_terms = terms  # term, df of each segment, where the index is a stored one
         self.doc_count, self.total_length, self.version, self.path = doc_count, total_length, version, path
         self.avgdl = total_length / doc_count if doc_count else 0.0
         self.cache = SearchCache(cache)
@@ -66,8 +72,8 @@ class Index:
     @classmethod
     def load(cls, spark: SparkSession, path: str, version: int | None = None) -> Index:
         m = store.read_manifest(spark, path, version)
-        tables = (store.read_table(spark, path, m, t) for t in ("postings", "doc_table", "contents"))
-        return cls(spark, *tables, m.doc_count, m.total_length, m.version, path)
+        post, docs, contents, terms = (store.read_table(spark, path, m, t) for t in ("postings", "doc_table", "contents", "terms"))
+        return cls(spark, post, docs, contents, m.doc_count, m.total_length, m.version, path, terms)
 
     @classmethod
     def create(cls, corpus: DataFrame, path: str) -> Index:
@@ -76,7 +82,7 @@ class Index:
         return cls.load(corpus.sparkSession, path)
 
     def append(self, corpus: DataFrame) -> Index:
-        """The next version, with ``corpus`` added. Without doc_ids it gets the ones after the highest."""
+        """The next version, with ``corpus`` added. Without a column doc_id it gets the ids after the highest; an id that is in already is refused."""
         if self.path is None:
             raise ValueError("only a saved index can be extended")
         store.append_segment(self.spark, self.path, corpus)
@@ -84,16 +90,23 @@ class Index:
 
     @property
     def dictionary(self) -> DataFrame:
-        return build.dictionary(self.postings)
+        """``term, df``: of a stored index the segments' counts put together, else counted."""
+        return self._dictionary()
+
+    def _dictionary(self, wanted: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+        """The dictionary of the rows that ``wanted`` leaves of it."""
+        if self.segment_terms is None:
+            return build.dictionary(wanted(self.postings))
+        return wanted(self.segment_terms).groupBy("term").agg(F.sum("df").alias("df"))
 
     def health(self) -> dict[str, str]:
         return {"status": "ok", "service": "lexspark"}
 
     def stats(self) -> DataFrame:
-        return build.index_stats(self.postings, self.doc_table)
+        return build.index_stats(self.dictionary, self.doc_table)
 
     def terms(self) -> DataFrame:
-        return self.postings.select("term").distinct()
+        return self.dictionary.select("term")
 
     def doc_meta(self, doc_id: int) -> DataFrame:
         """The document's row; none if unknown."""
@@ -108,21 +121,24 @@ class Index:
 
     def postings_of(self, token: str) -> DataFrame:
         """The list of the first term that the raw ``token`` gives; none for a stopword or an unknown word."""
-        terms = [r["term"] for r in self._terms([(0, token)]).orderBy("pos").limit(1).collect()]
+        terms = self._terms(token)
         return self.postings_by_term(terms[0]) if terms else self.postings.limit(0).select("doc_id", "tf")
 
-    def _terms(self, queries: list[tuple[int, str]]) -> DataFrame:
-        return search.query_terms(self.spark.createDataFrame(queries, "query_id bigint, query string"))
+    def _terms(self, query: str) -> list[str]:
+        """The query's terms in their order, repeats kept. Spark works them out while it plans: no job is run."""
+        rows = self.spark.sql("SELECT * FROM VALUES (:q) AS t(q)", args={"q": query})
+        return rows.select(stem_each(tokenize_nostem("q")).alias("terms")).collect()[0]["terms"] or []
 
     def rank_batch(self, queries: DataFrame, k: int = 10, mode: str = "or", params: BM25Params = BM25Params(), scorer: str = "bm25") -> DataFrame:
         """``query_id, rank, doc_id, score, total_hits`` for ``query_id, query``, in one plan.
 
-        Only postings of the queries' terms are scored; the df of these terms alone is counted.
+        Only postings of the queries' terms are read; df comes from the dictionary.
         """
         terms = search.query_terms(queries)
         wanted = terms.select("term").distinct()
         post = self.postings.join(wanted, "term", "left_semi")
-        scored = search.score(terms, post, build.dictionary(post), self.doc_count, self.avgdl, params, scorer)
+        df = self._dictionary(lambda rows: rows.join(wanted, "term", "left_semi"))
+        scored = search.score(terms, post, df, self.doc_count, self.avgdl, params, scorer)
         return search.rank(scored, terms, k, mode)
 
     def search_batch(self, queries: DataFrame, k: int = 10, mode: str = "or", window: int = 200) -> DataFrame:
@@ -135,23 +151,23 @@ class Index:
     def search(self, query: str, k: int = 10, mode: str = "or") -> dict[str, Any]:
         """The response to one query: ``query, results, total_hits, time_taken_ms, cache_hit``.
 
-        The query's terms are found first and pushed to the scan of the term-sorted postings as literals.
+        What the cache holds costs no job. Else the query's terms are pushed to the scans of the term-sorted
+        dictionary and postings as literals, and the ranked ids to those of documents and texts: three jobs.
         """
         began = time.perf_counter()
         if mode not in search.MODES:
             raise ValueError("mode must be 'or' or 'and'")
         k = k if k and k > 0 else 10
         out = {"query": query, "results": [], "total_hits": 0, "cache_hit": False}
-        key = (query, k, mode, self.version)
-        rows = self._terms([(0, query)]).select("pos", "term").collect() if query else []
-        if rows:
+        if query:
+            key = (query, k, mode, self.version)
             kept = self.cache.get(key)
-            if kept is None:
-                kept = self._search([(r["pos"], r["term"]) for r in rows], query, k, mode)
+            out["cache_hit"] = kept is not None
+            if kept is None and (terms := self._terms(query)):
+                kept = self._search(list(enumerate(terms)), query, k, mode)
                 self.cache.put(key, kept)
-            else:
-                out["cache_hit"] = True
-            out["results"], out["total_hits"] = [dict(r) for r in kept[0]], kept[1]
+            if kept is not None:
+                out["results"], out["total_hits"] = [dict(r) for r in kept[0]], kept[1]
         out["time_taken_ms"] = (time.perf_counter() - began) * 1000
         return out
 
@@ -161,7 +177,7 @@ class Index:
         for pos, term in terms:
             places.setdefault(term, []).append(pos)
         post = self.postings.where(F.col("term").isin(list(places)))
-        df = {r["term"]: r["df"] for r in build.dictionary(post).collect()}
+        df = {r["term"]: r["df"] for r in self._dictionary(lambda rows: rows.where(F.col("term").isin(list(places)))).collect()}
         if not df:
             return [], 0
         per_term = F.create_map(*[x for t in df for x in (F.lit(t), F.struct(F.lit(df[t]).alias("df"), F.array(*map(F.lit, places[t])).alias("pos")))])
@@ -176,14 +192,19 @@ class Index:
         if not top:
             return [], 0
         ids = [r["doc_id"] for r in top]  # at most k: they go to both scans as literals
-        meta = {r["doc_id"]: r for r in self.doc_table.where(F.col("doc_id").isin(ids)).select("doc_id", "external_id", "url", "title").collect()}
-        texts = {r[0]: r[1] for r in self.contents.where(F.col("doc_id").isin(ids)).select("doc_id", snippet("content", tokenize_nostem(F.lit(query)))).collect()}
+        texts = self.contents.where(F.col("doc_id").isin(ids)).select("doc_id", snippet("content", tokenize_nostem(F.lit(query))).alias("snippet"))
+        rows = self.doc_table.where(F.col("doc_id").isin(ids)).select("doc_id", "external_id", "url", "title").join(F.broadcast(texts), "doc_id", "left")
+        meta = {r["doc_id"]: r for r in rows.collect()}
         results = [
-            {"doc_id": r["doc_id"], "external_id": m["external_id"], "url": m["url"], "title": m["title"], "score": r["score"], "snippet": texts.get(r["doc_id"], "")}
+            {"doc_id": r["doc_id"], "external_id": m["external_id"], "url": m["url"], "title": m["title"], "score": r["score"], "snippet": m["snippet"] or ""}
             for r in top if (m := meta.get(r["doc_id"]))
         ]
         return results, seen.get["n"]
 
+    def search_json(self, query: str, k: int = 10, mode: str = "or") -> str:
+        """The response in JSON; NaN never occurs in it."""
+        return json.dumps(self.search(query, k, mode), ensure_ascii=False, allow_nan=False)
+
     def evaluate(self, judgments: DataFrame, k: int = 10, params: BM25Params = BM25Params()) -> DataFrame:
         """Precision at k and recall of every judgment (``query, relevant_urls``), each row a query of its own.
 

@@ -46,9 +46,8 @@ class Jobs:
                 if output:
                     corpus.write.mode("overwrite").json(output)
                 spark = corpus.sparkSession
-                before = store.read_manifest(spark, path).doc_count if store.versions(spark, path) else 0
-                m = store.append_segment(spark, path, corpus)
-                result = {"documents_written": m.doc_count - before, "version": m.version, "duration": round(time.time() - began, 3), "output_path": output}
+                m, new = store.append_segment(spark, path, corpus)
+                result = {"documents_written": new.docs, "version": m.version, "duration": round(time.time() - began, 3), "output_path": output}
                 if on_complete:
                     on_complete(Index.load(spark, path))
                 self._set(replace(job, status=COMPLETED, result=result))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 from collections.abc import Callable
 
@@ -16,6 +18,7 @@ from lexspark.operators import build, codec, evaluate, querylog
 from lexspark.plans.index import Index
 from lexspark.session import checkpoint_dir
 from lexspark.sources import corpus as sources
+from lexspark.sources import store
 from lexspark.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,14 +32,34 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet")
 
 
+#: Indexes built by this process: one for each session and state of the data.
+_BUILT: dict[tuple, str] = {}
+
+
 def _index(spark: SparkSession, d: str) -> Index:
-    """The index, built and saved as a user would have it."""
-    return Index.create(_corpus(spark, d), f"{_folder(spark)}/index")
+    """The index, built and saved as a user would have it; queries of one session over the same data share it."""
+    fs, p = store.file_system(spark, f"{d}/corpus.parquet")
+    status = fs.getFileStatus(p)
+    key = (spark.sparkContext.applicationId, d, status.getModificationTime(), status.getLen())
+    if key not in _BUILT:
+        path = f"{_folder(spark)}/index"
+        Index.create(_corpus(spark, d), path)
+        _BUILT[key] = path
+    return Index.load(spark, _BUILT[key])
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder where all executors can write."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/lexspark-{uuid.uuid4().hex}"
+    """A new folder where all executors can write, removed when Python ends: what a query returns is read from it until then."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/lexspark-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop
+
+    def drop() -> None:
+        with contextlib.suppress(Exception):  # the JVM may be gone, and the whole folder with it
+            p = hadoop.fs.Path(path)
+            p.getFileSystem(hadoop.conf.Configuration()).delete(p, True)
+
+    atexit.register(drop)
+    return path
 
 
 def _joined(name: str, tokens: Callable) -> Query:
@@ -168,6 +191,21 @@ def search_full(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(q, "query_id").select("query", "rank", "doc_id", "external_id", "url", "title", F.round("score", 6).alias("score"), "snippet", "total_hits")
 
 
+#: Queries that go one by one through the path of a single search.
+SINGLE = ("garden", "The careful harbours: measuring bridges & gardens", "lens lens mirror", "copyright reserved", "the a is of", "qqqqzzzz")
+
+
+def search_single(spark: SparkSession, d: str) -> DataFrame:
+    """The responses to single searches; the second time each comes out of the cache."""
+    index = _index(spark, d)
+    rows = []
+    for q in SINGLE:
+        index.search(q)
+        got = index.search(q)
+        rows += [(q, i + 1, r["doc_id"], r["external_id"], r["url"], r["title"], round(r["score"], 6), r["snippet"], got["total_hits"]) for i, r in enumerate(got["results"])]
+    return spark.createDataFrame(rows, "query string, rank int, doc_id bigint, external_id string, url string, title string, score double, snippet string, total_hits bigint")
+
+
 def snippet_window(spark: SparkSession, d: str) -> DataFrame:
     words = F.array(F.lit("bridge"), F.lit("lens"), F.lit("café"))
     return _corpus(spark, d).select("doc_id", snippet("content", words, 120).alias("snippet"))
@@ -192,7 +230,7 @@ def eval_means(spark: SparkSession, d: str) -> DataFrame:
 
 
 def postings_delta(spark: SparkSession, d: str) -> DataFrame:
-    return codec.deltas(build.term_frequencies(_corpus(spark, d)))
+    return codec.deltas(build.term_frequencies(_corpus(spark, d))).select("term", "doc_id", "tf", "delta")
 
 
 def postings_roundtrip(spark: SparkSession, d: str) -> DataFrame:
@@ -200,8 +238,8 @@ def postings_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def postings_encoded(spark: SparkSession, d: str) -> DataFrame:
-    """The block of each term, in hexadecimal."""
-    return codec.encode_postings(build.term_frequencies(_corpus(spark, d))).select("term", "n", F.lower(F.hex("data")).alias("data"))
+    """The blocks of each term, in hexadecimal."""
+    return codec.encode_postings(build.term_frequencies(_corpus(spark, d))).select("term", "block", "n", F.lower(F.hex("data")).alias("data"))
 
 
 def varint_size(spark: SparkSession, d: str) -> DataFrame:
@@ -237,6 +275,23 @@ def stream_index_equals_batch(spark: SparkSession, d: str) -> DataFrame:
     return ranked.join(q, "query_id").select("query", "rank", "doc_id", F.round("score", 6).alias("score"), "total_hits")
 
 
+def two_streams(spark: SparkSession, d: str) -> DataFrame:
+    """Two streams, each with its own checkpoint, into one index: no page is lost, none comes twice."""
+    base = _folder(spark)
+    pages = ingest.read_stream(spark, f"{d}/corpus.parquet")
+    running = [ingest.ingest_stream(pages.where(f"pmod(doc_id, 2) = {k}"), f"{base}/index", f"{base}/checkpoint-{k}") for k in (0, 1)]
+    for query in running:
+        query.awaitTermination()
+    return Index.load(spark, f"{base}/index").doc_table.select("doc_id", "external_id", "length")
+
+
+def append_without_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Half of the pages with their ids, the rest without: those get the ids after the highest, in the order of external id."""
+    path, pages = _folder(spark), _corpus(spark, d)
+    index = Index.create(pages.where("pmod(doc_id, 2) = 0"), path).append(pages.where("pmod(doc_id, 2) = 1").drop("doc_id"))
+    return index.doc_table.select("doc_id", "external_id", "length")
+
+
 def jsonl_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     path = _folder(spark)
     sources.write_jsonl(_corpus(spark, d), path)
@@ -256,7 +311,7 @@ QUERIES: dict[str, Query] = {
     "bm25_scores": _scores("bm25"),
     "tfidf_scores": _scores("tfidf"),
     **{name: _search(name) for name in SEARCHES},
-    **{f.__name__: f for f in (search_batch, search_tfidf, search_full, snippet_window, highlight_terms, eval_per_query, eval_means, postings_delta, postings_roundtrip, postings_encoded, varint_size, querylog_stats, querylog_recent100, store_roundtrip_search, stream_index_equals_batch, jsonl_roundtrip, dense_doc_ids)},
+    **{f.__name__: f for f in (search_batch, search_tfidf, search_full, search_single, snippet_window, highlight_terms, eval_per_query, eval_means, postings_delta, postings_roundtrip, postings_encoded, varint_size, querylog_stats, querylog_recent100, store_roundtrip_search, stream_index_equals_batch, two_streams, append_without_ids, jsonl_roundtrip, dense_doc_ids)},
 }
 
 # --- the same in SQL -------------------------------------------------------------------------------------------
@@ -308,6 +363,31 @@ e AS (SELECT query, coalesce(h, 0) / 10e0 AS p, CASE WHEN coalesce(len(relevant_
 """,
 )
 _DELTA = "SELECT term, doc_id, tf, doc_id - lag(doc_id, 1, 0) OVER (PARTITION BY term ORDER BY doc_id) AS delta FROM tf"
+def _snippet(source: str, window: int) -> str:
+    """``*, snippet`` of a source with ``content, words``, byte by byte: the text is read as pairs of hexadecimal digits."""
+    blank, other = "(?:09|0A|0B|0C|0D|20|85|A0)", "(?:0[0-8EF]|1.|2[1-9A-F]|[3-7].|8[0-46-9A-F]|9.|A[1-9A-F]|[B-F].)"
+    half = window // 2
+    return f"""SELECT * EXCLUDE (h, low, n, pos, s0, e0, l, s1, r, e1, x, s, e, y), CASE WHEN content IS NULL OR content = '' OR len(words) = 0 THEN '' ELSE
+  CASE WHEN s > 0 THEN '...' ELSE '' END || list_reduce(list_prepend(decode(unhex(y)), words), lambda a, t: regexp_replace(a, '(' || t || ')', '<mark>\\1</mark>', 'gi')) || CASE WHEN e < n THEN '...' ELSE '' END END AS snippet
+FROM (SELECT *, repeat('EFBFBD', CAST(length(regexp_extract(x, '^(?:[89AB].)*')) / 2 AS BIGINT)) || regexp_replace(regexp_replace(x, '^(?:[89AB].)*', ''), '(?:[CD].|E.(?:[89AB].)?|F.(?:[89AB].){{0,2}})$', 'EFBFBD') AS y
+FROM (SELECT *, CASE WHEN r = '' THEN substr(h, 2 * pos + 1, {2 * window}) ELSE r END AS x, CASE WHEN r = '' THEN pos ELSE s1 END AS s, CASE WHEN r = '' THEN least(pos + {window}, n) ELSE e1 END AS e
+FROM (SELECT *, s1 + CAST(length(r) / 2 AS BIGINT) AS e1 FROM (SELECT *, CASE WHEN e0 < n THEN regexp_replace(l, '{other}*$', '') ELSE l END AS r
+FROM (SELECT *, e0 - CAST(length(l) / 2 AS BIGINT) AS s1 FROM (SELECT *, CASE WHEN s0 > 0 THEN regexp_replace(substr(h, 2 * s0 + 1, 2 * (e0 - s0)), '^{other}*{blank}*', '') ELSE substr(h, 2 * s0 + 1, 2 * (e0 - s0)) END AS l
+FROM (SELECT *, greatest(pos - {half}, 0) AS s0, least(pos + {half}, n) AS e0
+FROM (SELECT *, coalesce(list_min(list_filter(list_transform(words, lambda t: CASE WHEN regexp_matches(low, '^(?:..)*?' || hex(encode(t))) THEN CAST(length(regexp_extract(low, '^((?:..)*?)' || hex(encode(t)), 1)) / 2 AS BIGINT) END), lambda v: v IS NOT NULL)), 0) AS pos
+FROM (SELECT *, hex(encode(content)) AS h, hex(encode(lower(content))) AS low, strlen(content) AS n FROM ({source}))))))))))"""
+
+
+_FULL_OUT = f""", found AS (SELECT query_id, rank, corpus.doc_id, external_id, url, title, round(score, 6) AS score, total_hits, content,
+  list_filter(regexp_split_to_array(lower(query), {_SPLIT}), lambda w: w <> '' AND w NOT IN ({_STOP})) AS words FROM ranked JOIN corpus USING (doc_id) JOIN q USING (query_id) WHERE rank <= 10)
+SELECT query_id AS query, rank, doc_id, external_id, url, title, score, snippet, total_hits FROM ({_snippet("SELECT * FROM found", 200)})"""
+
+
+def _full(queries: str) -> str:
+    return _ranked(queries, 10, "or", "") + _FULL_OUT
+
+
+_HEX = "CASE WHEN {0} < 128 THEN printf('%02x', {0}) WHEN {0} < 16384 THEN printf('%02x%02x', {0} % 128 + 128, {0} // 128) WHEN {0} < 2097152 THEN printf('%02x%02x%02x', {0} % 128 + 128, {0} // 128 % 128 + 128, {0} // 16384) WHEN {0} < 268435456 THEN printf('%02x%02x%02x%02x', {0} % 128 + 128, {0} // 128 % 128 + 128, {0} // 16384 % 128 + 128, {0} // 2097152) END"
 _VLEN = "(CASE WHEN {0} < 128 THEN 1 WHEN {0} < 16384 THEN 2 WHEN {0} < 2097152 THEN 3 WHEN {0} < 268435456 THEN 4 ELSE 5 END)"
 
 SQL: dict[str, str] = {
@@ -335,6 +415,14 @@ SELECT doc_id, string_agg(term, ' ' ORDER BY pos) AS tokens FROM tok JOIN s USIN
         for name, (q, k, mode) in SEARCHES.items()
     },
     "search_batch": _BATCH,
+    "search_full": _full(_BATCH_Q),
+    "search_single": _full("SELECT query AS query_id, query FROM (VALUES " + ", ".join(f"('{q}')" for q in SINGLE) + ") t(query)"),
+    "snippet_window": f"SELECT doc_id, snippet FROM ({_snippet("SELECT doc_id, content, ['bridge', 'lens', 'café'] AS words FROM corpus", 120)})",
+    "two_streams": f"WITH {_INDEX} SELECT doc_id, external_id, length FROM corpus JOIN len USING (doc_id)",
+    "append_without_ids": f"""WITH {_INDEX}, even AS (SELECT * FROM corpus JOIN len USING (doc_id) WHERE doc_id % 2 = 0), odd AS (SELECT * FROM corpus JOIN len USING (doc_id) WHERE doc_id % 2 = 1),
+numbered AS (SELECT (SELECT max(doc_id) FROM even) + row_number() OVER (ORDER BY external_id) AS doc_id, external_id FROM odd),
+lengths AS (SELECT external_id, length, row_number() OVER (PARTITION BY external_id ORDER BY url NULLS FIRST, title NULLS FIRST) AS k FROM odd)
+SELECT doc_id, external_id, length FROM even UNION ALL SELECT n.doc_id, n.external_id, l.length FROM (SELECT *, row_number() OVER (PARTITION BY external_id ORDER BY doc_id) AS k FROM numbered) n JOIN lengths l USING (external_id, k)""",
     "search_tfidf": _ranked(_BATCH_Q, 10, "or", _BATCH_OUT, _TFIDF),
     "store_roundtrip_search": _BATCH,
     "stream_index_equals_batch": _BATCH,
@@ -342,6 +430,7 @@ SELECT doc_id, string_agg(term, ' ' ORDER BY pos) AS tokens FROM tok JOIN s USIN
     "eval_per_query": _EVAL + "SELECT query, round(p, 9) AS precision_at_k, round(r, 9) AS recall, CAST(10 AS INTEGER) AS k, hits, total_relevant FROM e",
     "eval_means": _EVAL + "SELECT round(avg(p), 9) AS mean_precision_at_k, round(avg(r), 9) AS mean_recall, count(*) AS queries_run FROM e",
     "postings_delta": f"WITH {_INDEX} {_DELTA}",
+    "postings_encoded": f"WITH {_INDEX}, d AS ({_DELTA}) SELECT term, doc_id // 65536 AS block, count(*) AS n, string_agg({_HEX.format('delta')} || {_HEX.format('tf')}, '' ORDER BY doc_id) AS data FROM d GROUP BY 1, 2",
     "postings_roundtrip": f"WITH {_INDEX} SELECT term, doc_id, tf FROM tf",
     "varint_size": f"WITH {_INDEX}, d AS ({_DELTA}) SELECT count(*) AS postings, CAST(sum({_VLEN.format('delta')} + {_VLEN.format('tf')}) AS BIGINT) AS bytes FROM d",
     "querylog_stats": """WITH s AS (SELECT count(*) AS n, coalesce(sum(CASE WHEN latency_ns > 0 THEN latency_ns END), 0) AS ns, (epoch_us(max(logged_at)) - epoch_us(min(logged_at))) / 1e6 AS up FROM query_log)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -19,13 +21,17 @@ def read_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
 
 
 def ingest_stream(pages: DataFrame, index_path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Appends each batch of new pages under its number: a batch that runs again after a failure adds nothing twice.
+    """Appends each batch of new pages under the stream's own id and the batch's number.
 
-    The pages bring their doc_ids. ``available_now`` ends the query once what is there has been read.
+    A batch that runs again after a failure adds nothing twice, and streams into one index do not meet. The pages bring
+    their doc_ids, or (without that column) get the next ones. ``available_now`` ends the query once what is there has
+    been read.
     """
 
     def add(batch: DataFrame, number: int) -> None:
-        store.append_segment(batch.sparkSession, index_path, batch, key=f"batch-{number}")
+        # Spark names a stream in its checkpoint: the name holds over restarts
+        stream = json.loads(store._read_text(batch.sparkSession, f"{checkpoint.rstrip('/')}/metadata"))["id"]
+        store.append_segment(batch.sparkSession, index_path, batch, key=f"{stream}-{number}")
 
     writer = pages.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

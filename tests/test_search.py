@@ -1,6 +1,8 @@
 """Ranking against a plain-Python model, on a corpus small enough to read."""
 
+import json
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -120,3 +122,49 @@ def test_evaluate(index, spark):
     got = sorted((r.query or "", r.total_relevant, r.hits, r.precision_at_k, round(r.recall, 6)) for r in index.evaluate(j, 10).collect())
     assert got == [("", 1, 0, 0.0, 0.0), ("red lamp", 0, 0, 0.0, 0.0), ("red lamp", 3, 1, 0.1, 0.333333), ("shop", 0, 0, 0.0, 0.0), ("shop", 1, 1, 0.1, 1.0)]
     assert index.evaluate(j.limit(0), 10).count() == 0
+
+
+# The four documents of FIXTURES A2 and what part B derives for them.
+FOUR = [
+    (0, "sha0", "https://go.dev", "The Go Programming Language", "Go is a programming language designed at Google. Go is fast. Go is concurrent. Go Go Go."),
+    (1, "sha1", "https://example.com/programming", "Programming Basics", "Programming is the process of creating instructions for computers. Programming requires logic."),
+    (2, "sha2", "https://go.dev/concurrency", "Go Concurrency Patterns", "Go provides goroutines and channels for concurrent programming. Concurrency is not parallelism."),
+    (3, "sha3", "https://example.com/cooking", "Best Pasta Recipes", "Pasta is a traditional Italian food. Cook pasta in boiling water with salt."),
+]
+GOLDEN = [
+    ("Go", "or", {0: 1.225237362, 2: 0.733708459}),
+    ("Go programming", "or", {0: 1.543236709, 2: 1.111255149, 1: 0.509804046}),
+    ("Go programming", "and", {0: 1.543236709, 2: 1.111255149}),
+    ("Go pasta", "or", {3: 1.668142745, 0: 1.225237362, 2: 0.733708459}),
+    ("Go Go", "or", {0: 2.450474723, 2: 1.467416918}),
+    ("Go concurrent programming", "or", {0: 2.161223352, 2: 2.101987027, 1: 0.509804046}),
+    ("Go fast concurrent", "or", {0: 2.916645541, 2: 1.724440338}),
+    ("Go zzz", "and", {}),
+    ("the a is", "or", {}),
+]
+
+
+def test_scores_of_four_documents(spark, corpus, tmp_path):
+    index = Index.create(spark.createDataFrame(FOUR, corpus.schema), str(tmp_path / "i"))
+    assert index.avgdl == 9.25 and tuple(index.stats().first()) == (25, 4, 29)
+    for query, mode, want in GOLDEN:
+        got = index.search(query, mode=mode)["results"]
+        assert [r["doc_id"] for r in got] == list(want) and [r["score"] for r in got] == pytest.approx(list(want.values()), abs=1e-9)
+    told = json.loads(index.search_json("Go pasta"))
+    assert told["total_hits"] == 3 and [r["doc_id"] for r in told["results"]] == [3, 0, 2] and told["results"][0]["snippet"].startswith("<mark>Pasta</mark>")
+
+
+def test_jobs_of_a_search(index, spark):
+    """A hit in the cache runs no job at all, a search three at most; terms are stemmed without one."""
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(query):
+        spark.sparkContext.setJobGroup(group := f"g-{query}-{time.time()}", "")
+        index.search(query)
+        return len(tracker.getJobIdsForGroup(group))
+
+    assert index._terms("Red lamps, the shops") == ["red", "lamp", "shop"]
+    first, again, none = jobs("shop lamp blue"), jobs("shop lamp blue"), jobs("the of")
+    assert again == none == 0 and first <= 6  # adaptive execution runs the stages of one query as jobs
+    began = time.perf_counter()
+    assert index.search("shop lamp blue")["cache_hit"] and time.perf_counter() - began < 0.01

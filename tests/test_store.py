@@ -1,8 +1,10 @@
 """Codec, store, streaming, jobs, query log, sources."""
 
 import datetime as dt
+import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexspark.operators import codec, querylog
 from lexspark.plans.index import Index
@@ -26,7 +28,7 @@ def corpus(spark):
 def test_codec(spark, pairs, want):
     df = spark.createDataFrame([("t", *p) for p in pairs], "term string, doc_id bigint, tf bigint")
     block = codec.encode_postings(df)
-    assert bytes(block.first().data).hex() == want
+    assert b"".join(bytes(r.data) for r in sorted(block.collect(), key=lambda r: r.block)).hex() == want
     assert sorted((r.doc_id, r.tf) for r in codec.decode_postings(block).collect()) == pairs
 
 
@@ -50,8 +52,42 @@ def test_store_grows_and_is_pruned(spark, corpus, tmp_path):
     assert whole.search("red lamp")["results"][0]["snippet"]
     plan = whole.postings.where("term = 'red'")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(term,red)" in plan
-    store.append_segment(spark, path, corpus, key="again")
-    assert store.append_segment(spark, path, corpus, key="again").version == 3
+    more = corpus.withColumn("doc_id", corpus.doc_id + 100)
+    store.append_segment(spark, path, more, key="again")
+    m, segment = store.append_segment(spark, path, more, key="again")
+    assert m.version == 3 and segment.docs == 12 and m.doc_count == 24
+    assert {r.term: r.df for r in Index.load(spark, path).dictionary.collect()}["lamp"] == 24
+
+
+def test_ids_on_append(spark, corpus, tmp_path):
+    path = str(tmp_path / "i")
+    grown = Index.create(corpus.where("doc_id < 6"), path).append(corpus.where("doc_id >= 6").drop("doc_id"))
+    assert sorted((r.doc_id, r.external_id) for r in grown.doc_table.collect()) == [(0, "e0"), (1, "e1"), (2, "e2"), (3, "e3"), (4, "e4"), (5, "e5"), (6, "e10"), (7, "e11"), (8, "e6"), (9, "e7"), (10, "e8"), (11, "e9")]
+    for bad in (corpus.where("doc_id = 3"), corpus.where("doc_id = 3").withColumn("doc_id", F.lit(None).cast("bigint")), corpus.selectExpr("20L as doc_id", "external_id", "url", "title", "content")):
+        with pytest.raises(ValueError):
+            grown.append(bad)
+    assert store.versions(spark, path) == [1, 2] and len([x for x in os.listdir(path) if x.startswith("segment")]) == 2
+    assert grown.append(corpus.limit(0)).doc_count == 12 and Index.create(corpus.limit(0).drop("doc_id"), str(tmp_path / "j")).doc_count == 0
+
+
+def test_two_streams(spark, corpus, tmp_path):
+    pages, path = str(tmp_path / "pages"), str(tmp_path / "i")
+    corpus.repartition(2).write.parquet(pages)
+    for k in (0, 1):
+        ingest.ingest_stream(ingest.read_stream(spark, pages, 1).where(f"doc_id % 2 = {k}"), path, str(tmp_path / f"c{k}")).awaitTermination()
+    assert sorted(r.doc_id for r in Index.load(spark, path).doc_table.collect()) == list(range(12))
+
+
+def test_eight_jobs_at_once(spark, corpus, tmp_path):
+    path, jobs = str(tmp_path / "i"), Jobs()
+    corpus.cache().count()
+    started = [jobs.start(corpus.where(f"doc_id % 4 = {k % 4}").drop("doc_id"), path) for k in range(8)]
+    done = [jobs.wait(j) for j in started]
+    assert [(j.status, j.error, j.result["documents_written"]) for j in done] == [(COMPLETED, None, 3)] * 8
+    assert sorted(j.result["version"] for j in done) == list(range(1, 9))
+    index = Index.load(spark, path)
+    assert sorted(r.doc_id for r in index.doc_table.collect()) == list(range(24)) and index.doc_count == 24
+    corpus.unpersist()
 
 
 def test_stream_equals_batch(spark, corpus, tmp_path):
