@@ -5,7 +5,7 @@ whole pre-token is a token, and its id. Tier two, for the rest: the bytes of the
 and a heap of adjacent pairs, ordered by rank and place, merges them one by one.
 
 The vocabulary (tens of thousands of entries, fixed by the tokenizer and checked against ``MAX_VOCABULARY``)
-is read once on the driver and sent along with the function; the texts never shuffle.
+is read once on the driver and broadcast; the texts never shuffle.
 """
 
 from __future__ import annotations
@@ -160,10 +160,10 @@ def encode_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks
     Whole texts are encoded, whatever their length; a pre-token of n bytes takes n log n steps. Strings that
     look like special tokens are plain text. Further columns of ``docs`` are not read.
     """
-    tokens = tuple(load_ranks(ranks))
+    tokens = docs.sparkSession.sparkContext.broadcast(tuple(load_ranks(ranks)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(tokens, pattern).encode
+        encode = _encoder(tokens.value, pattern).encode
         for batch in batches:
             parts, offsets = [], [0]
             for t in batch.column(1):
