@@ -16,6 +16,7 @@ from lexspark.functions.snippet import highlight, snippet
 from lexspark.functions.text import STOPWORDS, normalize, tokenize_nostem, tokenize_raw
 from lexspark.operators import build, codec, evaluate, querylog
 from lexspark.plans.index import Index
+from lexspark.plans.jobs import Jobs, QueryLog
 from lexspark.session import checkpoint_dir
 from lexspark.sources import corpus as sources
 from lexspark.sources import store
@@ -304,6 +305,61 @@ def dense_doc_ids(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "external_id")
 
 
+def health(spark: SparkSession, d: str) -> DataFrame:
+    got = _index(spark, d).health()
+    return spark.createDataFrame([(got["status"], got["service"])], "status string, service string")
+
+
+def search_defaults(spark: SparkSession, d: str) -> DataFrame:
+    """A k below 1 means 10; a mode that is none is refused."""
+    index = _index(spark, d)
+    rows = [(f"k = {k}", len(index.search("copyright reserved", k)["results"])) for k in (0, -3, 4)]
+    for mode in ("xor", "", "or"):
+        try:
+            rows.append((f"mode = {mode}", len(index.search("garden", 3, mode)["results"])))
+        except ValueError:
+            rows.append((f"mode = {mode}", -1))
+    return spark.createDataFrame(rows, "case string, results int")
+
+
+#: tf, df, document length, average length, number of documents.
+GUARDS = ((5, 10, 100, 100.0, 1000), (0, 10, 100, 100.0, 1000), (5, 0, 100, 100.0, 1000), (5, 10, 0, 100.0, 1000), (5, 10, 100, 0.0, 1000), (5, 10, 100, 100.0, 0), (5, 1000, 100, 100.0, 1000), (5, 2000, 100, 100.0, 1000), (1, 1, 1, 1.0, 1))
+
+
+def score_guards(spark: SparkSession, d: str) -> DataFrame:
+    """Scores where something is zero, or where df reaches N."""
+    rows = spark.createDataFrame(GUARDS, "tf bigint, df bigint, len bigint, avg double, n bigint")
+    return rows.select("*", F.round(bm25_score("tf", "df", "len", "avg", "n"), 6).alias("bm25"), F.round(tfidf_score("tf", "df", "len", "n"), 6).alias("tfidf"))
+
+
+def ingest_jobs(spark: SparkSession, d: str) -> DataFrame:
+    """Three ingest jobs at once into one index, each writing JSON lines as well: their states and counts, and what the index holds."""
+    base, pages, jobs = _folder(spark), _corpus(spark, d), Jobs()
+    started = [jobs.start(pages.where(f"pmod(doc_id, 3) = {k}"), f"{base}/index", f"part {k}", f"{base}/json-{k}") for k in range(3)]
+    done = [jobs.wait(j) for j in started]
+    held = Index.load(spark, f"{base}/index").doc_count
+    rows = [(j.source, j.status, j.result["documents_written"] if j.result else -1, sources.read_jsonl(spark, f"{base}/json-{k}").count(), held, len(jobs.list())) for k, j in enumerate(done)]
+    return spark.createDataFrame(rows, "source string, status string, documents_written bigint, json_lines bigint, index_documents bigint, jobs int")
+
+
+def query_log_append(spark: SparkSession, d: str) -> DataFrame:
+    """The counters of the running log after all searches of the judged queries."""
+    log, index = QueryLog(), _index(spark, d)
+    for k, row in enumerate(_judged_queries(spark, d).orderBy("query").collect() * 8):
+        log.record(row["query"], 1_000_000 * (k % 3 + 1), k)
+    hits = [index.search("garden")["cache_hit"] for _ in range(3)]
+    told = log.stats()
+    return spark.createDataFrame([(told["total_queries"], len(told["recent"]), round(told["avg_latency_ms"], 6), told["recent"][-1]["query"], sum(hits))], "total_queries bigint, recent int, avg_latency_ms double, last string, cache_hits int")
+
+
+def response_json(spark: SparkSession, d: str) -> DataFrame:
+    """Responses as JSON text, read back."""
+    index = _index(spark, d)
+    rows = spark.createDataFrame([(index.search_json(q),) for q in SINGLE], "j string")
+    told = F.from_json("j", "query string, total_hits bigint, cache_hit boolean, results array<struct<doc_id: bigint, external_id: string, url: string, title: string, snippet: string>>")
+    return rows.select(told.alias("r")).select("r.query", "r.total_hits", F.posexplode_outer("r.results").alias("pos", "x")).select("query", "total_hits", (F.col("pos") + 1).alias("rank"), "x.doc_id", "x.external_id", "x.url", "x.title", "x.snippet")
+
+
 QUERIES: dict[str, Query] = {
     "tokenize_raw": _joined("tokenize_raw", tokenize_raw),
     "tokenize_nostem": _joined("tokenize_nostem", tokenize_nostem),
@@ -311,7 +367,7 @@ QUERIES: dict[str, Query] = {
     "bm25_scores": _scores("bm25"),
     "tfidf_scores": _scores("tfidf"),
     **{name: _search(name) for name in SEARCHES},
-    **{f.__name__: f for f in (search_batch, search_tfidf, search_full, search_single, snippet_window, highlight_terms, eval_per_query, eval_means, postings_delta, postings_roundtrip, postings_encoded, varint_size, querylog_stats, querylog_recent100, store_roundtrip_search, stream_index_equals_batch, two_streams, append_without_ids, jsonl_roundtrip, dense_doc_ids)},
+    **{f.__name__: f for f in (search_batch, search_tfidf, search_full, search_single, snippet_window, highlight_terms, eval_per_query, eval_means, postings_delta, postings_roundtrip, postings_encoded, varint_size, querylog_stats, querylog_recent100, store_roundtrip_search, stream_index_equals_batch, two_streams, append_without_ids, jsonl_roundtrip, dense_doc_ids, health, search_defaults, score_guards, ingest_jobs, query_log_append, response_json)},
 }
 
 # --- the same in SQL -------------------------------------------------------------------------------------------
@@ -439,4 +495,15 @@ SELECT n AS total_queries, round(floor(CAST(ns AS DOUBLE) / 1000) / n / 1000, 6)
 ORDER BY logged_at DESC, query DESC NULLS LAST, latency_ns DESC NULLS LAST, results DESC NULLS LAST LIMIT 100""",
     "jsonl_roundtrip": "SELECT doc_id, external_id, url, title, content FROM corpus",
     "dense_doc_ids": "SELECT row_number() OVER (ORDER BY external_id, url NULLS FIRST, title NULLS FIRST, content NULLS FIRST) - 1 AS doc_id, external_id FROM corpus",
+    "health": "SELECT 'ok' AS status, 'lexspark' AS service",
+    "search_defaults": "SELECT * FROM (VALUES ('k = 0', 10), ('k = -3', 10), ('k = 4', 4), ('mode = xor', -1), ('mode = ', -1), ('mode = or', 3)) t(\"case\", results)",
+    "score_guards": f"""SELECT *, CASE WHEN tf = 0 OR df = 0 OR n = 0 OR avg = 0 THEN 0e0 ELSE round({_IDF} * (tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * (len / avg)))), 6) END AS bm25,
+  CASE WHEN len = 0 OR df = 0 OR n = 0 OR df >= n THEN 0e0 ELSE round(CAST(tf AS DOUBLE) / len * log10(CAST(n AS DOUBLE) / df), 6) END AS tfidf
+FROM (SELECT CAST(tf AS BIGINT) AS tf, CAST(df AS BIGINT) AS df, CAST(len AS BIGINT) AS len, CAST(avg AS DOUBLE) AS avg, CAST(n AS BIGINT) AS n FROM (VALUES {", ".join(map(str, GUARDS))}) t(tf, df, len, avg, n))""",
+    "ingest_jobs": """SELECT 'part ' || (doc_id % 3) AS source, 'completed' AS status, count(*) AS documents_written, count(*) AS json_lines, (SELECT count(*) FROM corpus) AS index_documents, CAST(3 AS INTEGER) AS jobs FROM corpus GROUP BY doc_id % 3""",
+    "query_log_append": """WITH q AS (SELECT DISTINCT query FROM judgments WHERE query IS NOT NULL), n AS (SELECT count(*) * 8 AS n FROM q),
+l AS (SELECT i, 1000 * (i % 3 + 1) AS us FROM range(0, (SELECT n FROM n)) r(i))
+SELECT n AS total_queries, CAST(least(n, 100) AS INTEGER) AS recent, (SELECT round(sum(us) / n / 1000, 6) FROM l) AS avg_latency_ms, (SELECT max(query) FROM q) AS last, CAST(2 AS INTEGER) AS cache_hits FROM n""",
+    "response_json": f"""WITH r AS ({_full("SELECT query AS query_id, query FROM (VALUES " + ", ".join(f"('{q}')" for q in SINGLE) + ") t(query)")})
+SELECT q.query, coalesce(r.total_hits, 0) AS total_hits, r.rank, r.doc_id, r.external_id, r.url, r.title, r.snippet FROM (VALUES {", ".join(f"('{q}')" for q in SINGLE)}) q(query) LEFT JOIN r ON r.query = q.query""",
 }
