@@ -20,6 +20,7 @@ from lexspark.plans.jobs import Jobs, QueryLog
 from lexspark.session import checkpoint_dir
 from lexspark.sources import corpus as sources
 from lexspark.sources import store
+from lexspark.sources.html import ENTITIES, from_html
 from lexspark.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -305,6 +306,20 @@ def dense_doc_ids(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "external_id")
 
 
+def html_adapter(spark: SparkSession, d: str) -> DataFrame:
+    """The pages wrapped into HTML, with scripts, styles, comments and entities, and taken out of it again."""
+
+    def escaped(text: str) -> F.Column:
+        out = F.coalesce(F.col(text), F.lit(""))
+        for entity, sign in reversed(ENTITIES):
+            out = F.replace(out, F.lit(sign), F.lit(entity))
+        return out
+
+    body = F.replace(escaped("content"), F.lit("\n"), F.lit("</p><script>put('</p>');</script><!-- <b>old</b> -->\n<p class=x>"))
+    page = F.concat(F.lit("<html><HEAD><Title>"), escaped("title"), F.lit("</title><style>p { x: y }</style></HEAD><body><p>"), body, F.lit("</p></body></html>"))
+    return from_html(_corpus(spark, d).select("doc_id", page.alias("html")))
+
+
 def health(spark: SparkSession, d: str) -> DataFrame:
     got = _index(spark, d).health()
     return spark.createDataFrame([(got["status"], got["service"])], "status string, service string")
@@ -367,7 +382,7 @@ QUERIES: dict[str, Query] = {
     "bm25_scores": _scores("bm25"),
     "tfidf_scores": _scores("tfidf"),
     **{name: _search(name) for name in SEARCHES},
-    **{f.__name__: f for f in (search_batch, search_tfidf, search_full, search_single, snippet_window, highlight_terms, eval_per_query, eval_means, postings_delta, postings_roundtrip, postings_encoded, varint_size, querylog_stats, querylog_recent100, store_roundtrip_search, stream_index_equals_batch, two_streams, append_without_ids, jsonl_roundtrip, dense_doc_ids, health, search_defaults, score_guards, ingest_jobs, query_log_append, response_json)},
+    **{f.__name__: f for f in (search_batch, search_tfidf, search_full, search_single, snippet_window, highlight_terms, eval_per_query, eval_means, postings_delta, postings_roundtrip, postings_encoded, varint_size, querylog_stats, querylog_recent100, store_roundtrip_search, stream_index_equals_batch, two_streams, append_without_ids, jsonl_roundtrip, dense_doc_ids, html_adapter, health, search_defaults, score_guards, ingest_jobs, query_log_append, response_json)},
 }
 
 # --- the same in SQL -------------------------------------------------------------------------------------------
@@ -495,6 +510,8 @@ SELECT n AS total_queries, round(floor(CAST(ns AS DOUBLE) / 1000) / n / 1000, 6)
 ORDER BY logged_at DESC, query DESC NULLS LAST, latency_ns DESC NULLS LAST, results DESC NULLS LAST LIMIT 100""",
     "jsonl_roundtrip": "SELECT doc_id, external_id, url, title, content FROM corpus",
     "dense_doc_ids": "SELECT row_number() OVER (ORDER BY external_id, url NULLS FIRST, title NULLS FIRST, content NULLS FIRST) - 1 AS doc_id, external_id FROM corpus",
+    "html_adapter": """SELECT doc_id, CASE WHEN coalesce(title, '') <> '' THEN trim(regexp_replace(title, '[ \\t\\n\\f\\r\\x0B\\x{A0}]+', ' ', 'g')) END AS title,
+  trim(regexp_replace(coalesce(content, ''), '[ \\t\\n\\f\\r\\x0B\\x{A0}]+', ' ', 'g')) AS content FROM corpus""",
     "health": "SELECT 'ok' AS status, 'lexspark' AS service",
     "search_defaults": "SELECT * FROM (VALUES ('k = 0', 10), ('k = -3', 10), ('k = 4', 4), ('mode = xor', -1), ('mode = ', -1), ('mode = or', 3)) t(\"case\", results)",
     "score_guards": f"""SELECT *, CASE WHEN tf = 0 OR df = 0 OR n = 0 OR avg = 0 THEN 0e0 ELSE round({_IDF} * (tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * (len / avg)))), 6) END AS bm25,

@@ -11,6 +11,7 @@ from lexspark.plans.index import Index
 from lexspark.plans.jobs import COMPLETED, FAILED, Jobs, QueryLog
 from lexspark.sources import corpus as sources
 from lexspark.sources import store
+from lexspark.sources.html import from_html
 from lexspark.streaming import ingest
 
 DOCS = [(i, f"e{i}", f"https://s.example/{i}", f"t{i}", f"lamp {'red ' * (i % 3)} number{i % 4}") for i in range(12)]
@@ -129,3 +130,10 @@ def test_sources(spark, corpus, tmp_path):
     assert sorted(sources.read_jsonl(spark, path).collect()) == sorted(corpus.collect())
     ids = sources.with_doc_ids(corpus.repartition(3), 100).orderBy("doc_id").collect()
     assert [r.doc_id for r in ids] == list(range(100, 112)) and [r.external_id for r in ids] == sorted(r.external_id for r in ids)
+
+
+def test_html(spark):
+    rows = ["<html><head><title> A &amp; B </title><style>x</style></head><body><p>One<br>two</p><script>var s = '</p>';</script><!-- <p>no</p> -->\n&lt;three&gt; &amp;amp;\u00a0four</body>", "no tags", "", None, "<title></title><p>x"]
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(rows)], "doc_id int, html string")
+    got = [(r.title, r.content) for r in from_html(df).orderBy("doc_id").collect()]
+    assert got == [("A & B", "One two <three> &amp; four"), (None, "no tags"), (None, ""), (None, None), (None, "x")]
