@@ -2,7 +2,7 @@
 
 A page is a row of blocks, its lines (``page_lines``). Each block has its word count, link density, share of function words
 and the like, those of its neighbours, its place, and - where the whole table has been counted - on how many pages of its
-site its form comes back. The trees are grown on a small labelled table of shapes (``block_table``), which holds no phrases:
+site its form comes back, and how much like furniture it looks on all of them. The trees are grown on a small labelled table of shapes (``block_table``), which holds no phrases:
 no word of any site is learned. They have a fixed size and are broadcast.
 """
 
@@ -18,8 +18,9 @@ from lexspark.llm.page_lines import FEATURES, PageLines, hashes
 
 #: Trees of a committee, each grown on its own resample of the rows and this share of the features; their mean decides.
 #: Where the whole table has been counted, a text line lost costs more than a furniture line kept: the mean has to be higher.
-TREES, SHARE, BAR = 12, 0.6, 0.5
-WHOLE_TREES, WHOLE_BAR = 24, 0.6
+TREES, SHARE, BAR, WHOLE_BAR = 12, 0.6, 0.5, 0.55
+#: Parts of the labelled sites that are held out in turn, and trees for each, to tell how their lines look to trees that have not seen them.
+FOLDS, FOLD_TREES = 3, 6
 DEPTH, LEAST, BINS = 14, 8, 32
 #: log2 of the pages of the site that show a line's form; more than 2^8 tell no more.
 MAX_DOCS_LOG2 = 8
@@ -99,31 +100,45 @@ class Committee:
             out[:, j] = np.searchsorted(self.edges[first + j], column, "left")
         return out
 
+    def odds(self, bins: np.ndarray) -> np.ndarray:
+        """The mean of the trees, from 0 (text) to 1."""
+        return sum(t.predict(bins) for t in self.trees) / len(self.trees) if len(bins) else np.zeros(0)
+
     def furniture(self, bins: np.ndarray) -> np.ndarray:
-        return sum(t.predict(bins) for t in self.trees) / len(self.trees) >= self.bar if len(bins) else np.zeros(0, dtype=bool)
+        return self.odds(bins) >= self.bar
 
 
-def docs_feature(docs: np.ndarray) -> np.ndarray:
-    """The number of pages as the trees read it."""
-    return np.minimum(np.log2(np.maximum(docs, 1)), MAX_DOCS_LOG2)
+def site_features(docs: np.ndarray, odds: np.ndarray) -> np.ndarray:
+    """The number of pages of the site with a line's form, and the mean odds of the form on them, as the trees read them."""
+    return np.column_stack([np.minimum(np.log2(np.maximum(docs, 1)), MAX_DOCS_LOG2), odds])
 
 
 def training_rows(table: list[block_table.Page]) -> tuple[np.ndarray, np.ndarray]:
-    """Features (``FEATURES``, then ``docs_feature``) and labels of the lines of the labelled table."""
+    """Features (``FEATURES``, then ``site_features``) and labels of the lines of the labelled table."""
     texts = pa.array(["\n".join(t for t, _ in lines) for *_, lines in table], pa.string())
     lines = PageLines(texts, pa.array([p[2] for p in table], pa.string()), pa.array([p[0] for p in table], pa.string()))
     labels = np.array([y for *_, rows in table for _, y in rows])
     site = np.array([int(p[1].partition("p")[0][1:]) for p in table])[lines.page]
     form = np.unique(hashes(lines.skeletons()), return_inverse=True)[1]
     width = form.max(initial=0) + 1
-    once = np.unique((site * width + form) * len(table) + lines.page) // len(table)  # a form counts once a page
-    keys, docs = np.unique(once, return_counts=True)
-    docs = docs[np.searchsorted(keys, site * width + form)]
-    return np.column_stack([lines.features(), docs_feature(docs)]), labels
+    features = lines.features()
+    odds = np.zeros(lines.n)
+    for k in range(FOLDS):
+        held = site % FOLDS == k
+        if held.any() and not held.all():
+            model = Committee(features[~held], labels[~held], FOLD_TREES)
+            odds[held] = model.odds(model.bins(features[held]))
+    # a form counts once a page
+    form, of_line = np.unique(site * width + form, return_inverse=True)
+    once, of_page = np.unique(of_line * len(table) + lines.page, return_inverse=True)
+    mean = np.bincount(of_page, weights=odds) / np.maximum(np.bincount(of_page), 1)
+    docs = np.bincount(once // len(table), minlength=len(form))
+    mean = np.bincount(once // len(table), weights=mean, minlength=len(form)) / np.maximum(docs, 1)
+    return np.column_stack([features, site_features(docs[of_line], mean[of_line])]), labels
 
 
 @lru_cache(maxsize=1)
 def classifiers() -> tuple[Committee, Committee]:
-    """The committee for a page on its own, and the one that knows how often a line's form comes back in its site."""
+    """The committee for a page on its own, and the one that knows how often a line's form comes back in its site and how it looks there."""
     x, y = training_rows(block_table.pages())
-    return Committee(x[:, : len(FEATURES)], y), Committee(x, y, WHOLE_TREES, WHOLE_BAR)
+    return Committee(x[:, : len(FEATURES)], y), Committee(x, y, bar=WHOLE_BAR)

@@ -246,7 +246,8 @@ class Judge:
     def pages(self, contents: pa.Array, titles_: pa.Array, urls: pa.Array, sites: np.ndarray) -> dict[str, pa.Array]:
         lines = PageLines(contents, titles_, urls)
         features = lines.features()
-        own = own_lines(lines, self.alone.furniture(self.alone.bins(features)))
+        odds = self.alone.odds(self.alone.bins(features))
+        own = own_lines(lines, odds >= self.alone.bar)
         spam, real, *_ = spam_words(lines, own)
         is_spam = _is_spam(spam, real)
         short = (real < REAL_WORDS) & ~is_spam
@@ -281,18 +282,15 @@ class Judge:
             out["no"] = listed(lines.line_no, everything)
             # one number for a form in a site
             out["of_site"] = listed(forms.form ^ (sites[lines.page] * np.int64(-7046029254386353131)), everything)
-            width = self.whole_width
+            out["odds"] = listed(np.rint(100 * odds).astype(np.int8), everything)
+            width = features.shape[1]
             begins = np.concatenate([[0], np.cumsum(lines.count)]).astype(np.int32) * width
             bins = self.whole.bins(features)
             out["bins"] = pa.Array.from_buffers(pa.binary(), lines.pages, [None, pa.py_buffer(begins.astype(np.int32)), pa.py_buffer(bins.tobytes())])
         else:
-            out |= {"no": pa.nulls(lines.pages, pa.list_(pa.int32())), "of_site": pa.nulls(lines.pages, pa.list_(pa.int64())), "bins": pa.nulls(lines.pages, pa.binary())}
+            out |= {"no": pa.nulls(lines.pages, pa.list_(pa.int32())), "of_site": pa.nulls(lines.pages, pa.list_(pa.int64())), "odds": pa.nulls(lines.pages, pa.list_(pa.int8())), "bins": pa.nulls(lines.pages, pa.binary())}
         return out
 
-    @property
-    def whole_width(self) -> int:
-        return len(self.whole.edges) - 1
-
 
 def _is_spam(spam: np.ndarray, real: np.ndarray) -> np.ndarray:
     return (spam >= np.where(real > 0, MIN_SPAM_WORDS, MIN_BARE_SPAM)) & (spam > real)
@@ -300,7 +298,7 @@ def _is_spam(spam: np.ndarray, real: np.ndarray) -> np.ndarray:
 
 #: Pages judged at once: few enough to stay small, enough to pay for what each run costs.
 RUN = 1500
-JUDGED = "spam boolean, residue boolean, short boolean, head bigint, apart boolean, keys array<bigint>, forms array<bigint>, held array<tinyint>, values array<bigint>, no array<int>, of_site array<bigint>, bins binary"
+JUDGED = "spam boolean, residue boolean, short boolean, head bigint, apart boolean, keys array<bigint>, forms array<bigint>, held array<tinyint>, values array<bigint>, no array<int>, of_site array<bigint>, odds array<tinyint>, bins binary"
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,8 +317,8 @@ def judge_pages(pages: DataFrame, bins: bool = False) -> DataFrame:
     """``doc_id, ext, site`` and ``JUDGED``, one row per row of ``pages``: what the page alone tells. Null content is a page without lines.
 
     ``keys`` are the clauses of the page; ``forms, held, values`` its lines with something that varies, whether that is an
-    open slot, and what stands there. With ``bins`` each line has its number, its form within the site and its features,
-    one byte each. ``pages`` needs doc_id, external_id, url, title and content; further columns are not read.
+    open slot, and what stands there. With ``bins`` each line has its number, its form within the site, its odds (in
+    hundredths) and its features, one byte each. ``pages`` needs doc_id, external_id, url, title and content; further columns are not read.
     """
     kind = dict(pages.dtypes)["doc_id"]
     models = pages.sparkSession.sparkContext.broadcast(blocks.classifiers())  # of fixed size

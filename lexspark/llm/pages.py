@@ -117,24 +117,25 @@ def residue_pages(pages: DataFrame) -> DataFrame:
 
 
 def site_counts(lines: DataFrame, n: int) -> DataFrame:
-    """``form, salt, docs`` of the forms (of a site) that stand on two pages or more, for each salt that occurs. ``lines`` is ``form, ext``."""
-    once = lines.select("form", "ext").distinct()
-    partial = once.groupBy("form", salt(n, "ext").alias("salt")).agg(F.count("*").alias("c"))
-    return totals(partial, ["form"], docs="c").where("docs > 1")
+    """``form, salt, docs, odds`` of the forms (of a site) that stand on two pages or more, for each salt that occurs: the number
+    of pages and the mean of their odds. ``lines`` is ``form, ext, odds``."""
+    once = lines.groupBy("form", "ext").agg(F.avg("odds").cast("float").alias("o"))
+    partial = once.groupBy("form", salt(n, "ext").alias("salt")).agg(F.count("*").alias("c"), F.sum("o").alias("o"))
+    return totals(partial, ["form"], docs="c", odds="o").where("docs > 1").withColumn("odds", F.col("odds") / F.col("docs"))
 
 
 def furniture_of(rows: DataFrame, kept: DataFrame) -> DataFrame:
     """``doc_id, line_no`` of the furniture of the pages ``kept``, where ``rows`` are the judgements (with bins) of the whole table.
 
-    Each line's features are completed by the number of pages of its site with the same form, and the committee that
-    knows it decides. A form that a whole site shares is spread over salts told by the page; what goes back to a page are
-    the numbers of its lines that are not the only ones of their form.
+    Each line's features are completed by the number of pages of its site with the same form and by how the form looks on
+    them, and the committee that knows both decides. A form that a whole site shares is spread over salts told by the page;
+    what goes back to a page are the numbers of its lines that are not the only ones of their form.
     """
     n = salts(rows)
     kind = dict(rows.dtypes)["doc_id"]
-    counts = site_counts(rows.select("ext", F.explode("of_site").alias("form")), n)
+    counts = site_counts(rows.select("ext", F.explode(F.arrays_zip("of_site", "odds")).alias("t")).select("ext", F.col("t.of_site").alias("form"), "t.odds"), n)
     lines = kept.select("row", "ext", F.posexplode("of_site").alias("at", "form")).select("row", "at", "form", salt(n, "ext").alias("salt"))
-    shared = lines.join(counts, ["form", "salt"]).groupBy("row").agg(F.collect_list(F.struct("at", F.col("docs").cast("int").alias("docs"))).alias("shared"))
+    shared = lines.join(counts, ["form", "salt"]).groupBy("row").agg(F.collect_list(F.struct("at", F.col("docs").cast("int").alias("docs"), F.col("odds").cast("float").alias("odds"))).alias("shared"))
     models = rows.sparkSession.sparkContext.broadcast(blocks.classifiers()[1])  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,21 +143,22 @@ def furniture_of(rows: DataFrame, kept: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            no, blobs, shared = batch.column(1), batch.column(2), batch.column(3)
+            no, blobs, alone, shared = (batch.column(k) for k in range(1, 5))
             counts = pc.fill_null(pc.list_value_length(no), 0).to_numpy()
             begins = np.concatenate([[0], np.cumsum(counts)[:-1]])
             size = int(counts.sum())
             if not size:
                 continue
             packed = np.frombuffer(b"".join(blobs.to_pylist()), dtype=np.uint8).reshape(size, -1)
-            docs = np.ones(size)
+            docs, odds = np.ones(size), alone.flatten().to_numpy().astype(float)  # of a form that stands on this page only
             met = shared.flatten()
-            docs[begins[pc.list_parent_indices(shared).to_numpy()] + met.field("at").to_numpy()] = met.field("docs").to_numpy()
-            found = model.furniture(np.column_stack([packed, model.bins(blocks.docs_feature(docs)[:, None], packed.shape[1])]))
+            at = begins[pc.list_parent_indices(shared).to_numpy()] + met.field("at").to_numpy()
+            docs[at], odds[at] = met.field("docs").to_numpy(), met.field("odds").to_numpy()
+            found = model.furniture(np.column_stack([packed, model.bins(blocks.site_features(docs, odds / 100), packed.shape[1])]))
             of = np.repeat(np.arange(batch.num_rows), counts)[found]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), no.flatten().filter(pa.array(found))], names=["doc_id", "line_no"])
 
-    told = kept.where("size(no) > 0").select("row", "doc_id", "no", "bins").join(shared, "row", "left").select("doc_id", "no", "bins", "shared")
+    told = kept.where("size(no) > 0").select("row", "doc_id", "no", "bins", "odds").join(shared, "row", "left").select("doc_id", "no", "bins", "odds", "shared")
     return told.mapInArrow(run, f"doc_id {kind}, line_no int")
 
 

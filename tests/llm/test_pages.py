@@ -26,7 +26,7 @@ def lines_of(content, title="", url=""):
 def test_trees_on_sites_not_seen():
     alone, whole = blocks.classifiers()
     x, y = blocks.training_rows(block_table.pages(40, seed=99))
-    for model, cols in ((alone, x.shape[1] - 1), (whole, x.shape[1])):
+    for model, cols in ((alone, x.shape[1] - 2), (whole, x.shape[1])):
         got = model.furniture(model.bins(x[:, :cols]))
         assert (got == y).mean() > 0.93
 
@@ -36,7 +36,7 @@ def test_a_form_that_comes_back_is_furniture():
     _, whole = blocks.classifiers()
     lines = lines_of("\n".join([PROSE, PROSE[:100] + ".", "Our guests may ask the town hall for a copy of this list.", "Take note."]), "The old harbour", "https://quay.example/x")
     features = lines.features()
-    at = [whole.furniture(whole.bins(np.column_stack([features, np.full(4, d)])))[2] for d in (0.0, 7.0)]
+    at = [whole.furniture(whole.bins(np.column_stack([features, blocks.site_features(np.full(4, d), np.full(4, 0.5))])))[2] for d in (1, 100)]
     assert at == [False, True]
 
 
@@ -117,10 +117,10 @@ def test_furniture(spark):
 
 
 def test_counts_of_forms(spark):
-    rows = [(f"e{i}", f) for i in range(30) for f in (70, i)] * 2
-    df = spark.createDataFrame(rows, "e string, form bigint").selectExpr("form", "xxhash64(e) as ext")
-    got = {(r.form, r.docs) for r in pages.site_counts(df, 4).collect()}
-    assert got == {(70, 30)} and pages.site_counts(df, 4).count() == 4  # one row for each salt
+    rows = [(f"e{i}", f, 40 + i % 3) for i in range(30) for f in (70, i)] * 2
+    df = spark.createDataFrame(rows, "e string, form bigint, odds int").selectExpr("form", "xxhash64(e) as ext", "odds")
+    got = {(r.form, r.docs, round(r.odds, 3)) for r in pages.site_counts(df, 4).collect()}
+    assert got == {(70, 30, 41.0)} and pages.site_counts(df, 4).count() == 4  # one row for each salt
 
 
 def test_empty_table(spark):
