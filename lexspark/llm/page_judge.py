@@ -297,14 +297,20 @@ def _is_spam(spam: np.ndarray, real: np.ndarray) -> np.ndarray:
 
 
 #: Pages judged at once: few enough to stay small, enough to pay for what each run costs.
-RUN = 1500
+RUN, RUN_BYTES = 1500, 1 << 25
 JUDGED = "spam boolean, residue boolean, short boolean, head bigint, apart boolean, keys array<bigint>, forms array<bigint>, held array<tinyint>, values array<bigint>, no array<int>, of_site array<bigint>, odds array<tinyint>, bins binary"
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def runs(batches: Iterator[pa.RecordBatch], content: int) -> Iterator[pa.RecordBatch]:
+    """The pages in runs of at most ``RUN``, and of ``RUN_BYTES`` of text unless a single page has more. ``content`` is the number of its column."""
     for batch in batches:
-        for at in range(0, batch.num_rows, RUN):
-            yield batch.slice(at, RUN)
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(content)), 0).to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros(0)
+        at = 0
+        while at < batch.num_rows:
+            before = size[at - 1] if at else 0
+            end = min(at + RUN, max(at + 1, int(np.searchsorted(size, before + RUN_BYTES, "right"))))
+            yield batch.slice(at, end - at)
+            at = end
 
 
 def _source(pages: DataFrame) -> DataFrame:
@@ -326,7 +332,7 @@ def judge_pages(pages: DataFrame, bins: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alone, whole = models.value
         judge = Judge(alone, whole if bins else None)
-        for batch in _runs(batches):
+        for batch in runs(batches, 3):
             got = judge.pages(batch.column(3), batch.column(4), batch.column(5), batch.column(2).to_numpy())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *got.values()], names=["doc_id", "ext", "site", *got])
 
@@ -340,7 +346,7 @@ def spam_flags(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(models.value)
-        for batch in _runs(batches):
+        for batch in runs(batches, 1):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(judge.spam(batch.column(1), batch.column(2), batch.column(3)))], names=["doc_id", "spam"])
 
     return pages.select("doc_id", "content", "title", "url").mapInArrow(run, f"doc_id {kind}, spam boolean")

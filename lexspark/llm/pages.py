@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.llm import blocks
-from lexspark.llm.page_judge import _runs, judge_pages, spam_flags
+from lexspark.llm.page_judge import judge_pages, runs, spam_flags
 from lexspark.llm.page_lines import PageLines
 from lexspark.llm.skew import checked, salt, salts, totals
 from lexspark.session import checkpoint_dir
@@ -178,7 +178,7 @@ def main_content(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alone = models.value
-        for batch in _runs(batches):
+        for batch in runs(batches, 1):
             lines = PageLines(batch.column(1), batch.column(2), batch.column(3))
             gone = alone.furniture(alone.bins(lines.features()))
             out = batch.column(1).to_pylist()

@@ -123,6 +123,14 @@ def test_counts_of_forms(spark):
     assert got == {(70, 30, 41.0)} and pages.site_counts(df, 4).count() == 4  # one row for each salt
 
 
+def test_runs(monkeypatch):
+    monkeypatch.setattr(page_judge, "RUN", 3)
+    monkeypatch.setattr(page_judge, "RUN_BYTES", 10)
+    texts = ["abcd", None, "abcdef", "", "", "", "", "x" * 50, "a", "b"]
+    got = [r.column(0).to_pylist() for r in page_judge.runs(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["t"]), pa.RecordBatch.from_arrays([pa.array([], pa.string())], names=["t"])]), 0)]
+    assert sum(got, []) == texts and [len(x) for x in got] == [3, 3, 1, 1, 2]
+
+
 def test_empty_table(spark):
     none = frame(spark, ["x"]).limit(0)
     assert pages.spam_pages(none).count() == pages.residue_pages(none).count() == pages.furniture_lines(none).count() == pages.main_content(none).count() == 0
