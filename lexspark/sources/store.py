@@ -81,7 +81,7 @@ def versions(spark: SparkSession, path: str) -> list[int]:
     return _numbers(spark, path, "manifest")
 
 
-def _read_text(spark: SparkSession, path: str) -> str:
+def read_text(spark: SparkSession, path: str) -> str:
     """A small file, read by the driver without a job."""
     fs, p = file_system(spark, path)
     stream = fs.open(p)
@@ -96,7 +96,7 @@ def read_manifest(spark: SparkSession, path: str, version: int | None = None) ->
     known = versions(spark, path)
     if not known or (version is not None and version not in known):
         raise ValueError(f"no index version {version if version is not None else ''} at {path}")
-    told = json.loads(_read_text(spark, f"{path}/manifest-{version or known[-1]}.json"))
+    told = json.loads(read_text(spark, f"{path}/manifest-{version or known[-1]}.json"))
     if told["format"] != FORMAT:
         raise ValueError(f"index format {told['format']} is not known")
     return Manifest(told["version"], [Segment(**s) for s in told["segments"]])
@@ -128,7 +128,7 @@ def reserve_ids(spark: SparkSession, path: str, count: int) -> int:
     """The first of ``count`` ids that no one else is given, after all ids of the index."""
     for _ in range(MAX_TRIES):
         known = _numbers(spark, path, "ids")
-        handed = int(_read_text(spark, f"{path}/ids-{known[-1]}.json")) if known else 0
+        handed = int(read_text(spark, f"{path}/ids-{known[-1]}.json")) if known else 0
         start = max(handed, read_manifest(spark, path).max_doc_id + 1 if versions(spark, path) else 0)
         if _take(spark, f"{path}/ids-{known[-1] + 1 if known else 1}.json", str(start + count)):
             return start

@@ -30,7 +30,7 @@ def ingest_stream(pages: DataFrame, index_path: str, checkpoint: str, available_
 
     def add(batch: DataFrame, number: int) -> None:
         # Spark names a stream in its checkpoint: the name holds over restarts
-        stream = json.loads(store._read_text(batch.sparkSession, f"{checkpoint.rstrip('/')}/metadata"))["id"]
+        stream = json.loads(store.read_text(batch.sparkSession, f"{checkpoint.rstrip('/')}/metadata"))["id"]
         store.append_segment(batch.sparkSession, index_path, batch, key=f"{stream}-{number}")
 
     writer = pages.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
