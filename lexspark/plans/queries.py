@@ -43,7 +43,7 @@ def _index(spark: SparkSession, d: str) -> Index:
     fs, p = store.file_system(spark, f"{d}/corpus.parquet")
     status = fs.getFileStatus(p)
     key = (spark.sparkContext.applicationId, d, status.getModificationTime(), status.getLen())
-    if key not in _BUILT:
+    if key not in _BUILT or not store.versions(spark, _BUILT[key]):  # the shared folder may have been cleared since
         path = f"{_folder(spark)}/index"
         Index.create(_corpus(spark, d), path)
         _BUILT[key] = path

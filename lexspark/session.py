@@ -28,13 +28,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder: the one the cluster names in ``spark.checkpoint.dir``, else the one set for the session.
 
     RuntimeError where there is none: a folder of one machine would not do, so none is made up. A local session
-    (``local[...]``, tests and benchmarks) is one machine; it gets a folder that is removed when Python ends.
+    (``local[...]``, ``local-cluster[...]``: tests and benchmarks) is one machine; it gets a folder that is removed when
+    Python ends.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     named = spark.conf.get("spark.checkpoint.dir", None) or current
     if not named:
-        if not context.master.startswith("local[") and context.master != "local":
+        if not context.master.startswith(("local[", "local-cluster[")) and context.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="lexspark-checkpoint-")
         atexit.register(shutil.rmtree, named, True)
