@@ -163,7 +163,12 @@ def furniture_of(rows: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def furniture_lines(pages: DataFrame) -> DataFrame:
-    """``doc_id, line_no`` of the lines that are furniture, on pages that are neither spam nor residue."""
+    """``doc_id, line_no`` of the lines that are furniture, on pages that are neither spam nor residue.
+
+    ``line_no`` counts the pieces of content between LFs from 1. Pages with null or blank content give no rows, a row given
+    twice gives its lines twice; a page without url is one of a site of such pages, one without external id counts as
+    its own. Further columns of ``pages``, whatever their names, are not read.
+    """
     rows = judged(pages, bins=True)
     return furniture_of(rows, rows.where("not spam").join(checked(residue_of(rows)), "doc_id", "left_anti"))
 
