@@ -55,7 +55,8 @@ def p5_graph_of_words(spark: SparkSession, d: str) -> DataFrame:
     pages_ = _t(spark, d, "corpus")
     n = termstats.page_count(pages_)
     rows = salience.graph_of_words(pages_, "doc_id", tokenize_nostem("content"), n)
-    return rows.select("doc_id", "term", "degree", F.round("score", 6).alias("score"))
+    micro = F.floor((F.round(F.col("score") * 1e9) + 500) / 1000)  # in whole numbers, so that halves go up everywhere
+    return rows.select("doc_id", "term", "degree", (micro / 1e6).alias("score"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -106,7 +107,7 @@ SQL: dict[str, str] = {
   g AS (SELECT doc_id, term, count(*) AS degree FROM e GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM g GROUP BY 1),
   m AS (SELECT doc_id, count(DISTINCT t) AS terms FROM tok GROUP BY 1),
   s AS (SELECT doc_id, term, degree, floor(degree / terms * log10(n / df) * 1e9 + 0.5) AS nano FROM g JOIN df USING (term) JOIN m USING (doc_id), n)
-SELECT doc_id, term, degree, round(nano / 1e9, 6) AS score FROM s WHERE nano > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY nano DESC, term) <= 3""",
+SELECT doc_id, term, degree, floor((nano + 500) / 1000) / 1e6 AS score FROM s WHERE nano > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY nano DESC, term) <= 3""",
     "p6_text_ngrams": f"""WITH {_TOK},
   w AS (SELECT doc_id, t AS t1, lead(t, 1) OVER p AS t2, lead(t, 2) OVER p AS t3 FROM tok WINDOW p AS (PARTITION BY doc_id ORDER BY pos)),
   g AS (SELECT doc_id, t1, CAST(NULL AS VARCHAR) AS t2, CAST(NULL AS VARCHAR) AS t3 FROM w
