@@ -163,6 +163,15 @@ def test_site_lines(spark):
     assert len(ex) == 1 and ex[0].docs == 8 and ex[0].significant and ex[0].llr > 0
 
 
+def test_site_lines_of_pages_without_external_id(spark):
+    """Only different external ids count, as in the SQL; the lines of pages without one come out with the others."""
+    rows = [(i, f"e{i}" if i < 5 else None, "http://a.example/", None, "five\nnone" if i >= 5 else "five", "", "") for i in range(45)]
+    rows += [(50 + i, f"e{i}" if i < 4 else None, "http://b.example/", None, "four", "", "") for i in range(10)]
+    rows += [(60 + i, f"doc:{61 + i}" if i < 5 else None, "http://c.example/", None, "like ids", "", "") for i in range(8)]
+    got = sorted((r.doc_id, r.line_no) for r in site_lines.repeated_lines(spark.createDataFrame(rows, PAGES)).collect())
+    assert got == [(i, 1) for i in range(45)] + [(60 + i, 1) for i in range(8)]
+
+
 def test_sites(spark):
     urls = {"HTTPS://www.X.example:8080/p": "x.example", "http://u:p@y.example?q": "y.example", "z.example/p": None, "": None, None: None, " http://www.w.example#f": "w.example"}
     got = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(site_lines.site_of("u")).collect()]
